@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from textloom.llm import frequency, lookalike
+from textloom.llm import frequency, lookalike, sentences
 
-MODULES = (lookalike, frequency)
+MODULES = (lookalike, sentences, frequency)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
