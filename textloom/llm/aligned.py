@@ -8,37 +8,32 @@ import unicodedata
 from textloom.llm.lookalike import _FOLD, _TO_LATIN, CharMap
 
 
-def _one_to_one(ch: str) -> str:
-    """The plain form of a character if it is one character long; invisible characters become nothing."""
-    out = _FOLD[ord(ch)]
-    if len(out) > 1:
-        return ch
-    if out and ord(out) > 0xF8FF:  # compatibility ideographs
-        folded = unicodedata.normalize("NFC", out)
-        out = folded if len(folded) == 1 else out
-    return _TO_LATIN.get(out, out)
-
-
-_ALIGNED = CharMap(_one_to_one)
-_KEPT = CharMap(lambda ch: _one_to_one(ch) or "\x00")
+def _plain(ch: str) -> str:
+    """The plain form of a character, letters that look Latin as Latin ones; invisible characters become nothing."""
+    return "".join(_TO_LATIN.get(c, c) for c in unicodedata.normalize("NFC", _FOLD[ord(ch)]))
+
+
+_ALIGNED = CharMap(_plain)
 _PLAIN = re.compile("[^ -~\\n一-鿿、。「」『』《》〈〉ぁ-ヺー“”…]")
 
 
 class Aligned:
-    """``text`` folded for matching; ``at(i)`` is the offset in the stored text of folded character ``i``."""
+    """``text`` folded for matching; ``at(i)`` is the offset in the stored text of folded character ``i``.
+
+    Folding is by single characters, so sequences stay decomposed or composed as stored.
+    """
 
     __slots__ = ("text", "_map")
 
     def __init__(self, stored: str):
         self._map = None
+        self.text = stored
         if stored.isascii() or not _PLAIN.search(stored):
-            self.text = stored
             return
-        folded = stored.translate(_KEPT)
-        if "\x00" in folded:
-            self._map = [i for i, c in enumerate(folded) if c != "\x00"]
-            folded = folded.replace("\x00", "")
-        self.text = folded
+        self.text = stored.translate(_ALIGNED)
+        forms = {c: f for c in set(stored) if len(f := _ALIGNED[ord(c)]) != 1}
+        if forms:
+            self._map = [i for i, c in enumerate(stored) for _ in forms.get(c, c)]
 
     def at(self, i: int) -> int:
         return i if self._map is None else self._map[i]

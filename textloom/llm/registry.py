@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from textloom.llm import frequency, lookalike, sentences
+from textloom.llm import frequency, lookalike, personal, sentences
 
-MODULES = (lookalike, sentences, frequency)
+MODULES = (lookalike, sentences, personal, frequency)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
