@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from textloom.llm import frequency, lookalike, personal, sentences
+from textloom.llm import frequency, lookalike, overlaps, personal, sentences
 
-MODULES = (lookalike, sentences, personal, frequency)
+MODULES = (lookalike, sentences, personal, frequency, overlaps)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
