@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from textloom.llm import frequency, leakage, lookalike, overlaps, personal, sentences
+from textloom.llm import frequency, leakage, lookalike, mixture, overlaps, personal, pieces, sentences
 
-MODULES = (lookalike, sentences, personal, frequency, overlaps, leakage)
+MODULES = (lookalike, sentences, personal, frequency, overlaps, leakage, mixture, pieces)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
