@@ -69,7 +69,7 @@ def landing(sizes: list[float], chances: list[float]) -> list[float]:
 
 def _fly(seed: int, last: bool):
     def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("id", kind="stable")
+        pdf = pdf.sort_values(["tokens", "id"], ascending=[False, True], kind="stable")  # the undecided rest is small
         sizes, chances = pdf["tokens"].astype(float).tolist(), pdf["chance"].tolist()
         chances = flight(sizes, chances, hash((seed, int(key[1]))))
         pdf["chance"] = landing(sizes, chances) if last else chances
