@@ -1,5 +1,5 @@
 """Imports every module that registers queries."""
 
-from textloom.plans import scalars
+from textloom.plans import corpus, patterns, scalars
 
-MODULES = (scalars,)
+MODULES = (corpus, patterns, scalars)
