@@ -87,7 +87,7 @@ def validate_records(df: DataFrame) -> DataFrame:
         "status": ~F.coalesce(F.col("review.status").isin("pending", "accepted", "rejected"), F.lit(False)),
         "tokens": accepted & ~has,
         "token_text": accepted & has & F.exists(texts, lambda t: F.coalesce(t, F.lit("")) == ""),
-        "han_pos": accepted & has & F.exists(tokens, lambda k: F.coalesce(k["text"].rlike(f"^[{spec.HAN_PIPE}]+$"), F.lit(False)) & (F.coalesce(F.trim(k["pos"]), F.lit("")) == "")),
+        "han_pos": accepted & has & F.exists(tokens, lambda k: F.coalesce(k["text"].rlike(f"^[{spec.HAN_PIPE}]+\\z"), F.lit(False)) & (F.coalesce(F.trim(k["pos"]), F.lit("")) == "")),
         "reconstruct": accepted & has & (F.array_join(texts, "") != F.col("text")),
     }
     found = F.filter(F.array(*[F.when(F.coalesce(rule, F.lit(False)), F.lit(name)) for name, rule in rules.items()]), lambda x: x.isNotNull())
@@ -98,7 +98,7 @@ def split_max(df: DataFrame, key: str, text: str, max_chars: int = 500) -> DataF
     """Sentences by closing punctuation and lines, stripped, wrapped hard at ``max_chars``: (key, sent_no, part, text)."""
     found = F.regexp_extract_all(text, F.lit(r"[^。！？!?；;\n]*[。！？!?；;\n]+|[^。！？!?；;\n]+"), F.lit(0))
     s = df.select(key, F.posexplode(found).alias("sent_no", "t"))
-    s = s.select(key, F.col("sent_no").cast("long").alias("sent_no"), F.regexp_replace(F.regexp_replace("t", r"^[ \t\r\f\n]+", ""), r"[ \t\r\f\n]+$", "").alias("t")).where("t <> ''")
+    s = s.select(key, F.col("sent_no").cast("long").alias("sent_no"), F.regexp_replace(F.regexp_replace("t", r"^[ \t\r\f\n]+", ""), r"[ \t\r\f\n]+\z", "").alias("t")).where("t <> ''")
     parts = F.sequence(F.lit(0), F.ceil(F.length("t") / max_chars).cast("int") - 1)
     return s.select(key, "sent_no", "t", F.explode(parts).alias("part")).select(key, "sent_no", F.col("part").cast("long").alias("part"), F.expr(f"substring(t, part * {max_chars} + 1, {max_chars})").alias("text"))
 

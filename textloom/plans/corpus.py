@@ -90,7 +90,7 @@ def cp_adapt_news(s, d):
 @query(
     "cp_validate",
     f"""WITH r AS (SELECT row_id, id, schema_version, split, text, review, row_number() OVER (PARTITION BY id ORDER BY row_id) AS nth FROM reviewed),
-t AS (SELECT row_id, string_agg(k.text, '' ORDER BY i) AS rebuilt, bool_or(coalesce(k.text, '') = '') AS bad, bool_or(regexp_matches(k.text, '^[{spec.HAN_PIPE}]+$') AND coalesce(trim(k.pos), '') = '') AS nopos FROM (SELECT row_id, unnest(review.tokens) AS k, generate_subscripts(review.tokens, 1) AS i FROM r) GROUP BY row_id),
+t AS (SELECT row_id, string_agg(k.text, '' ORDER BY i) AS rebuilt, bool_or(coalesce(k.text, '') = '') AS bad, bool_or(regexp_matches(k.text, '^[{spec.HAN_PIPE}]+\\z') AND coalesce(trim(k.pos), '') = '') AS nopos FROM (SELECT row_id, unnest(review.tokens) AS k, generate_subscripts(review.tokens, 1) AS i FROM r) GROUP BY row_id),
 e AS (SELECT row_id, 'schema_version' AS error FROM r WHERE schema_version IS DISTINCT FROM 1 UNION ALL SELECT row_id, 'duplicate_id' FROM r WHERE nth > 1 UNION ALL SELECT row_id, 'split' FROM r WHERE split IS NULL OR split NOT IN ('train', 'dev', 'test')
 UNION ALL SELECT row_id, 'text' FROM r WHERE coalesce(text, '') = '' UNION ALL SELECT row_id, 'status' FROM r WHERE review.status IS NULL OR review.status NOT IN ('pending', 'accepted', 'rejected')
 UNION ALL SELECT row_id, 'tokens' FROM r WHERE review.status = 'accepted' AND (review.tokens IS NULL OR len(review.tokens) = 0)
@@ -102,7 +102,7 @@ def cp_validate(s, d):
     return C.validate_records(table(s, d, "reviewed"))
 
 
-@query("seg_text_max", "SELECT doc_id, sent_no::BIGINT AS sent_no, unnest(range(1, ceil(length(t) / 80)::INT + 1)) - 1 AS part, substr(t, (80 * part + 1)::INT, 80) AS text FROM (SELECT doc_id, sent_no, regexp_replace(regexp_replace(x, '^[ \\t\\r\\f\\n]+', ''), '[ \\t\\r\\f\\n]+$', '') AS t FROM (SELECT doc_id, unnest(l) AS x, unnest(range(len(l))) AS sent_no FROM (SELECT doc_id, regexp_extract_all(text, '[^。！？!?；;\\n]*[。！？!?；;\\n]+|[^。！？!?；;\\n]+') AS l FROM documents))) WHERE t <> ''")
+@query("seg_text_max", "SELECT doc_id, sent_no::BIGINT AS sent_no, unnest(range(1, ceil(length(t) / 80)::INT + 1)) - 1 AS part, substr(t, (80 * part + 1)::INT, 80) AS text FROM (SELECT doc_id, sent_no, regexp_replace(regexp_replace(x, '^[ \\t\\r\\f\\n]+', ''), '[ \\t\\r\\f\\n]+\\z', '') AS t FROM (SELECT doc_id, unnest(l) AS x, unnest(range(len(l))) AS sent_no FROM (SELECT doc_id, regexp_extract_all(text, '[^。！？!?；;\\n]*[。！？!?；;\\n]+|[^。！？!?；;\\n]+') AS l FROM documents))) WHERE t <> ''")
 def seg_text_max(s, d):
     return C.split_max(documents(s, d), "doc_id", "text", 80)
 
@@ -171,9 +171,9 @@ def ev_timing(s, d):
     return p
 
 
-@query("ev_corpus_stats", f"SELECT round(avg(length(word)), 6) AS mean_length, round(avg((length(word) = 1)::INT), 6) AS single_share, count(*)::BIGINT AS words FROM {GOLD} WHERE regexp_matches(word, '^[{spec.HAN_TRAIN}]+$')")
+@query("ev_corpus_stats", f"SELECT round(avg(length(word)), 6) AS mean_length, round(avg((length(word) = 1)::INT), 6) AS single_share, count(*)::BIGINT AS words FROM {GOLD} WHERE regexp_matches(word, '^[{spec.HAN_TRAIN}]+\\z')")
 def ev_corpus_stats(s, d):
-    w = gold_tokens(s, d).where(F.col("word").rlike(f"^[{spec.HAN_TRAIN}]+$"))
+    w = gold_tokens(s, d).where(F.col("word").rlike(f"^[{spec.HAN_TRAIN}]+\\z"))
     return w.agg(F.round(F.avg(F.length("word")), 6).alias("mean_length"), F.round(F.avg((F.length("word") == 1).cast("int")), 6).alias("single_share"), F.count(F.lit(1)).alias("words"))
 
 

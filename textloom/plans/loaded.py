@@ -1,5 +1,5 @@
 """Imports every module that registers queries."""
 
-from textloom.plans import corpus, patterns, scalars
+from textloom.plans import corpus, lexicons, patterns, scalars, training
 
-MODULES = (corpus, patterns, scalars)
+MODULES = (corpus, lexicons, patterns, scalars, training)

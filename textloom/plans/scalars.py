@@ -47,9 +47,9 @@ for _name, _body in (("is_han_core", spec.HAN_CORE), ("is_han_train", spec.HAN_T
     query(_name, f"SELECT doc_id, length(regexp_replace(text, '[^{_body}]', '', 'g')) AS n FROM documents")(_han)
 
 _SURFACES = {
-    "han_word": f"^[{spec.HAN_TRAIN}]+$",
+    "han_word": f"^[{spec.HAN_TRAIN}]+\\z",
     "dict_surface": rf"^[{spec.HAN_TRAIN}\p{{L}}\p{{N}}.%％_-]*[{spec.HAN_TRAIN}][{spec.HAN_TRAIN}\p{{L}}\p{{N}}.%％_-]*$",
-    "qty_surface": rf"^[{spec.HAN_TRAIN}\p{{L}}\p{{N}}.,:/%％+$＄¥￥-]+$",
+    "qty_surface": rf"^[{spec.HAN_TRAIN}\p{{L}}\p{{N}}.,:/%％+$＄¥￥-]+\z",
 }
 
 
