@@ -293,44 +293,46 @@ def tokenize(model: BmesModel | None, text: str) -> list[tuple[str, str, int, in
 
 
 # ---------------------------------------------------------------- DataFrame operators
-def load_model(start: DataFrame, trans1: DataFrame, trans2: DataFrame, emit1: DataFrame, emit2: DataFrame, words: DataFrame, word_tags: DataFrame | None = None, tag_pairs: DataFrame | None = None, alpha: float = 0.1) -> BmesModel:
-    """Smoothed tables from counts. The number of entries is checked against ``MAX_MODEL_ENTRIES``."""
-    total = sum(x.count() for x in (emit1, emit2, words))
-    if total > MAX_MODEL_ENTRIES:
-        raise ValueError(f"the model has {total} entries; raise the support of its words")
-
-    def rows(df: DataFrame, width: int) -> dict[str, int]:
-        return {"".join(r[:width]): r[width] for r in df.collect()}
+def load_model(counts: DataFrame, alpha: float = 0.1) -> BmesModel:
+    """Smoothed tables from counts (kind, key, n), read in one job. Kinds: start, trans1, trans2, emit1, emit2 (keys of
+    joined states and a character), word, tag (word, tab, tag) and pair (tag, tab, tag). A model of more than
+    ``MAX_MODEL_ENTRIES`` entries is refused: raise the support of its words."""
+    read = counts.select("kind", "key", "n").limit(MAX_MODEL_ENTRIES + 1).toPandas()
+    if len(read) > MAX_MODEL_ENTRIES:
+        raise ValueError(f"the model has more than {MAX_MODEL_ENTRIES} entries")
+    by: dict[str, dict[str, int]] = {}
+    for kind, key, n in zip(read["kind"], read["key"], read["n"]):
+        by.setdefault(kind, {})[key] = int(n)
+
+    def smooth(table: dict[str, int], head: int, options: int) -> dict[str, float]:
+        sums: dict[str, int] = {}
+        for k, n in table.items():
+            sums[k[:head]] = sums.get(k[:head], 0) + n
+        return {k: math.log((n + alpha) / (sums[k[:head]] + alpha * options)) for k, n in table.items()}
 
-    def smooth(counts: dict[str, int], head: int, options: int) -> dict[str, float]:
+    def unknown(table: dict[str, int], head: int) -> dict[str, float]:
         sums: dict[str, int] = {}
-        for k, n in counts.items():
+        for k, n in table.items():
             sums[k[:head]] = sums.get(k[:head], 0) + n
-        return {k: math.log((n + alpha) / (sums[k[:head]] + alpha * options)) for k, n in counts.items()}
+        return {h: math.log(alpha / (n + alpha * vocabulary)) for h, n in sums.items()}
 
-    e1, e2 = rows(emit1, 2), rows(emit2, 3)
+    e1, e2, freq = by.get("emit1", {}), by.get("emit2", {}), by.get("word", {})
     vocabulary = len({k[-1] for k in e1}) + 1
-    unk = lambda c, head: {h: math.log(alpha / (sum(n for k, n in c.items() if k[:head] == h) + alpha * vocabulary)) for h in {k[:head] for k in c}}
-    freq = {r[0]: r[1] for r in words.collect()}
     whole = math.log(sum(freq.values()) or 1)
     tags: dict[str, dict[str, float]] = {}
-    if word_tags is not None:
-        for r in word_tags.collect():
-            tags.setdefault(r["word"], {})[r["tag"]] = r["n"]
-        for w, t in tags.items():
-            total_ = sum(t.values())
-            tags[w] = {k: math.log(n / total_) for k, n in t.items()}
-    first, pairs = {}, {}
-    if tag_pairs is not None:
-        counts = {(r["before"], r["after"]): r["n"] for r in tag_pairs.collect()}
-        seen = {a for _, a in counts}
-        sums: dict[str, int] = {}
-        for (b, _), n in counts.items():
-            sums[b] = sums.get(b, 0) + n
-        logs = {k: math.log((n + alpha) / (sums[k[0]] + alpha * len(seen))) for k, n in counts.items()}
-        first, pairs = {a: v for (b, a), v in logs.items() if b == ""}, {k: v for k, v in logs.items() if k[0]}
-        first = {t: first.get(t, -12.0) for t in seen}
-    return BmesModel(smooth(rows(start, 1), 0, 2), smooth(rows(trans1, 2), 1, 2), smooth(rows(trans2, 3), 2, 2), smooth(e1, 1, vocabulary), smooth(e2, 2, vocabulary), unk(e1, 1), unk(e2, 2), {w: math.log(n) - whole for w, n in freq.items() if len(w) >= 2}, {}, tags, first, pairs)
+    for k, n in by.get("tag", {}).items():
+        w, t = k.split("\t")
+        tags.setdefault(w, {})[t] = n
+    for w, t in tags.items():
+        total = sum(t.values())
+        tags[w] = {k: math.log(n / total) for k, n in t.items()}
+    pairs = {tuple(k.split("\t")): n for k, n in by.get("pair", {}).items()}
+    seen, sums = {a for _, a in pairs}, {}
+    for (b, _), n in pairs.items():
+        sums[b] = sums.get(b, 0) + n
+    logs = {k: math.log((n + alpha) / (sums[k[0]] + alpha * len(seen))) for k, n in pairs.items()}
+    first = {t: logs.get(("", t), -12.0) for t in seen}
+    return BmesModel(smooth(by.get("start", {}), 0, 2), smooth(by.get("trans1", {}), 1, 2), smooth(by.get("trans2", {}), 2, 2), smooth(e1, 1, vocabulary), smooth(e2, 2, vocabulary), unknown(e1, 1), unknown(e2, 2), {w: math.log(n) - whole for w, n in freq.items() if len(w) >= 2}, {}, tags, first, {k: v for k, v in logs.items() if k[0]})
 
 
 TOKEN = "array<struct<word:string,tag:string,start:int,end:int,kind:string>>"

@@ -76,18 +76,23 @@ def ivl_cover(s, d):
 
 
 def _model(s, d):
-    """Counts of the accepted records, smoothed; words seen at least three times."""
+    """Counts of the accepted records; words seen at least three times. One pass gives all character counts: each
+    character emits its keys, and one aggregate adds them up."""
     st = TR._states(s, d)
-    st = st.persist()
-    c = lambda *x: TR.R.counts(st, *x)
-    gold = gold_tokens(s, d).where(F.col("word").rlike(TR._HAN))
-    words = gold.where(F.length("word").between(2, 20)).groupBy(norm_text(F.col("word")).alias("word")).agg(F.count(F.lit(1)).alias("n")).where("n >= 3")
-    tags = gold.where("pos IS NOT NULL").groupBy("word", F.col("pos").alias("tag")).agg(F.count(F.lit(1)).alias("n")).where("n >= 2")
-    before = F.coalesce(F.lag("pos").over(Window.partitionBy("row_id").orderBy("i")), F.lit(""))
-    pairs = gold_tokens(s, d).where("pos IS NOT NULL").select(before.alias("before"), F.col("pos").alias("after")).groupBy("before", "after").agg(F.count(F.lit(1)).alias("n"))
-    model = S.load_model(TR.R.starts(st), c("s1", "state"), c("s2", "s1", "state"), c("state", "ch"), c("s1", "state", "ch"), words, tags, pairs)
-    st.unpersist()
-    return model
+    keys = {"trans1": ("s1", "state"), "trans2": ("s2", "s1", "state"), "emit1": ("state", "ch"), "emit2": ("s1", "state", "ch")}
+    emitted = [F.when(F.col("s1").isNull(), F.struct(F.lit("start").alias("kind"), F.col("state").alias("key")))]
+    emitted += [F.when(sum((F.col(c).isNull().cast("int") for c in columns), F.lit(0)) == 0, F.struct(F.lit(k).alias("kind"), F.concat(*columns).alias("key"))) for k, columns in keys.items()]
+    chars_ = st.select(F.explode(F.filter(F.array(*emitted), lambda x: x.isNotNull())).alias("e")).groupBy("e.kind", "e.key").agg(F.count(F.lit(1)).alias("n"))
+    g = gold_tokens(s, d).withColumn("before", F.coalesce(F.lag("pos").over(Window.partitionBy("row_id").orderBy("i")), F.lit("")))
+    han = F.col("word").rlike(TR._HAN)
+    emitted = [
+        F.when(han & F.length("word").between(2, 20), F.struct(F.lit("word").alias("kind"), norm_text(F.col("word")).alias("key"))),
+        F.when(han & F.col("pos").isNotNull(), F.struct(F.lit("tag").alias("kind"), F.concat_ws("\t", "word", "pos").alias("key"))),
+        F.when(F.col("pos").isNotNull(), F.struct(F.lit("pair").alias("kind"), F.concat_ws("\t", "before", "pos").alias("key"))),
+    ]
+    words = g.select(F.explode(F.filter(F.array(*emitted), lambda x: x.isNotNull())).alias("e")).groupBy("e.kind", "e.key").agg(F.count(F.lit(1)).alias("n"))
+    words = words.where("n >= CASE kind WHEN 'word' THEN 3 WHEN 'tag' THEN 2 ELSE 1 END")
+    return S.load_model(chars_.unionByName(words))
 
 
 @query("seg_cut")
