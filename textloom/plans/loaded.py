@@ -1,5 +1,5 @@
 """Imports every module that registers queries."""
 
-from textloom.plans import corpus, lexicons, patterns, scalars, segments, training
+from textloom.plans import corpus, lexicons, patterns, scalars, segments, structure, training
 
-MODULES = (corpus, lexicons, patterns, scalars, segments, training)
+MODULES = (corpus, lexicons, patterns, scalars, segments, structure, training)
