@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -41,21 +43,23 @@ def textrank(cands: DataFrame, adj: DataFrame, damping: float = DAMPING, iterati
     are single documents, and the graph's size is bounded by the document's tokens times the window.
     """
     edges = adj.groupBy("doc", F.col("a").alias("word")).agg(F.collect_list("b").alias("to"), F.collect_list("n").alias("n"), F.first("out").alias("out"))
-    rows = cands.join(edges, ["doc", "word"], "left")
+    rows = cands.join(edges, ["doc", "word"], "left").groupBy("doc").agg(F.array_sort(F.collect_list(F.struct("first", "word", "tf", "proper", "to", "n", "out"))).alias("nodes"))
     kind = cands.schema["doc"].dataType.simpleString()
 
-    def rank(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["first", "word"]).reset_index(drop=True)
-        at = {w: i for i, w in enumerate(pdf["word"])}
-        ws = [1.0 / len(at)] * len(at)
-        links = [[(at[b], n) for b, n in sorted(zip(to, ns)) if b in at] if to is not None else [] for to, ns in zip(pdf["to"], pdf["n"])]
-        out = pdf["out"].fillna(1.0).tolist()
-        for _ in range(iterations):
-            for i, link in enumerate(links):
-                ws[i] = (1 - damping) + damping * sum(n / out[j] * ws[j] for j, n in link)
-        return pdf[["doc", "word", "tf", "first", "proper"]].assign(weight=ws)
-
-    return rows.groupBy("doc").applyInPandas(rank, f"doc {kind}, word string, tf bigint, first bigint, proper boolean, weight double")
+    def rank(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            out = []
+            for doc, nodes in zip(pdf["doc"], pdf["nodes"]):
+                at = {r["word"]: i for i, r in enumerate(nodes)}
+                ws, total = [1.0 / len(at)] * len(at), [r["out"] or 1 for r in nodes]
+                links = [[(at[b], n) for b, n in sorted(zip(r["to"], r["n"])) if b in at] if r["to"] is not None else [] for r in nodes]
+                for _ in range(iterations):
+                    for i, link in enumerate(links):
+                        ws[i] = (1 - damping) + damping * sum(n / total[j] * ws[j] for j, n in link)
+                out += [(doc, r["word"], r["tf"], r["first"], r["proper"], w) for r, w in zip(nodes, ws)]
+            yield pd.DataFrame(out, columns=["doc", "word", "tf", "first", "proper", "weight"])
+
+    return rows.mapInPandas(rank, f"doc {kind}, word string, tf bigint, first bigint, proper boolean, weight double")
 
 
 def minmax(ranked: DataFrame) -> DataFrame:

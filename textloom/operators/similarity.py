@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -34,33 +36,60 @@ def _block_terms(items: DataFrame) -> DataFrame:
     return t.groupBy("block", "id", "term").agg(F.count(F.lit(1)).cast("double").alias("tf"))
 
 
-def bm25_pairs(items: DataFrame) -> DataFrame:
-    """Symmetric BM25 of the pairs of a block's items that share a term: rows (block, a, b, sim), a < b.
+def _block_pairs(items: DataFrame, similarity) -> DataFrame:
+    """(block, a, b, sim), a < b, of the items of a block that share a term.
 
-    Every fact about a posting (its weight as a target, the size of its item's vocabulary) is computed before the
-    self-join, so the pair step only multiplies and adds, and shuffles by (block, term).
+    Blocks are documents, so a group holds one document's terms; its pairs are products of small dense matrices
+    (items by terms), in slices of bounded size, instead of a join of every term's postings with themselves.
     """
-    from pyspark.sql import Window
-
-    t = _block_terms(items)
-    item = Window.partitionBy("block", "id")
-    t = t.withColumn("len", F.sum("tf").over(item)).withColumn("nterms", F.count(F.lit(1)).over(item).cast("double"))
-    block = t.groupBy("block").agg(F.countDistinct("id").cast("double").alias("n"), (F.sum("tf") / F.countDistinct("id")).alias("avgdl"))
-    t = t.withColumn("df", F.count(F.lit(1)).over(Window.partitionBy("block", "term")).cast("double")).join(block, "block")
-    idf = F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1)
-    t = t.select("block", "term", "id", "nterms", (idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("len") / F.col("avgdl")))).alias("w"))
-    a, b = (t.select("block", "term", *[F.col(c).alias(f"{c}_{x}") for c in ("id", "nterms", "w")]) for x in "ab")
-    p = a.join(b, ["block", "term"]).where("id_a < id_b").groupBy("block", F.col("id_a").alias("a"), F.col("id_b").alias("b"))
-    p = p.agg((F.sum("w_b") / F.first("nterms_a")).alias("ab"), (F.sum("w_a") / F.first("nterms_b")).alias("ba"))
-    mean = (F.col("ab") + F.col("ba")) / 2
-    return p.select("block", "a", "b", F.round(mean / (1 + mean), 6).alias("sim"))
+    terms = _block_terms(items)
+    kinds = items.schema["block"].dataType.simpleString(), items.schema["id"].dataType.simpleString()
+
+    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(["term", "id"])  # a fixed order of the sums
+        ids = np.sort(pdf["id"].unique())
+        n = len(ids)
+        row, (col, _) = np.searchsorted(ids, pdf["id"]), pd.factorize(pdf["term"])
+        tf, width = pdf["tf"].to_numpy(float), int(col.max()) + 1
+        facts = similarity(row, col, tf, n, width)
+        score, shared = np.zeros((n, n)), np.zeros((n, n), bool)
+        step = max(1, 4_000_000 // n)
+        for at in range(0, width, step):
+            use = (col >= at) & (col < at + step)
+            has, w = np.zeros((n, min(step, width - at))), np.zeros((n, min(step, width - at)))
+            has[row[use], col[use] - at] = facts["left"][use]
+            w[row[use], col[use] - at] = facts["right"][use]
+            score += has @ w.T
+            shared |= ((has != 0).astype(np.float32) @ (w != 0).astype(np.float32).T) > 0
+        a, b = np.nonzero(np.triu(shared, 1))
+        return pd.DataFrame({"block": key[0], "a": ids[a], "b": ids[b], "sim": facts["finish"](score, a, b)})
+
+    out = terms.groupBy("block").applyInPandas(run, f"block {kinds[0]}, a {kinds[1]}, b {kinds[1]}, sim double")
+    return out.select("block", "a", "b", F.round("sim", 6).alias("sim"))
+
+
+def _bm25(row, col, tf, n, width):
+    length, nterms = np.bincount(row, weights=tf, minlength=n), np.bincount(row, minlength=n)
+    df = np.bincount(col, minlength=width)[col]
+    idf = np.log((n - df + 0.5) / (df + 0.5) + 1)
+    w = idf * tf * (K1 + 1) / (tf + K1 * (1 - B + B * length[row] / length.mean()))
+
+    def finish(score, a, b):
+        mean = (score[a, b] / nterms[a] + score[b, a] / nterms[b]) / 2
+        return mean / (1 + mean)
+
+    return {"left": np.ones(len(tf)), "right": w, "finish": finish}
+
+
+def _cosine(row, col, tf, n, width):
+    norm = np.sqrt(np.bincount(row, weights=tf * tf, minlength=n))
+    return {"left": tf, "right": tf, "finish": lambda score, a, b: score[a, b] / (norm[a] * norm[b])}
 
 
-def cosine_pairs(items: DataFrame) -> DataFrame:
-    from pyspark.sql import Window
+def bm25_pairs(items: DataFrame) -> DataFrame:
+    """Symmetric BM25 (k1 1.2, b 0.75) of the items (block, id, text) of each block."""
+    return _block_pairs(items, _bm25)
 
-    t = _block_terms(items).withColumn("norm", F.sqrt(F.sum(F.col("tf") * F.col("tf")).over(Window.partitionBy("block", "id"))))
-    t = t.select("block", "term", "id", "tf", "norm")
-    a, b = (t.select("block", "term", *[F.col(c).alias(f"{c}_{x}") for c in ("id", "tf", "norm")]) for x in "ab")
-    p = a.join(b, ["block", "term"]).where("id_a < id_b").groupBy("block", F.col("id_a").alias("a"), F.col("id_b").alias("b"))
-    return p.agg(F.round(F.sum(F.col("tf_a") * F.col("tf_b")) / (F.first("norm_a") * F.first("norm_b")), 6).alias("sim"))
+
+def cosine_pairs(items: DataFrame) -> DataFrame:
+    return _block_pairs(items, _cosine)

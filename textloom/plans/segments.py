@@ -13,6 +13,7 @@ from textloom.plans import training as TR
 from textloom.plans.common import GOLD, gold_tokens, reviewed, table
 from textloom.plans.registry import query
 from textloom.plans.scalars import _CLASS_SQL
+from textloom.session import spread
 
 _SCAN = f"[{spec.ALNUM}]+|[{spec.HAN_CORE}]+|[{spec.SPACE}]+|([{spec.PUNCT}])\\1*|[^{spec.ALNUM}{spec.HAN_CORE}{spec.SPACE}{spec.PUNCT}]+"
 _ISLANDS = f"""(SELECT row_id, (min(i) - 1)::BIGINT AS char_start, max(i)::BIGINT AS char_end, string_agg(ch, '' ORDER BY i) AS word, CASE class WHEN 'Alnum' THEN CASE WHEN bool_and(ch BETWEEN '0' AND '9') THEN 'Num' ELSE 'Eng' END ELSE class END AS kind FROM (
@@ -97,7 +98,7 @@ def _model(s, d):
 
 @query("seg_cut")
 def seg_cut(s, d):
-    return reviewed(s, d).select("row_id", S.cut_column(F.col("text"), _model(s, d)).alias("words"))
+    return spread(reviewed(s, d)).select("row_id", S.cut_column(F.col("text"), _model(s, d)).alias("words"))
 
 
 query("seg_viterbi")(lambda s, d: seg_cut(s, d).select(F.explode("words").alias("word")).where(F.col("word").rlike(f"^[{spec.HAN_CORE}]+$")).groupBy("word").agg(F.count(F.lit(1)).alias("n")))
@@ -105,7 +106,7 @@ query("seg_viterbi")(lambda s, d: seg_cut(s, d).select(F.explode("words").alias(
 
 @query("tokenize")
 def tokenize(s, d):
-    t = reviewed(s, d).select("row_id", F.posexplode(S.tokens_column(F.col("text"), _model(s, d))).alias("position", "k"))
+    t = spread(reviewed(s, d)).select("row_id", F.posexplode(S.tokens_column(F.col("text"), _model(s, d))).alias("position", "k"))
     return t.select("row_id", "position", "k.word", "k.tag", "k.kind", "k.start", "k.end")
 
 
