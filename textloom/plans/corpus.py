@@ -2,11 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from textloom.functions import spec
-from textloom.functions import text as T
 from textloom.operators import corpus as C
 from textloom.plans.common import GOLD, documents, gold_tokens, q, reviewed, table
 from textloom.plans.registry import query
@@ -165,9 +163,9 @@ def ev_regress(s, d):
     return only(g, p, "gold_only").union(only(p, g, "predicted_only"))
 
 
-@query("ev_timing", "SELECT tool, count(*)::BIGINT AS runs, median(epoch_us(run_at))::BIGINT AS median_us FROM prediction GROUP BY tool HAVING count(*) % 2 = 1 OR true")
+@query("ev_timing", "SELECT tool, count(*)::BIGINT AS runs, floor(median(epoch_us(run_at)))::BIGINT AS median_us FROM prediction GROUP BY tool")
 def ev_timing(s, d):
-    p = table(s, d, "prediction").groupBy("tool").agg(F.count(F.lit(1)).alias("runs"), F.percentile(F.unix_micros(F.col("run_at").cast("timestamp")), 0.5).cast("long").alias("median_us"))
+    p = table(s, d, "prediction").groupBy("tool").agg(F.count(F.lit(1)).alias("runs"), F.floor(F.percentile(F.unix_micros(F.col("run_at").cast("timestamp")), 0.5)).alias("median_us"))
     return p
 
 
@@ -176,5 +174,3 @@ def ev_corpus_stats(s, d):
     w = gold_tokens(s, d).where(F.col("word").rlike(f"^[{spec.HAN_TRAIN}]+\\z"))
     return w.agg(F.round(F.avg(F.length("word")), 6).alias("mean_length"), F.round(F.avg((F.length("word") == 1).cast("int")), 6).alias("single_share"), F.count(F.lit(1)).alias("words"))
 
-
-__all__ = ["T", "Window"]
