@@ -51,3 +51,18 @@ def test_table(spark):
     assert sorted(x for x in got if x[0] == 1) == [(1, 0, 2), (1, 0, 2), (1, 1, 4), (1, 1, 4)]
     assert sum(x[0] == 4 for x in got) == 50000 and (None, 0, 1) in got and not any(x[0] in (2, 3) for x in got)
     assert sentence_units(df.where("false"), "key", "text").count() == 0
+
+def test_document_evidence(spark):
+    rows = [(1, "d", "See the tel. of Kestrel, or ask."), (2, "d", "Their tel. Kestrel hall."), (3, "e", "Their tel. Kestrel hall."), (4, None, "Their tel. Kestrel hall.")]
+    df = spark.createDataFrame(rows, "key long, doc string, text string")
+    got = sentence_units(df, "key", "text", Corpus(), "doc").groupBy("key").count().collect()
+    assert dict(map(tuple, got)) == {1: 1, 2: 1, 3: 2, 4: 2}
+
+
+def test_evidence_before_the_fixed_list():
+    assert len(sentence_ends("There is no way. He said no. We left.")) == 3
+    assert len(sentence_ends("There is no way. See No. 5. Mr. Bell rang the bell.")) == 3
+
+
+def test_a_number_may_open_a_sentence():
+    assert len(sentence_ends("So the paper claims. 3 rows came. So it claims. We left.")) == 4

@@ -17,8 +17,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textloom.llm.aligned import Aligned
-from textloom.session import table
+from textloom.llm.aligned import _ALIGNED, Aligned
+from textloom.session import cut_lineage, table
 
 # Abbreviations that stand before the word they belong to, so that they never end a sentence.
 PREPOSITIVE = frozenset("mr mrs ms dr st prof rev gen col capt lt sgt hon sr sra srta fr hr nr no nos vol vols fig figs vs ver art sec ch pp e.g i.e cf approx ca z b bzw usw d.h z.b mme mlle m".split())
@@ -38,48 +38,110 @@ _CANDIDATE = re.compile(rf"[{TERMINATORS}.．…]+|[{re.escape(''.join({*OPEN, *
 _BREAK = re.compile("[\n\r\v\f\x1c-\x1e\x85  ]+")
 _WORD_BEFORE = re.compile(r"[^\W\d_](?:[^\W\d_]|\.(?=[^\W\d_]))*$")
 _NEXT_WORD = re.compile(r"[^\W\d_]+")
-_ABBREVIATION_USE = re.compile(r"(?<![^\W_.])((?:[^\W\d_]\.?){1,12})\.(?=[,;:)]| ?[a-zà-öø-ÿ]| \d)")
-_PROPER_USE = re.compile(r"[a-zà-öø-ÿ],? ([A-ZÀ-ÖØ-Þ][^\W\d_]+)")
+def _class(kind: Callable[[str], bool]) -> str:
+    """The characters of the first plane of a kind, as the inside of a character class."""
+    runs: list[list[int]] = []
+    for c in filter(lambda c: kind(chr(c)), range(0x10000)):
+        if runs and runs[-1][1] == c - 1:
+            runs[-1][1] = c
+        else:
+            runs.append([c, c])
+    return "".join(re.escape(chr(x)) + "-" + re.escape(chr(y)) for x, y in runs)
+
+
+_DOTTED_USE = re.compile(r"(?<![^\W_.])((?:[^\W\d_]\.?){1,12})\.(?=([,;:)]| ?[^\W\d_]| \d|\s*\Z|[ \t]*[\n\r]))")
+# Words of the scripts with capitals; not inside names, addresses or shortened forms.
+_CASED_USE = re.compile(rf"(?<![\w@./'’-])[{_class(lambda c: c.lower() != c.upper())}]+(?![\w@/-])(?!\.\w)")
+_ASKED = re.compile(rf"[.．][{re.escape(CLOSERS)} \t　]*(?=[^\W_])")
+_PERIODS = _class(lambda c: any(x in _ALIGNED[ord(c)] for x in ".．"))
 _SPACES = " \t　"
 _LATIN_LEAD = re.compile(r"[A-Za-zÀ-ɏ0-9_.@+()\[\]-]+(?: [A-Za-zÀ-ɏ0-9_.@+()\[\]-]+){0,7} ?")
 _CJK = re.compile("[぀-ヿ㐀-䶿一-鿿가-힣]")
 
 
-class Evidence:
-    """Words with unambiguous occurrences; of the document, filled when first asked for, or of the corpus."""
+class Corpus:
+    """Words with unambiguous occurrences in a document or in the whole corpus: ``abbreviations`` and ordinary ``words``
+    in lower case (a word in both is ambiguous), ``proper`` names as written, ``common`` words in lower case."""
+
+    __slots__ = ("abbreviations", "proper", "words", "common")
 
-    __slots__ = ("text", "_abbreviations", "_proper", "_common")
+    def __init__(self, abbreviations=frozenset(), proper=frozenset(), words=frozenset(), common=frozenset()):
+        self.abbreviations, self.proper, self.words, self.common = abbreviations, proper, words, common
 
-    def __init__(self, text: str):
-        self.text, self._abbreviations, self._proper, self._common = text, None, None, {}
 
-    def abbreviation(self, word: str) -> bool:
-        if self._abbreviations is None:
-            self._abbreviations = {m[1].lower() for m in _ABBREVIATION_USE.finditer(self.text)}
-        return word in self._abbreviations
+# What is counted of a word: with a period before a lower-case letter or comma; before a digit; before these or a capital;
+# before anything else or nothing; capitalised after a lower-case word; in lower case; in lower case without a period.
+COUNTS = ("inside", "number", "dotted", "other", "up", "low", "plain")
 
-    def proper(self, word: str) -> bool:
-        """Capitalised inside a sentence and nowhere in lower case."""
-        if self._proper is None:
-            self._proper = set(_PROPER_USE.findall(self.text))
-        return word in self._proper and not self.common(word)
 
-    def common(self, word: str) -> bool:
-        """In lower case somewhere in the document."""
-        word = word.lower()
-        if word not in self._common:
-            self._common[word] = re.search(rf"(?<![^\W_]){re.escape(word)}(?![^\W_])", self.text) is not None
-        return self._common[word]
+def add_uses(text: str, uses: dict[str, list[int]]) -> None:
+    """Adds the ``COUNTS`` of the words of a folded text to ``uses``."""
+    if "." in text:
+        for m in _DOTTED_USE.finditer(text):
+            c, n = m[2][-1:].strip(), uses.setdefault(m[1].lower(), [0] * len(COUNTS))
+            n[0] += c.islower() or c != "" and c in ",;:)"
+            n[1] += c.isdigit()
+            tells = c != "" and (not c.isalpha() or c.islower() or c.isupper())
+            n[2] += tells
+            n[3] += not tells
+    for m in _CASED_USE.finditer(text):
+        w, a = m[0], m.start()
+        if w.islower():
+            n = uses.setdefault(w, [0] * len(COUNTS))
+            n[5] += 1
+            n[6] += text[m.end() : m.end() + 1] != "."
+        elif w[0].isupper() and len(w) > 1 and a > 1 and text[a - 1] == " " and text[a - 3 if text[a - 2] == "," and a > 2 else a - 2].islower():
+            uses.setdefault(w.lower(), [0] * len(COUNTS))[4] += 1
 
 
-class Corpus:
-    """What the whole corpus says about words for which the document says nothing."""
+def asked(text: str) -> set[str]:
+    """The words, in lower case, that decide about the periods of a folded text: those before and behind them."""
+    out = set()
+    for m in _ASKED.finditer(text):
+        before, behind = _WORD_BEFORE.search(text, max(0, m.start() - 40), m.start()), _NEXT_WORD.match(text, m.end())
+        if before:
+            out.add(before[0].lower())
+            if behind:
+                out.add(behind[0].lower())
+    return out
+
+
+# Evidence as bits: abbreviation, ordinary word, proper name, common word. One use is enough in a document; a digit may
+# open a sentence, so that it tells only of words that never stand with a period elsewhere.
+IN_DOCUMENT = "IF(inside > 0 OR number > 0 AND number = dotted AND other = 0, 1, 0) + IF(plain > 0, 2, 0) + IF(up > 0 AND low = 0, 4, 0) + IF(low > 0, 8, 0)"
 
-    def __init__(self, abbreviations: frozenset[str] = frozenset(), proper: frozenset[str] = frozenset()):
-        self.abbreviations, self.proper = abbreviations, proper
+
+def _from_bits(bits: dict[str, int]) -> Corpus:
+    kind = lambda b: frozenset(w for w, x in bits.items() if x & b)
+    return Corpus(kind(1), kind(4), kind(2), kind(8))
+
+
+def _own_evidence(text: str) -> Corpus:
+    """The evidence of a folded text that is a document of its own."""
+    uses: dict[str, list[int]] = {}
+    add_uses(text, uses)
+    return _from_bits({w: (i > 0 or 0 < number == dotted and not other) + 2 * (plain > 0) + 4 * (up > 0 and not low) + 8 * (low > 0) for w, (i, number, dotted, other, up, low, plain) in uses.items()})
+
+
+def _abbreviation(word: str, doc: Corpus, corpus: Corpus) -> bool | None:
+    """Whether a word is an abbreviation or an ordinary word; None if neither document nor corpus says."""
+    for scope in (doc, corpus):
+        if (word in scope.abbreviations) != (word in scope.words):
+            return word in scope.abbreviations
+    return None
+
+
+def _name(word: str, doc: Corpus, corpus: Corpus) -> bool | None:
+    """Whether a capitalised word is a proper name or a common word; None if neither document nor corpus says."""
+    for scope in (doc, corpus):
+        if word.lower() in scope.common:
+            return False
+        if word in scope.proper or word.lower() in scope.proper:
+            return True
+    return None
 
 
-def _period_ends(s: str, unit: int, at: int, after: int, b: int, doc: Evidence, corpus: Corpus) -> bool:
+def _period_ends(s: str, unit: int, at: int, after: int, b: int, doc: Corpus, corpus: Corpus) -> bool:
     """Whether the single period at ``at`` ends a unit; ``after`` is the offset behind it and any closers."""
     if after >= b:
         return True
@@ -110,23 +172,29 @@ def _period_ends(s: str, unit: int, at: int, after: int, b: int, doc: Evidence,
         return not (word and word[0].lower() in MONTHS)
     if not word:
         return True
-    if word in PREPOSITIVE:
-        return False
     if len(word) == 1 and m[0].isupper() and c.isupper() and at - 2 >= unit and s[at - 2] in _SPACES:
         return False  # an initial
-    known = word in ABBREVIATIONS
-    if not known and not doc.abbreviation(word) and word not in corpus.abbreviations:
+    title = word in PREPOSITIVE
+    capital = m[0][0].isupper()
+    opens = not any(x.isalnum() for x in s[unit : m.start()])
+    if title and (c.isdigit() or capital and not opens or word not in doc.words and word not in corpus.words):
+        return False  # no ordinary use of the word is known, or it is not written as one
+    short = _abbreviation(word, doc, corpus)
+    if short is False and not (title and capital):
+        return True
+    if short is None and not title and word not in ABBREVIATIONS:
         return True
     if c.isdigit():
         return False
     following = _NEXT_WORD.match(s, k)
     if following and following[0][0].isupper():
-        if following[0].lower() in PREPOSITIVE or doc.common(following[0]):
-            return True  # a title or a common word with a capital opens a sentence
-        if doc.proper(following[0]) or following[0] in corpus.proper:
-            return False
-        return known
-    return known or not following
+        if following[0].lower() in PREPOSITIVE:
+            return True  # a title opens a sentence
+        name = _name(following[0], doc, corpus)
+        if name is not None:
+            return not name  # a common word with a capital opens a sentence
+        return word in ABBREVIATIONS
+    return word in ABBREVIATIONS or not following
 
 
 def _switches(s: str, k: int, b: int) -> bool:
@@ -135,7 +203,7 @@ def _switches(s: str, k: int, b: int) -> bool:
     return m is not None and m.end() < b and _CJK.match(s, m.end()) is not None
 
 
-def _line_ends(s: str, a: int, b: int, doc: Evidence, corpus: Corpus, out: list[int]) -> None:
+def _line_ends(s: str, a: int, b: int, doc: Corpus, corpus: Corpus, out: list[int]) -> None:
     """Appends the ends of the units of the line ``s[a:b]``."""
     while b > a and s[b - 1].isspace():
         b -= 1
@@ -220,11 +288,12 @@ def _introduced(s: str, unit: int, opened: int, spoken: bool) -> bool:
     return k >= unit and (s[k] in ":：" or spoken)
 
 
-def sentence_ends(stored: str, corpus: Corpus = Corpus()) -> list[int]:
-    """Offsets (code points) behind the last character of each unit of a text; empty and blank texts have none."""
+def sentence_ends(stored: str, corpus: Corpus = Corpus(), doc: Corpus | None = None) -> list[int]:
+    """Offsets (code points) behind the last character of each unit of a text; empty and blank texts have none.
+    ``doc`` is the evidence of the document the text belongs to; without it, the text is the document."""
     folded = Aligned(stored)
     s = folded.text
-    doc, out, a = Evidence(s), [], 0
+    doc, out, a = _own_evidence(s) if doc is None else doc, [], 0
     for m in _BREAK.finditer(s):
         _line_ends(s, a, m.start(), doc, corpus, out)
         a = m.end()
@@ -249,29 +318,65 @@ def corpus_evidence(df: DataFrame, text: str, min_count: int = 5, min_share: flo
     return Corpus(frozenset(r["w"] for r in abbreviations.collect()), frozenset(r["l"].capitalize() for r in proper.collect()))
 
 
-def sentence_units(df: DataFrame, key: str, text: str, corpus: Corpus | None = None) -> DataFrame:
+def document_uses(rows: DataFrame) -> DataFrame:
+    """(scope, word, ``COUNTS``) of rows (scope, text): counted a batch at a time, then by hash aggregate with map-side
+    combine, so that a large document is no group in any one task."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            scopes: dict[str, dict[str, list[int]]] = {}
+            for scope, t in zip(pdf["scope"], pdf["text"]):
+                add_uses(Aligned(t).text, scopes.setdefault(scope, {}))
+            out = [(scope, w, *n) for scope, uses in scopes.items() for w, n in uses.items()]
+            yield pd.DataFrame(out, columns=["scope", "word", *COUNTS])
+
+    uses = rows.select("scope", "text").mapInPandas(run, "scope string, word string, " + ", ".join(f"{c} bigint" for c in COUNTS))
+    return uses.groupBy("scope", "word").agg(*(F.sum(c).alias(c) for c in COUNTS))
+
+
+def _questions(rows: DataFrame) -> DataFrame:
+    """(scope, digest, word) of the words that rows (scope, digest, text) ask for, once each."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            out = {(scope, digest, w) for scope, digest, t in zip(pdf["scope"], pdf["digest"], pdf["text"]) for w in asked(Aligned(t).text)}
+            yield pd.DataFrame(list(out), columns=["scope", "digest", "word"])
+
+    return rows.select("scope", "digest", "text").mapInPandas(run, "scope string, digest binary, word string").distinct()
+
+
+def sentence_units(df: DataFrame, key: str, text: str, corpus: Corpus | None = None, document: str | None = None) -> DataFrame:
     """Rows (key, sent_no, sent_end): the units of each text in order, ends in code points, exclusive.
 
-    Whole texts of any length are split in the row's own task, without a shuffle. Null, empty and blank texts
-    give no rows; repeated rows give their units again; other columns play no part.
+    Rows of one ``document`` share their evidence; without it, or where it is null, each text is its own document.
+    Evidence is joined to the words that a text asks for, and only texts with a period before other characters are
+    shuffled to their answers; all others are split in the row's own task. Null, empty and blank texts give no rows;
+    repeated rows give their units again; other columns play no part.
     """
     corpus = corpus_evidence(df, text) if corpus is None else corpus
-    schema = df.select(F.col(key).alias("key")).schema
-    kind = schema["key"].dataType.simpleString()
+    rows = df.select(F.col(key).alias("key"), F.col(text).cast("string").alias("text"), (F.col(document).cast("string") if document else F.lit(None).cast("string")).alias("d")).where("text IS NOT NULL")
+    digest = F.unhex(F.md5("text"))
+    rows = rows.select("key", "text", F.coalesce(F.concat(F.lit("d"), "d"), F.concat(F.lit("t"), F.md5("text"))).alias("scope"), F.col("text").rlike(f"(?s)[{_PERIODS}].").alias("asks"))
+    asking = rows.where("asks").withColumn("digest", digest)
+    uses = cut_lineage(document_uses(rows))
+    answers = _questions(asking).join(uses, ["scope", "word"]).select("scope", "digest", F.concat_ws(" ", "word", F.expr(IN_DOCUMENT)).alias("a"))
+    answers = answers.groupBy("scope", "digest").agg(F.array_join(F.collect_list("a"), "\n").alias("a"))
+    asking = asking.join(answers, ["scope", "digest"], "left").select("key", "text", "a")
+    kind = rows.schema["key"].dataType.simpleString()
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            ends = [sentence_ends(t, corpus) if t is not None else [] for t in pdf["text"]]
+            ends = [sentence_ends(t, corpus, _from_bits({w: int(x) for w, x in map(str.split, a.split("\n"))} if a else {})) for t, a in zip(pdf["text"], pdf["a"])]
             sizes = np.fromiter((len(e) for e in ends), np.int64, len(ends))
             total = int(sizes.sum())
             number = np.arange(total) - np.repeat(np.cumsum(sizes) - sizes, sizes)
             yield pd.DataFrame({"key": pdf["key"].repeat(sizes).reset_index(drop=True), "sent_no": number, "sent_end": np.fromiter((x for e in ends for x in e), np.int64, total)})
 
-    return df.select(F.col(key).alias("key"), F.col(text).cast("string").alias("text")).where("text IS NOT NULL").mapInPandas(run, f"key {kind}, sent_no bigint, sent_end bigint")
+    return rows.where("NOT asks").select("key", "text", F.lit(None).cast("string").alias("a")).unionByName(asking).mapInPandas(run, f"key {kind}, sent_no bigint, sent_end bigint")
 
 
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    units = sentence_units(table(spark, sf_dir, "reviewed"), "row_id", "text")
+    units = sentence_units(table(spark, sf_dir, "reviewed"), "row_id", "text", document="document_id")
     return units.select(F.col("key").alias("row_id"), "sent_end")
 
 
