@@ -66,3 +66,14 @@ def test_evidence_before_the_fixed_list():
 
 def test_a_number_may_open_a_sentence():
     assert len(sentence_ends("So the paper claims. 3 rows came. So it claims. We left.")) == 4
+
+
+def test_corpus_counts_all_rows(spark):
+    # Neighbouring words count both, as do rows without a period and words of other scripts.
+    rows = [(f"t{i}", "They saw the dept. of all.") for i in range(5)] + [(f"n{i}", "we met, Kestrel Orlan and Marlow") for i in range(5)]
+    rows += [("veto", "a marlow there"), ("x", "Their dept. Orlan hall."), ("y", "Their dept. Marlow hall.")]
+    rows += [(f"c{i}", "они жили на ул. у реки, где Ленский") for i in range(5)] + [("z", "Его ул. Ленский дом.")]
+    rows += [(f"w{i}", "there is no way") for i in range(5)] + [("no", "He said no. We left.")]
+    df = spark.createDataFrame(rows, "key string, text string")
+    got = dict(map(tuple, sentence_units(df, "key", "text").groupBy("key").count().collect()))
+    assert (got["x"], got["y"], got["z"], got["no"]) == (1, 2, 1, 2)

@@ -301,21 +301,15 @@ def sentence_ends(stored: str, corpus: Corpus = Corpus(), doc: Corpus | None = N
     return [folded.end(e) for e in out]
 
 
-def corpus_evidence(df: DataFrame, text: str, min_count: int = 5, min_share: float = 0.1, max_words: int = 100_000) -> Corpus:
-    """The corpus fallback: words of up to six letters that stand with a period before a lower-case letter, comma
-    or digit in at least ``min_share`` of their dotted occurrences, and words capitalised inside sentences and
-    never in lower case. Counted over all rows; at most ``max_words`` of each kind, the most frequent, are sent to
-    the tasks (a documented bound: rarer ones fall back to the fixed list)."""
-    texts = df.select(F.col(text).alias("t")).where(F.col("t").rlike("[A-Za-z]\\."))
-    dotted = texts.select(F.explode(F.expr(r"regexp_extract_all(t, '(?<![\\p{L}.])((?:\\p{L}\\.?){1,6})\\.([,;:)]| ?\\p{Ll}| \\d| ?\\p{Lu})', 0)")).alias("x"))
-    dotted = dotted.select(F.lower(F.regexp_extract("x", r"^((?:\p{L}\.?)+)\.", 1)).alias("w"), F.expr(r"x RLIKE '\\p{Lu}$'").alias("upper"))
-    counts = dotted.groupBy("w").agg(F.sum(F.when(F.col("upper"), 0).otherwise(1)).alias("inside"), F.count(F.lit(1)).alias("n"))
-    abbreviations = counts.where((F.col("inside") >= min_count) & (F.col("inside") >= min_share * F.col("n")) & (F.length("w") > 0)).orderBy(F.desc("inside"), "w").limit(max_words)
-    words = texts.select(F.explode(F.expr(r"regexp_extract_all(t, '\\p{Ll},? \\p{L}\\p{Ll}+', 0)")).alias("x")).select(F.regexp_extract("x", r"(\p{L}+)$", 1).alias("w"))
-    words = words.groupBy("w").count().select(F.lower("w").alias("l"), "w", "count", (F.lower("w") != F.col("w")).alias("capital"))
-    proper = words.groupBy("l").agg(F.sum(F.when(F.col("capital"), F.col("count")).otherwise(0)).alias("up"), F.sum(F.when(F.col("capital"), 0).otherwise(F.col("count"))).alias("low"))
-    proper = proper.where((F.col("up") >= min_count) & (F.col("low") == 0)).orderBy(F.desc("up"), "l").limit(max_words)
-    return Corpus(frozenset(r["w"] for r in abbreviations.collect()), frozenset(r["l"].capitalize() for r in proper.collect()))
+def corpus_evidence(uses: DataFrame, min_count: int = 5, min_share: float = 0.1) -> DataFrame:
+    """The corpus fallback (word, bits) from the uses of all documents, counted over all texts: words of up to six
+    letters that stand with a period before a lower-case letter, comma or digit in at least ``min_share`` of their dotted
+    occurrences, words at least as often without a period as with one, words capitalised inside sentences and never
+    in lower case, and words more often in lower case than capitalised there; ``min_count`` such uses at least."""
+    n = uses.groupBy("word").agg(*(F.sum(c).alias(c) for c in COUNTS))
+    short = f"inside + number >= {min_count} AND inside + number >= {min_share} * dotted AND length(replace(word, '.', '')) <= 6"
+    word = f"plain >= {min_count} AND plain >= dotted + other"
+    return n.select("word", F.expr(f"IF({short}, 1, 0) + IF({word}, 2, 0) + IF(up >= {min_count} AND low = 0, 4, 0) + IF(low >= {min_count} AND low > up, 8, 0)").alias("c")).where("c > 0")
 
 
 def document_uses(rows: DataFrame) -> DataFrame:
@@ -348,25 +342,31 @@ def _questions(rows: DataFrame) -> DataFrame:
 def sentence_units(df: DataFrame, key: str, text: str, corpus: Corpus | None = None, document: str | None = None) -> DataFrame:
     """Rows (key, sent_no, sent_end): the units of each text in order, ends in code points, exclusive.
 
-    Rows of one ``document`` share their evidence; without it, or where it is null, each text is its own document.
+    Rows of one ``document`` share their evidence; without it, or where it is null, each text is its own document. The
+    fallback is ``corpus``, or by default what all rows say together.
     Evidence is joined to the words that a text asks for, and only texts with a period before other characters are
     shuffled to their answers; all others are split in the row's own task. Null, empty and blank texts give no rows;
     repeated rows give their units again; other columns play no part.
     """
-    corpus = corpus_evidence(df, text) if corpus is None else corpus
     rows = df.select(F.col(key).alias("key"), F.col(text).cast("string").alias("text"), (F.col(document).cast("string") if document else F.lit(None).cast("string")).alias("d")).where("text IS NOT NULL")
     digest = F.unhex(F.md5("text"))
     rows = rows.select("key", "text", F.coalesce(F.concat(F.lit("d"), "d"), F.concat(F.lit("t"), F.md5("text"))).alias("scope"), F.col("text").rlike(f"(?s)[{_PERIODS}].").alias("asks"))
     asking = rows.where("asks").withColumn("digest", digest)
     uses = cut_lineage(document_uses(rows))
-    answers = _questions(asking).join(uses, ["scope", "word"]).select("scope", "digest", F.concat_ws(" ", "word", F.expr(IN_DOCUMENT)).alias("a"))
+    answers = _questions(asking).join(uses.select("scope", "word", F.expr(IN_DOCUMENT).alias("d")), ["scope", "word"], "left")
+    answers = answers.join(cut_lineage(corpus_evidence(uses)), "word", "left") if corpus is None else answers.withColumn("c", F.lit(0))
+    answers = answers.select("scope", "digest", F.concat_ws(" ", "word", F.coalesce("d", F.lit(0)), F.coalesce("c", F.lit(0))).alias("a"))
     answers = answers.groupBy("scope", "digest").agg(F.array_join(F.collect_list("a"), "\n").alias("a"))
     asking = asking.join(answers, ["scope", "digest"], "left").select("key", "text", "a")
     kind = rows.schema["key"].dataType.simpleString()
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            ends = [sentence_ends(t, corpus, _from_bits({w: int(x) for w, x in map(str.split, a.split("\n"))} if a else {})) for t, a in zip(pdf["text"], pdf["a"])]
+            ends = []
+            for t, a in zip(pdf["text"], pdf["a"]):
+                bits = [x.split(" ") for x in a.split("\n")] if a else []
+                doc = _from_bits({w: int(d) for w, d, _ in bits})
+                ends.append(sentence_ends(t, corpus or _from_bits({w: int(c) for w, _, c in bits}), doc))
             sizes = np.fromiter((len(e) for e in ends), np.int64, len(ends))
             total = int(sizes.sum())
             number = np.arange(total) - np.repeat(np.cumsum(sizes) - sizes, sizes)
