@@ -31,3 +31,12 @@ def test_pairs(spark):
     got = {tuple(r) for r in same_looking_pairs(df, "key_a", "text").collect()}
     assert got == {(1, 2), (2, 3), (6, 7), (8, 9)}
     assert same_looking_pairs(df.where("false"), "key_a", "text").count() == 0
+
+
+def test_changed_covers_both_tables(spark, tmp_path):
+    from textloom.llm.lookalike import p1_changed
+
+    spark.createDataFrame([(1, "ＡＢ"), (2, "сute"), (3, None)], "row_id long, text string").write.parquet(f"{tmp_path}/reviewed.parquet")
+    spark.createDataFrame([(1, "喜　悅"), (2, None)], "entry_id long, word string").write.parquet(f"{tmp_path}/emotion_lexicon.parquet")
+    got = {tuple(r) for r in p1_changed(spark, str(tmp_path)).select("table_name", "key", "form").collect()}
+    assert got == {("reviewed", 1, "AB"), ("reviewed", 2, "cute"), ("reviewed", 3, None), ("emotion_lexicon", 1, "喜 悅"), ("emotion_lexicon", 2, None)}

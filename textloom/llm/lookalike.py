@@ -163,10 +163,18 @@ def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return parts[0].unionByName(parts[1])
 
 
+def consistent_forms(df: DataFrame, key: str, text: str) -> DataFrame:
+    """Rows (key, form): the consistent form of every text, null for a null text."""
+    return df.select(F.col(key).cast("long").alias("key"), canonical_text(F.col(text)).alias("form"))
+
+
 def p1_changed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The lexicon's words with their consistent form."""
-    words = table(spark, sf_dir, "emotion_lexicon")
-    return words.select("entry_id", "word", canonical_text(F.col("word")).alias("form"))
+    """The consistent form of every reviewed text and every word of the lexicon."""
+    parts = [
+        consistent_forms(table(spark, sf_dir, name), key, text).select(F.lit(name).alias("table_name"), "key", "form")
+        for name, key, text in (("reviewed", "row_id", "text"), ("emotion_lexicon", "entry_id", "word"))
+    ]
+    return parts[0].unionByName(parts[1])
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"p1_found": p1_found, "p1_changed": p1_changed}
