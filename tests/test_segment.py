@@ -82,3 +82,11 @@ def test_time_merge():
 
 def test_priorities():
     assert [(r, k) for *_, k, r in protected("寫信到a-b@c.example或看x-1")] == [("email", "Email"), ("model_id", "Eng")]
+
+
+def test_long_runs_are_decoded_as_a_whole():
+    long = "甲乙乙甲乙" * 4
+    model = toy({"乙甲乙": -1.0}, {long: 400.0})
+    for text in ("乙甲" * 40 + long + "甲乙" * 20, "乙" * 60 + long + "乙"):
+        got = [text[a:b] for a, b, _ in cut(model, text)]
+        assert got == decode(model, text) and long in got

@@ -139,7 +139,8 @@ def decode(model: BmesModel, text: str, max_word: int = MAX_WORD) -> list[str]:
 
     Inner M runs are prefix sums. A span of two characters or more hides the states before its first one, so for each
     start only the best context is taken, separately for an E next, an M next and a dictionary reading; a pair of
-    start and end then costs a constant.
+    start and end then costs a constant. Paths are chains of back-pointers (path before, end), so that memory grows with
+    the chunk and not with its square.
     """
     n = len(text)
     if not n:
@@ -153,12 +154,12 @@ def decode(model: BmesModel, text: str, max_word: int = MAX_WORD) -> list[str]:
     m_after_b = [emission("B", "M", ch) for ch in text]
     e_after_b = [emission("B", "E", ch) for ch in text]
     e_after_m = [emission("M", "E", ch) for ch in text]
-    best: list[dict[str, tuple[float, tuple[int, ...]]]] = [{} for _ in range(n + 1)]
+    best: list[dict[str, tuple[float, tuple]]] = [{} for _ in range(n + 1)]
     best[0][""] = (0.0, ())
     for i in range(n):
         to_e = to_m = to_word = None
         for ctx, (score, path) in best[i].items():
-            _keep(best[i + 1], (ctx + "S")[-2:], score + model.boundary(ctx, "S") + emission(ctx[-1:], "S", text[i]), path + (i + 1,))
+            _keep(best[i + 1], (ctx + "S")[-2:], score + model.boundary(ctx, "S") + emission(ctx[-1:], "S", text[i]), (path, i + 1))
             first = score + model.boundary(ctx, "B")
             begun = first + emission(ctx[-1:], "B", text[i])
             last = (ctx + "B")[-2:]
@@ -178,18 +179,26 @@ def decode(model: BmesModel, text: str, max_word: int = MAX_WORD) -> list[str]:
                 score += custom[word]
             elif word in words:
                 score, path = to_word[0] + words[word], to_word[1]
-            _keep(best[j], state, score, path + (j,))
-    _, ends = min((-s, p) for s, p in best[n].values())
+            _keep(best[j], state, score, (path, j))
+    _, ends = min((-s, _ends(p)) for s, p in best[n].values())
     return [text[a:b] for a, b in zip((0, *ends), ends)]
 
 
-def _better(old: tuple[float, tuple[int, ...]] | None, score: float, path: tuple[int, ...]) -> tuple[float, tuple[int, ...]]:
-    return (score, path) if old is None or score > old[0] or (score == old[0] and path < old[1]) else old
+def _ends(path: tuple) -> tuple[int, ...]:
+    out = []
+    while path:
+        path, end = path
+        out.append(end)
+    return tuple(reversed(out))
+
 
+def _better(old: tuple[float, tuple] | None, score: float, path: tuple) -> tuple[float, tuple]:
+    return (score, path) if old is None or score > old[0] or (score == old[0] and _ends(path) < _ends(old[1])) else old
 
-def _keep(slot: dict, ctx: str, score: float, path: tuple[int, ...]) -> None:
+
+def _keep(slot: dict, ctx: str, score: float, path: tuple) -> None:
     old = slot.get(ctx)
-    if old is None or score > old[0] or (score == old[0] and path < old[1]):
+    if old is None or score > old[0] or (score == old[0] and _ends(path) < _ends(old[1])):
         slot[ctx] = (score, path)
 
 
@@ -222,7 +231,7 @@ def cut(model: BmesModel | None, text: str) -> list[tuple[int, int, str]]:
     out = []
     for a, b, kind in chunks(plain):
         if kind == "Han" and model is not None:
-            for w in decode_bounded(model, plain[a:b]):
+            for w in decode(model, plain[a:b]):
                 out.append((a, a + len(w), "Word"))
                 a += len(w)
         else:
@@ -230,24 +239,6 @@ def cut(model: BmesModel | None, text: str) -> list[tuple[int, int, str]]:
     return merge_time(plain, out)
 
 
-#: Longest span that is tried inside a Han chunk of more than this many characters (long runs without punctuation).
-LONG_CHUNK, LONG_WORD = 64, 12
-
-
-def decode_bounded(model: BmesModel, chunk: str) -> list[str]:
-    """``decode`` in linear memory for very long chunks: paths grow with the chunk, so it is decoded in windows that
-    overlap and agree on a word boundary."""
-    if len(chunk) <= LONG_CHUNK:
-        return decode(model, chunk)
-    out, at = [], 0
-    while at < len(chunk):
-        window = decode(model, chunk[at : at + LONG_CHUNK], LONG_WORD)
-        keep = window if at + LONG_CHUNK >= len(chunk) else window[: max(1, len(window) - 4)]
-        out += keep
-        at += sum(map(len, keep))
-    return out
-
-
 _NUMERAL = re.compile(f"第?[{spec.HAN_NUMERALS}]+個?")
 _UNITS = frozenset("年 季 月 週 周 天 日 號 期 星期 禮拜".split())
 
