@@ -178,6 +178,8 @@ class Items:
         self.texts = [_text(p) for p, _ in bare_]
         self.tokens = np.fromiter((len(f) for _, f in bare_), np.int64, len(bare_))
         self.least = np.fromiter((least_hits(int(n), min_share, max_changed) for n in self.tokens), np.int64, len(bare_))
+        # The diagonals of the hits of one passage are at most this far apart, and not less than a few changed words.
+        self.drift = np.fromiter((max(12, int(max_changed * len(t))) for t in self.texts), np.int64, len(bare_))
         self.least_letters = np.fromiter((least_letter_hits(len(t), min_share) for t in self.texts), np.int64, len(bare_))
         columns: list[list[np.ndarray]] = [[], [], [], [], []]
         for i, (p, f) in enumerate(bare_):
@@ -252,12 +254,9 @@ class Scanner:
             return []
         pair = row[d] * len(items.keys) + items.item[seed]
         letters = items.family[seed] == len(MASKS)
-        codes, back = np.unique(pair, return_inverse=True)
-        enough = (np.bincount(back, ~letters, len(codes)) >= items.least[codes % len(items.keys)]) | (np.bincount(back, letters, len(codes)) >= items.least_letters[codes % len(items.keys)])
-        kept = np.flatnonzero(enough[back])
-        kept = kept[np.argsort(back[kept], kind="stable")]
+        kept = _banded(pair, letters, d - items.start[seed], items.drift[items.item[seed]], np.where(letters, items.least_letters[items.item[seed]], items.least[items.item[seed]]))
         found, text = [], _text(joined)
-        for hits in np.split(kept, np.flatnonzero(np.diff(back[kept])) + 1):
+        for hits in np.split(kept, np.flatnonzero(np.diff(pair[kept])) + 1):
             if len(hits):
                 i, r = int(pair[hits[0]]) % len(items.keys), int(pair[hits[0]]) // len(items.keys)
                 best = self._best(i, text, d[hits], d_end[hits], items.start[seed[hits]], items.end[seed[hits]], letters[hits], int(starts[r]), int(starts[r + 1]))
@@ -268,10 +267,7 @@ class Scanner:
     def _best(self, i: int, text: str, d: np.ndarray, d_end: np.ndarray, q: np.ndarray, q_end: np.ndarray, letters: np.ndarray, start: int, end: int) -> tuple[float, float] | None:
         p, best = self.items.texts[i], None
         size, least, least_letters = len(p), int(self.items.least[i]), int(self.items.least_letters[i])
-        # The hits of one passage are at most this far apart, since half the item may be all of it.
-        drift, gap = max(12, int(self.max_changed * size)), max(40, size // 2)
-        if not any(_band(np.sort((d - q)[of]), drift) >= n for of, n in ((~letters, least), (letters, least_letters))):
-            return None
+        drift, gap = int(self.items.drift[i]), max(40, size // 2)
         for d0, d1, q0, q1, of_tokens, of_letters in _chains(d, d_end, q, q_end, letters, drift, gap):
             if of_tokens < least and of_letters < least_letters:
                 continue
@@ -288,9 +284,16 @@ class Scanner:
         return best
 
 
-def _band(diagonals: np.ndarray, drift: int) -> int:
-    """The most hits on diagonals that are at most twice ``drift`` apart; ``diagonals`` in order."""
-    return int((np.searchsorted(diagonals, diagonals + 2 * drift, "right") - np.arange(len(diagonals))).max(initial=0))
+def _banded(pair: np.ndarray, letters: np.ndarray, diagonal: np.ndarray, drift: np.ndarray, least: np.ndarray) -> np.ndarray:
+    """The hits, ordered by pair, with ``least`` of their pair and kind on diagonals at most twice ``drift`` apart."""
+    _, rank = np.unique(pair, return_inverse=True)
+    key = (rank * 2 + letters << 34) + diagonal + (1 << 33)
+    order = np.argsort(key, kind="stable")
+    along = key[order]
+    last = np.searchsorted(along, along + 2 * drift[order], "right")
+    full = np.flatnonzero(last - np.arange(len(along)) >= least[order])
+    edges = np.bincount(full, minlength=len(along) + 1) - np.bincount(last[full], minlength=len(along) + 1)
+    return order[np.cumsum(edges[:-1]) > 0]
 
 
 #: What may be skipped at the end of a passage: characters of the item and of the text, short changes first.
