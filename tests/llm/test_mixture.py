@@ -39,6 +39,11 @@ def test_mix(spark):
     total = sum(len(t) for _, s, t, _ in docs[:220]) + 20
     assert r["none"]["falls_short"] and not r["big"]["falls_short"] and not r["small"]["falls_short"]
     assert abs(r["big"]["mixed_tokens"] - 0.7 * total) <= 40 and abs(r["small"]["mixed_tokens"] - 0.2 * total) <= 60
+    have = {"big": sum(len(t) for _, s, t, _ in docs[:200]) + 20, "small": 600, "none": 0}
+    assert {s for s, x in r.items() if x["falls_short"]} == {s for s, share, cap in plan if cap * have[s] < share * total}
+    capped = spark.createDataFrame([("big", 0.2, 2), ("small", 0.8, 3)], "source string, target_share double, max_repeat int")
+    c = {x["source"]: x for x in mix(d, "id", "source", "text", capped, vocabulary="bytes")[1].collect()}
+    assert c["small"]["falls_short"] and c["small"]["copies"] == 60 and c["small"]["mixed_tokens"] == 1800 and not c["big"]["falls_short"]
     assert selection.where("copies > 3").count() == 0 and selection.where("source = 'other'").count() == 0
     assert mix(d.where("false"), "id", "source", "text", p, vocabulary="bytes")[0].count() == 0
     assert mix(d, "id", "source", "text", p.where("false"), vocabulary="bytes")[1].count() == 0

@@ -101,7 +101,8 @@ def mix(docs: DataFrame, key: str, source: str, text: str, plan: DataFrame, voca
     """(selection, report): rows (id, source, tokens, copies) with at least one copy, and one row per plan source.
 
     The report has ``target_share, max_repeat, documents, tokens, target_tokens, copies, mixed_tokens, actual_share``
-    and ``falls_short`` (even max_repeat copies of everything stay below the target). ``total_tokens`` defaults to
+    and ``falls_short`` (every document was taken max_repeat times, and the tokens so mixed stay below the target: read off
+    the selection, after the draw). ``total_tokens`` defaults to
     the tokens of all documents of the plan's sources. A source without documents falls short if its target is
     positive. Documents with a null key, a null text or a source outside the plan are left out; a text without
     tokens is taken as it comes and changes no total; repeated rows count as documents of their own; an empty plan
@@ -123,7 +124,7 @@ def mix(docs: DataFrame, key: str, source: str, text: str, plan: DataFrame, voca
         n, tokens = have.get(s, (0, 0))
         want = share * total
         rate = min(float(cap), want / tokens) if tokens else 0.0
-        facts.append((s, share, cap, n, tokens, want, rate, cap * tokens < want or (not n and share > 0)))
+        facts.append((s, share, cap, n, tokens, want, rate))
     rates = {f[0]: f[6] for f in facts}
     whole = F.create_map(*[x for s, r in rates.items() for x in (F.lit(s), F.lit(int(r + _EPS)))])[F.col("source")] if rates else F.lit(0)
     part = {s: max(0.0, r - int(r + _EPS)) for s, r in rates.items()}
@@ -133,11 +134,13 @@ def mix(docs: DataFrame, key: str, source: str, text: str, plan: DataFrame, voca
     both = rest if drawn is None else rest.unionByName(cube_sample(drawn, {s: have[s][0] for s in part if s in have}, seed))
     selection = both.select("id", "source", "tokens", (whole + F.round("chance")).cast("int").alias("copies")).where("copies > 0")
     taken = selection.groupBy("source").agg(F.sum("copies").alias("copies"), F.sum(F.col("copies") * F.col("tokens")).alias("mixed_tokens"))
-    fixed = spark.createDataFrame([(*f[:6], bool(f[7])) for f in facts], "source string, target_share double, max_repeat int, documents bigint, tokens bigint, target_tokens double, falls_short boolean")
+    fixed = spark.createDataFrame([f[:6] for f in facts], "source string, target_share double, max_repeat int, documents bigint, tokens bigint, target_tokens double")
     report = fixed.join(taken, "source", "left").fillna(0, ["copies", "mixed_tokens"])
     mixed = taken.agg(F.sum("mixed_tokens").alias("all_mixed"))
     report = report.crossJoin(F.broadcast(mixed))  # one row
-    return selection, report.select("source", "target_share", "max_repeat", "documents", "tokens", F.round("target_tokens", 3).alias("target_tokens"), "copies", "mixed_tokens", F.round(F.col("mixed_tokens") / F.greatest("all_mixed", F.lit(1)), 6).alias("actual_share"), "falls_short")
+    at_cap = F.col("copies") == F.col("documents") * F.col("max_repeat")
+    short = at_cap & ((F.col("mixed_tokens") < F.col("target_tokens")) | (F.col("documents") == 0) & (F.col("target_share") > 0))
+    return selection, report.select("source", "target_share", "max_repeat", "documents", "tokens", F.round("target_tokens", 3).alias("target_tokens"), "copies", "mixed_tokens", F.round(F.col("mixed_tokens") / F.greatest("all_mixed", F.lit(1)), 6).alias("actual_share"), short.alias("falls_short"))
 
 
 def _mix(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
