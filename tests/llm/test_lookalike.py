@@ -1,6 +1,6 @@
 import pytest
 
-from textloom.llm.lookalike import canonical, resolve_token, same_looking_pairs
+from textloom.llm.lookalike import canonical, resolve_token, same_looking_classes, same_looking_pairs
 
 SAME = [
     ("ＡＢＣ１２", "ABC12"), ("café", "café"), ("ofﬁce", "office"), ("a​b­", "ab"), ("a b　c", "a b c"), ("co‐op－x", "co-op-x"),
@@ -40,3 +40,20 @@ def test_changed_covers_both_tables(spark, tmp_path):
     spark.createDataFrame([(1, "喜　悅"), (2, None)], "entry_id long, word string").write.parquet(f"{tmp_path}/emotion_lexicon.parquet")
     got = {tuple(r) for r in p1_changed(spark, str(tmp_path)).select("table_name", "key", "form").collect()}
     assert got == {("reviewed", 1, "AB"), ("reviewed", 2, "cute"), ("reviewed", 3, None), ("emotion_lexicon", 1, "喜 悅"), ("emotion_lexicon", 2, None)}
+
+
+def test_scripts_are_resolved():
+    assert canonical("σοι") != canonical("οοι")
+    assert canonical("Ꭺꓐᴄ"[:2]) == "AB" and canonical("օrange") == "orange"
+    assert canonical("Москва") == "Москва" and canonical("Mосква") == "Москва"  # only Cyrillic is left: the Latin letter becomes Cyrillic
+    assert canonical("入ロ") == "入口" and canonical("口ビー") == "ロビー" == canonical("ロビー") and canonical("入口") == "入口"
+    assert canonical(canonical("力タログ")) == canonical("カタログ") == "カタログ"
+
+
+def test_classes_say_what_pairs_say(spark):
+    rows = [(1, "ab c"), (2, "a\u200bb c"), (3, "ab c"), (4, "аb c"), (5, "other"), (6, None), (7, "other")]
+    df = spark.createDataFrame(rows, "k long, t string")
+    got = sorted(tuple(r) for r in same_looking_classes(df, "k", "t").collect())
+    assert got == [(1, 1, 1), (2, 1, 2), (3, 1, 1), (4, 1, 4)]
+    pairs = {(a, b) for a, c, f in got for b, e, g in got if a < b and c == e and f != g}
+    assert pairs == {tuple(r) for r in same_looking_pairs(df, "k", "t").collect()}
