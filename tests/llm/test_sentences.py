@@ -77,3 +77,14 @@ def test_corpus_counts_all_rows(spark):
     df = spark.createDataFrame(rows, "key string, text string")
     got = dict(map(tuple, sentence_units(df, "key", "text").groupBy("key").count().collect()))
     assert (got["x"], got["y"], got["z"], got["no"]) == (1, 2, 1, 2)
+
+
+@pytest.mark.parametrize(
+    "text,units",
+    [
+        ("Я живу на ул. Ленина. Там тихо.", 2), ("Ο κ. Παπαδόπουλος ήρθε. Μετά έφυγε.", 2), ("La Dra. Pérez llegó. Luego salió.", 2), ("Vivo en Av. Juárez. Es lejos.", 2),
+        ("Τι κάνεις; Είμαι καλά.", 2), ("Was it late; It was not.", 1), ("One; Two; Three.", 1),
+    ],
+)
+def test_other_scripts(text, units):
+    assert len(sentence_ends(text)) == units

@@ -21,7 +21,10 @@ from textloom.llm.aligned import _ALIGNED, Aligned
 from textloom.session import cut_lineage, table
 
 # Abbreviations that stand before the word they belong to, so that they never end a sentence.
-PREPOSITIVE = frozenset("mr mrs ms dr st prof rev gen col capt lt sgt hon sr sra srta fr hr nr no nos vol vols fig figs vs ver art sec ch pp e.g i.e cf approx ca z b bzw usw d.h z.b mme mlle m".split())
+PREPOSITIVE = frozenset(
+    Aligned(w).text
+    for w in "mr mrs ms dr st prof rev gen col capt lt sgt hon sr sra srta fr hr nr no nos vol vols fig figs vs ver art sec ch pp e.g i.e cf approx ca z b bzw usw d.h z.b mme mlle m dra dña av avda pág núm ул пл пер им стр рис проф акад κ κα κος δρ".split()
+)
 # Abbreviations that may also end a sentence.
 ABBREVIATIONS = frozenset("a.m p.m etc jr inc ltd co corp ave blvd rd u.s u.k u.n ph.d b.c a.d est dept al op ed eds jan feb mar apr jun jul aug sep sept oct nov dec".split())
 # Month names that follow an ordinal number with a period.
@@ -34,7 +37,8 @@ QUOTES = "「『“«„\""
 CLOSERS = "」』”》〉）)】]»\"'’"
 TERMINATORS = "。｡！？!?؟۔।॥‽⁇⁈⁉։።。།၊။។"
 _NO_PERIOD_SCRIPT = re.compile("[ऀ-෿ก-๿]")  # a period there only shortens a word
-_CANDIDATE = re.compile(rf"[{TERMINATORS}.．…]+|[{re.escape(''.join({*OPEN, *OPEN.values()}))}]|(?<=[ก-๿])[ 　]+")
+_GREEK = re.compile("[ά-ώβγδεζηθλμξπστφχψω]")
+_CANDIDATE = re.compile(rf"[{TERMINATORS}.．…]+|;|[{re.escape(''.join({*OPEN, *OPEN.values()}))}]|(?<=[ก-๿])[ 　]+")
 _BREAK = re.compile("[\n\r\v\f\x1c-\x1e\x85  ]+")
 _WORD_BEFORE = re.compile(r"[^\W\d_](?:[^\W\d_]|\.(?=[^\W\d_]))*$")
 _NEXT_WORD = re.compile(r"[^\W\d_]+")
@@ -247,6 +251,13 @@ def _line_ends(s: str, a: int, b: int, doc: Corpus, corpus: Corpus, out: list[in
                 last[closer] = s.rfind(closer, a, b)
             if last[closer] > i:
                 stack.append((closer, i, c in QUOTES))
+        elif c == ";":
+            k = j
+            while k < b and s[k] in _SPACES:
+                k += 1
+            if not stack and k > j and k < b and s[k].isupper() and 3 * len(_GREEK.findall(s, unit, i)) > i - unit:
+                out.append(j)  # the question mark of Greek
+                unit, spoken, skip = k, False, j
         elif c in _SPACES:
             if not stack and s.endswith(THAI_END, unit, i):
                 out.append(i)
