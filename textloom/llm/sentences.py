@@ -255,7 +255,7 @@ def _line_ends(s: str, a: int, b: int, doc: Corpus, corpus: Corpus, out: list[in
             k = j
             while k < b and s[k] in _SPACES:
                 k += 1
-            if not stack and k > j and k < b and s[k].isupper() and 3 * len(_GREEK.findall(s, unit, i)) > i - unit:
+            if not stack and k > j and k < b and s[k].isupper() and 4 * len(_GREEK.findall(s, unit, i)) > i - unit:
                 out.append(j)  # the question mark of Greek
                 unit, spoken, skip = k, False, j
         elif c in _SPACES:
