@@ -11,8 +11,23 @@ from textloom.functions import spec
 SCORE_WEIGHTS = {"proper": 0.30, "money": 0.25, "date": 0.15, "quantity": 0.10, "number": 0.10, "acronym": 0.05, "object": 0.05}
 
 
+_WORD = r"[\p{IsAlphabetic}\p{M}\p{Nd}\p{Pc}\x{200C}\x{200D}]"
+
+
+def java_pattern(name: str) -> str:
+    """A signal's pattern for the JVM: a word boundary is one of letters of any script."""
+    return spec.SIGNALS[name].replace(r"\p{Han}", r"\p{IsHan}").replace(r"\b", f"(?:(?<={_WORD})(?!{_WORD})|(?<!{_WORD})(?={_WORD}))")
+
+
 def signal_count(c: Column, name: str) -> Column:
-    return F.regexp_count(c, F.lit(spec.SIGNALS[name].replace(r"\p{Han}", r"\p{IsHan}"))).cast("long")
+    return F.regexp_count(c, F.lit(java_pattern(name))).cast("long")
+
+
+def signal_score(c: Column) -> Column:
+    """The weights of the signals that a text has, at most 1."""
+    some = lambda *names: (sum((signal_count(c, n) for n in names), F.lit(0)) > 0).cast("int")
+    total = sum((F.lit(w) * (some("proper_en", "proper_cjk") if n == "proper" else some(n)) for n, w in SCORE_WEIGHTS.items()), F.lit(0.0))
+    return F.least(F.lit(1.0), total)
 
 
 def negations(c: Column) -> tuple[Column, Column]:

@@ -36,7 +36,7 @@ def depends(candidate: str) -> bool:
 
 
 def depends_sql(column: str) -> Column:
-    """The same test as an expression, for texts without parenthesised acronyms."""
+    """The same test as an expression."""
     c = F.regexp_replace(F.trim(F.regexp_replace(F.trim(F.col(column)), "[，,]+$", "")), "^[0-9.)）、]*", "")
     return (
         c.rlike("|".join(spec.DEPENDENT_ANYWHERE))
@@ -44,6 +44,8 @@ def depends_sql(column: str) -> Column:
         | (c.rlike("|".join(spec.CONDITION)) & c.rlike(f"(?:{'|'.join(spec.CONDITION_UNITS)})\\z"))
         | c.rlike("|".join(spec.DEFINITION))
         | c.rlike("先(?![生進前祖])")
+        | c.rlike(r"（(?=[^）]*[A-Z][^）]*[A-Z])[A-Z0-9&./-]{1,12}）[^（]*\z")
+        | c.rlike(r"\((?=[^)]*[A-Z][^)]*[A-Z])[A-Z0-9&./-]{1,12}\)[^(]*\z")
     )
 
 

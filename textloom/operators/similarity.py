@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -31,40 +33,62 @@ def document_terms(df: DataFrame, key: str, text: str, stopwords: DataFrame | No
     return t.groupBy(key, "term").agg(F.count(F.lit(1)).alias("tf"))
 
 
-def _block_terms(items: DataFrame) -> DataFrame:
-    t = items.select("block", "id", F.explode(term_array(F.col("text"))).alias("term"))
-    return t.groupBy("block", "id", "term").agg(F.count(F.lit(1)).cast("double").alias("tf"))
+#: Cells of a product that are held at once.
+CELLS = 4_000_000
 
 
 def _block_pairs(items: DataFrame, similarity) -> DataFrame:
     """(block, a, b, sim), a < b, of the items of a block that share a term.
 
-    Blocks are documents, so a group holds one document's terms; its pairs are products of small dense matrices
-    (items by terms), in slices of bounded size, instead of a join of every term's postings with themselves.
+    Blocks are documents, so a row of the packed table holds one document's terms, as hashes; its pairs are products of small
+    matrices (items by terms), in slices of rows and terms of bounded size, instead of a join of every term's postings
+    with themselves. Many documents make one Arrow batch, so that a call to Python is not paid for each.
     """
-    terms = _block_terms(items)
     kinds = items.schema["block"].dataType.simpleString(), items.schema["id"].dataType.simpleString()
+    hashed = items.select("block", "id", F.transform(term_array(F.col("text")), lambda t: F.xxhash64(t)).alias("terms")).where("size(terms) > 0")
+    packed = hashed.groupBy("block").agg(F.sort_array(F.collect_list(F.struct("id", "terms"))).alias("x")).where("size(x) > 1")
+    packed = packed.select("block", F.col("x.id").alias("ids"), F.transform("x", lambda r: F.size(r["terms"])).alias("sizes"), F.flatten("x.terms").alias("terms"))
 
-    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["term", "id"])  # a fixed order of the sums
-        ids = np.sort(pdf["id"].unique())
+    def pairs(ids: np.ndarray, sizes: np.ndarray, hashes: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
         n = len(ids)
-        row, (col, _) = np.searchsorted(ids, pdf["id"]), pd.factorize(pdf["term"])
-        tf, width = pdf["tf"].to_numpy(float), int(col.max()) + 1
+        names, col = np.unique(hashes, return_inverse=True)
+        width = len(names)
+        cell, tf = np.unique(np.repeat(np.arange(n), sizes) * width + col, return_counts=True)
+        row, col, tf = cell // width, cell % width, tf.astype(float)
         facts = similarity(row, col, tf, n, width)
-        score, shared = np.zeros((n, n)), np.zeros((n, n), bool)
-        step = max(1, 4_000_000 // n)
-        for at in range(0, width, step):
-            use = (col >= at) & (col < at + step)
-            has, w = np.zeros((n, min(step, width - at))), np.zeros((n, min(step, width - at)))
-            has[row[use], col[use] - at] = facts["left"][use]
-            w[row[use], col[use] - at] = facts["right"][use]
-            score += has @ w.T
-            shared |= ((has != 0).astype(np.float32) @ (w != 0).astype(np.float32).T) > 0
-        a, b = np.nonzero(np.triu(shared, 1))
-        return pd.DataFrame({"block": key[0], "a": ids[a], "b": ids[b], "sim": facts["finish"](score, a, b)})
-
-    out = terms.groupBy("block").applyInPandas(run, f"block {kinds[0]}, a {kinds[1]}, b {kinds[1]}, sim double")
+        height = max(1, min(n, CELLS // n))
+        step = max(1, min(width, CELLS // n))
+        for top in range(0, n, height):
+            rows = min(height, n - top)
+            ab, ba, shared = np.zeros((rows, n)), np.zeros((rows, n)), np.zeros((rows, n), bool)
+            for at in range(0, width, step):
+                use = (col >= at) & (col < at + step)
+                left, right = np.zeros((n, min(step, width - at))), np.zeros((n, min(step, width - at)))
+                left[row[use], col[use] - at] = facts["left"][use]
+                right[row[use], col[use] - at] = facts["right"][use]
+                ab += left[top : top + rows] @ right.T
+                ba += right[top : top + rows] @ left.T
+                shared |= ((left[top : top + rows] != 0).astype(np.float32) @ (left != 0).astype(np.float32).T) > 0
+            a, b = np.nonzero(shared & (np.arange(n) > np.arange(top, top + rows)[:, None]))
+            yield ids[a + top], ids[b], facts["finish"](ab[a, b], ba[a, b], a + top, b)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            blocks, a, b, sim, held = [], [], [], [], 0
+            for block, ids, sizes, terms in zip(pdf["block"], pdf["ids"], pdf["sizes"], pdf["terms"]):
+                for x, y, z in pairs(np.asarray(ids), np.asarray(sizes), np.asarray(terms)):
+                    blocks.append(np.full(len(x), block))
+                    a.append(x)
+                    b.append(y)
+                    sim.append(z)
+                    held += len(x)
+                    if held > CELLS:
+                        yield pd.DataFrame({"block": np.concatenate(blocks), "a": np.concatenate(a), "b": np.concatenate(b), "sim": np.concatenate(sim)})
+                        blocks, a, b, sim, held = [], [], [], [], 0
+            if a:
+                yield pd.DataFrame({"block": np.concatenate(blocks), "a": np.concatenate(a), "b": np.concatenate(b), "sim": np.concatenate(sim)})
+
+    out = packed.mapInPandas(run, f"block {kinds[0]}, a {kinds[1]}, b {kinds[1]}, sim double")
     return out.select("block", "a", "b", F.round("sim", 6).alias("sim"))
 
 
@@ -74,8 +98,8 @@ def _bm25(row, col, tf, n, width):
     idf = np.log((n - df + 0.5) / (df + 0.5) + 1)
     w = idf * tf * (K1 + 1) / (tf + K1 * (1 - B + B * length[row] / length.mean()))
 
-    def finish(score, a, b):
-        mean = (score[a, b] / nterms[a] + score[b, a] / nterms[b]) / 2
+    def finish(ab, ba, a, b):
+        mean = (ab / nterms[a] + ba / nterms[b]) / 2
         return mean / (1 + mean)
 
     return {"left": np.ones(len(tf)), "right": w, "finish": finish}
@@ -83,7 +107,7 @@ def _bm25(row, col, tf, n, width):
 
 def _cosine(row, col, tf, n, width):
     norm = np.sqrt(np.bincount(row, weights=tf * tf, minlength=n))
-    return {"left": tf, "right": tf, "finish": lambda score, a, b: score[a, b] / (norm[a] * norm[b])}
+    return {"left": tf, "right": tf, "finish": lambda ab, ba, a, b: ab / (norm[a] * norm[b])}
 
 
 def bm25_pairs(items: DataFrame) -> DataFrame:

@@ -12,16 +12,17 @@ from textloom.plans.common import GOLD, gold_tokens, q, reviewed, table
 from textloom.plans.registry import query
 
 _NORM = f"translate({{}}, '{spec.NORM_FROM}', '{spec.NORM_TO}')"
-# Dictionary of these queries: reviewed Han words of two to five characters with their number of occurrences and first tag.
-_DICT = f"(SELECT word, count(*)::BIGINT AS freq, min(pos) AS tag FROM {GOLD} WHERE regexp_matches(word, '^[{spec.HAN_TRAIN}]{{2,5}}\\z') GROUP BY word)"
+# Dictionary of these queries: reviewed Han words of 2 to 255 characters with their number of occurrences and first tag.
+_DICT = f"(SELECT word, count(*)::BIGINT AS freq, min(pos) AS tag FROM {GOLD} WHERE regexp_matches(word, '^[{spec.HAN_TRAIN}]{{2,255}}\\z') GROUP BY word)"
 
 
 def _dictionary(s, d):
-    g = gold_tokens(s, d).where(F.col("word").rlike(f"^[{spec.HAN_TRAIN}]{{2,5}}\\z"))
+    g = gold_tokens(s, d).where(F.col("word").rlike(f"^[{spec.HAN_TRAIN}]{{2,255}}\\z"))
     return g.groupBy("word").agg(F.count(F.lit(1)).alias("freq"), F.min("pos").alias("tag"))
 
 
-_HITS = f"SELECT row_id, (i - 1)::BIGINT AS start, substr(t, i::INT, k::INT) AS word FROM (SELECT row_id, t, k, unnest(range(1, length(t) - k + 2)) AS i FROM (SELECT row_id, {_NORM.format('text')} AS t, unnest(range(2, 6)) AS k FROM reviewed))"
+# Every length that a dictionary word has, at every position.
+_HITS = f"SELECT row_id, (i - 1)::BIGINT AS start, substr(t, i::INT, k::INT) AS word FROM (SELECT row_id, t, k, unnest(range(1, length(t) - k + 2)) AS i FROM (SELECT row_id, {_NORM.format('text')} AS t, unnest((SELECT list(DISTINCT length(word)) FROM {_DICT})) AS k FROM reviewed))"
 
 
 @query("dict_match", f"SELECT row_id, start, word, freq, tag FROM ({_HITS}) JOIN (SELECT {_NORM.format('word')} AS word, sum(freq)::BIGINT AS freq, min(tag) AS tag FROM {_DICT} GROUP BY ALL) USING (word)")
@@ -209,15 +210,15 @@ def ed_delete_first(s, d):
     return r.join(first, "row_id", "left_anti")
 
 
-@query("ed_infer", f"SELECT row_id, (list(p ORDER BY length(p) DESC, n))[1] AS word FROM (SELECT row_id, p, row_number() OVER () AS n FROM (SELECT row_id, unnest(string_split(line, '|')) AS p FROM {_LINES})) WHERE length(p) >= 2 GROUP BY row_id HAVING count(*) = 1")
+@query("ed_infer", f"SELECT row_id, list_extract(list(p ORDER BY length(p) DESC, n), 1) AS word FROM (SELECT row_id, unnest(l) AS p, generate_subscripts(l, 1) AS n FROM (SELECT row_id, string_split(line, '|') AS l FROM {_LINES})) WHERE length(p) >= 2 GROUP BY row_id")
 def ed_infer(s, d):
-    """The longest part of at least two characters (lines with just one such part, where order cannot matter)."""
-    parts = F.filter(F.split("line", r"\|"), lambda x: F.length(x) >= 2)
-    return _pipe_lines(s, d).select("row_id", parts.alias("p")).where("size(p) = 1").select("row_id", F.array_sort("p", lambda a, b: F.length(b) - F.length(a))[0].alias("word"))
+    """The first of the longest parts of at least two characters of every line; lines without one give no row."""
+    parts = F.filter(F.transform(F.split("line", r"\|"), lambda x, i: F.struct((-F.length(x)).alias("size"), i.alias("at"), x.alias("part"))), lambda x: x["size"] <= -2)
+    return _pipe_lines(s, d).select("row_id", F.array_min(parts)["part"].alias("word")).where("word IS NOT NULL")
 
 
 _STATE = f"(SELECT {_NORM.format('word')} AS canonical, max(n)::BIGINT AS freq, list_sort(list(DISTINCT word)) AS aliases FROM (SELECT word, count(*) AS n FROM {GOLD} WHERE regexp_matches(word, '^[{spec.HAN_TRAIN}]+\\z') GROUP BY word) GROUP BY ALL)"
-_TARGETS = f"(SELECT DISTINCT {_NORM.format('k.text')} AS canonical FROM (SELECT unnest(tokens) AS k FROM prediction) WHERE regexp_matches(k.text, '^[{spec.HAN_TRAIN}]{{2,4}}\\z'))"
+_TARGETS = f"(SELECT DISTINCT {_NORM.format('k.text')} AS canonical FROM (SELECT unnest(tokens) AS k FROM prediction) WHERE regexp_matches(k.text, '^[{spec.HAN_TRAIN}]{{2,255}}\\z'))"
 
 
 def _state(s, d):
@@ -226,7 +227,7 @@ def _state(s, d):
 
 
 def _targets(s, d):
-    p = table(s, d, "prediction").select(F.explode("tokens.text").alias("w")).where(F.col("w").rlike(f"^[{spec.HAN_TRAIN}]{{2,4}}\\z"))
+    p = table(s, d, "prediction").select(F.explode("tokens.text").alias("w")).where(F.col("w").rlike(f"^[{spec.HAN_TRAIN}]{{2,255}}\\z"))
     return p.select(norm_text(F.col("w")).alias("canonical")).distinct()
 
 
@@ -238,13 +239,13 @@ def fq_pending(s, d):
     return _targets(s, d).join(_state(s, d), "canonical", "left_anti")
 
 
-_TAGGED = f"(SELECT {_NORM.format('word')} AS canonical, min(pos) AS tag, count(*) AS freq FROM {GOLD} WHERE regexp_matches(word, '^[{spec.HAN_TRAIN}]{{2,4}}\\z') AND pos IS NOT NULL GROUP BY ALL)"
+_TAGGED = f"(SELECT {_NORM.format('word')} AS canonical, min(pos) AS tag, count(*) AS freq FROM {GOLD} WHERE regexp_matches(word, '^[{spec.HAN_TRAIN}]{{2,255}}\\z') AND pos IS NOT NULL GROUP BY ALL)"
 
 
 @query("fq_plan", f"WITH t AS (SELECT * FROM {_TAGGED}), m AS (SELECT tag, median(freq) AS m FROM t WHERE freq > 1 GROUP BY tag) SELECT canonical, tag, coalesce(m, 1.0)::DOUBLE AS provisional FROM t LEFT JOIN m USING (tag) WHERE freq = 1")
 def fq_plan(s, d):
     """Words seen once get the median frequency of sampled words of their tag."""
-    t = gold_tokens(s, d).where(F.col("word").rlike(f"^[{spec.HAN_TRAIN}]{{2,4}}\\z") & F.col("pos").isNotNull()).groupBy(norm_text(F.col("word")).alias("canonical")).agg(F.min("pos").alias("tag"), F.count(F.lit(1)).alias("freq"))
+    t = gold_tokens(s, d).where(F.col("word").rlike(f"^[{spec.HAN_TRAIN}]{{2,255}}\\z") & F.col("pos").isNotNull()).groupBy(norm_text(F.col("word")).alias("canonical")).agg(F.min("pos").alias("tag"), F.count(F.lit(1)).alias("freq"))
     m = t.where("freq > 1").groupBy("tag").agg(F.percentile("freq", 0.5).alias("m"))
     return t.where("freq = 1").join(m, "tag", "left").select("canonical", "tag", F.coalesce("m", F.lit(1.0)).alias("provisional"))
 

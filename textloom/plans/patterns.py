@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from textloom.functions import spec
-from textloom.functions.signals import DISCOURSE_SQL, SCORE_WEIGHTS, discourse_score, negations, signal_count
+from textloom.functions.signals import DISCOURSE_SQL, discourse_score, negations, signal_count, signal_score
 from textloom.functions.text import norm_text
 from textloom.operators.similarity import bm25_pairs, cosine_pairs, document_terms
 from textloom.plans.common import documents, q, reviewed
@@ -76,19 +76,11 @@ for _name in ("number", "date", "money", "quantity", "emphasis"):
     _counting(f"sig_{_name}", spec.SIGNALS[_name].replace(r"\s", r"[\t\n\f\r ]"))
 
 
-def _signal_ascii(name: str):
-    """Signals with word boundaries, on the text with every non-ASCII letter replaced (Unicode-aware \\b in Java only)."""
-    pattern = spec.SIGNALS[name].replace(r"\s", r"[\t\n\f\r ]")
-
-    def run(s, d):
-        text = F.regexp_replace("text", F.lit("[^\\x00-\\x7F]+"), F.lit(" "))
-        return documents(s, d).select("doc_id", F.regexp_count(text, F.lit(pattern)).cast("long").alias("n"))
-
-    query(f"sig_{name}", f"SELECT doc_id, len(regexp_extract_all(regexp_replace(text, '[^\\x00-\\x7F]+', ' ', 'g'), {q(pattern)}))::BIGINT AS n FROM documents")(run)
-
-
-for _name in ("acronym", "object", "proper_en"):
-    _signal_ascii(_name)
+# RE2 has word boundaries of ASCII only; with a low line for every other letter they fall where those of all scripts do.
+for _name in ("acronym", "proper_en"):
+    _sql = f"SELECT doc_id, len(regexp_extract_all(list_aggregate(list_transform(regexp_extract_all(text, '[\\x00-\\x7F]+|[^\\x00-\\x7F]+'), lambda x: CASE WHEN x < chr(128) THEN x ELSE regexp_replace(x, '[\\p{{L}}\\p{{M}}\\p{{Nd}}\\p{{Pc}}]', '_', 'g') END), 'string_agg', ''), {q(spec.SIGNALS[_name])}))::BIGINT AS n FROM documents"
+    query(f"sig_{_name}", _sql)(lambda s, d, n=_name: documents(s, d).select("doc_id", signal_count(F.col("text"), n).alias("n")))
+query("sig_object")(lambda s, d: documents(s, d).select("doc_id", signal_count(F.col("text"), "object").alias("n")))
 
 _CJK_SQL = spec.SIGNALS["proper_cjk"]
 
@@ -115,15 +107,9 @@ def sig_discourse(s, d):
     return documents(s, d).select("doc_id", discourse_score(F.col("text")).alias("score"))
 
 
-def _has(name: str) -> str:
-    return f"regexp_matches(text, {q(spec.SIGNALS[name].replace(chr(92) + 's', '[ ' + chr(92) + 't' + chr(92) + 'n' + chr(92) + 'f' + chr(92) + 'r]'))})"
-
-
-@query("sig_score", f"SELECT doc_id, round(least(1.0, 0.25 * {_has('money')}::INT + 0.15 * {_has('date')}::INT + 0.10 * {_has('quantity')}::INT + 0.10 * {_has('number')}::INT), 6)::DOUBLE AS score FROM documents")
+@query("sig_score")
 def sig_score(s, d):
-    """The parts of the score that need no word boundary; ``summary`` uses all of them."""
-    total = sum((F.lit(SCORE_WEIGHTS[n]) * (signal_count(F.col("text"), n) > 0).cast("int") for n in ("money", "date", "quantity", "number")), F.lit(0.0))
-    return documents(s, d).select("doc_id", F.round(F.least(F.lit(1.0), total), 6).alias("score"))
+    return documents(s, d).select("doc_id", F.round(signal_score(F.col("text")), 6).alias("score"))
 
 
 _MARKER = rf"^[ \t]*(?:[{spec.BULLETS.replace('-', '')}-] |[0-9一二三四五六七八九十]+(?:[.)] |） |、))"

@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from textloom.functions import spec
-from textloom.functions.signals import SCORE_WEIGHTS, discourse_score, signal_count
+from textloom.functions.signals import discourse_score, signal_count, signal_score
 from textloom.operators import documents as D
 from textloom.operators.similarity import bm25_pairs, term_array
 from textloom.plans.common import documents, q, reviewed
@@ -17,15 +17,10 @@ def _rows(df, key, column):
     return df.select(key, "text", F.posexplode(column).alias("n", "r"))
 
 
-_T = "。！？!?…"
-_SENT = f"[^{_T}\\n\\r]*[{_T}]+[{_T}{spec.CLOSERS.replace(']', chr(92) + ']')}]*|[^{_T}\\n\\r]+"
-
-
-@query("sent_split", f"SELECT row_id, s AS sentence, count(*)::BIGINT AS n FROM (SELECT row_id, regexp_replace(regexp_replace(x, '^[{spec.SPACE}]+', ''), '[{spec.SPACE}]+$', '') AS s FROM (SELECT row_id, unnest(regexp_extract_all(text, {q(_SENT)})) AS x FROM reviewed WHERE NOT regexp_matches(text, '[，,][ \\t]*[\\r\\n]'))) WHERE s <> '' GROUP BY ALL")
+@query("sent_split")
 def sent_split(s, d):
-    """Sentences, counted by text; texts with a comma before a line break go to ``sent_dependent``."""
-    t = reviewed(s, d).where(~F.col("text").rlike("[，,][ \\t]*[\\r\\n]"))
-    r = _rows(t, "row_id", D.sentences_column(F.col("text"))).select("row_id", F.expr("substring(text, r.start + 1, r.end - r.start)").alias("sentence"))
+    """Sentences of every text, counted by their words."""
+    r = _rows(reviewed(s, d), "row_id", D.sentences_column(F.col("text"))).select("row_id", F.expr("substring(text, r.start + 1, r.end - r.start)").alias("sentence"))
     return r.groupBy("row_id", "sentence").agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -33,9 +28,12 @@ def _like(xs):
     return "(" + " OR ".join(f"contains(c, {q(x)})" for x in xs) + ")"
 
 
+_ACRONYM_SQL = " OR ".join(f"(regexp_matches(c, '{a}[A-Z0-9&./-]{{1,12}}{b}[^{a}]*\\z') AND regexp_matches(c, '{a}[0-9&./-]*[A-Z][0-9&./-]*[A-Z][A-Z0-9&./-]*{b}[^{a}]*\\z'))" for a, b in (("（", "）"), ("\\(", "\\)")))
+
+
 @query(
     "sent_dependent",
-    f"""SELECT row_id, n, {_like(spec.DEPENDENT_ANYWHERE)} OR {' OR '.join(f'starts_with(c, {q(x)})' for x in spec.DEPENDENT_PREFIX)} OR ({_like(spec.CONDITION)} AND ({' OR '.join(f'ends_with(c, {q(x)})' for x in spec.CONDITION_UNITS)})) OR {_like(spec.DEFINITION)} OR regexp_matches(c, '先($|[^生進前祖])') AS dependent
+    f"""SELECT row_id, n, {_like(spec.DEPENDENT_ANYWHERE)} OR {' OR '.join(f'starts_with(c, {q(x)})' for x in spec.DEPENDENT_PREFIX)} OR ({_like(spec.CONDITION)} AND ({' OR '.join(f'ends_with(c, {q(x)})' for x in spec.CONDITION_UNITS)})) OR {_like(spec.DEFINITION)} OR regexp_matches(c, '先($|[^生進前祖])') OR {_ACRONYM_SQL} AS dependent
 FROM (SELECT row_id, n::BIGINT AS n, regexp_replace(trim(regexp_replace(trim(x), '[，,]+$', '')), '^[0-9.)）、]*', '') AS c FROM (SELECT row_id, unnest(l) AS x, unnest(range(len(l))) AS n FROM (SELECT row_id, regexp_extract_all(text, '[^，。！？\\n\\r]+，') AS l FROM reviewed)))""",
 )
 def sent_dependent(s, d):
@@ -123,9 +121,7 @@ def sig_all(s, d):
 
 def _paragraphs(s, d):
     p = _blocks(s, d).where("kind IN ('paragraph', 'blockquote')").withColumnRenamed("body", "text")
-    some = lambda *names: (sum((signal_count(F.col("text"), n) for n in names), F.lit(0)) > 0).cast("int")
-    signal = sum((F.lit(w) * (some("proper_en", "proper_cjk") if n == "proper" else some(n)) for n, w in SCORE_WEIGHTS.items()), F.lit(0.0))
-    return p.select("doc_id", "block", "text", F.array_distinct(term_array(F.col("text"))).alias("terms"), discourse_score(F.col("text")).alias("discourse"), F.least(F.lit(1.0), signal).alias("signal")).where("size(terms) > 0")
+    return p.select("doc_id", "block", "text", F.array_distinct(term_array(F.col("text"))).alias("terms"), discourse_score(F.col("text")).alias("discourse"), signal_score(F.col("text")).alias("signal")).where("size(terms) > 0")
 
 
 #: Paragraphs of a document that are compared pair by pair; of longer documents three quarters by proxy score and the rest evenly spaced.
