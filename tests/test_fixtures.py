@@ -1,5 +1,6 @@
 """Operators without an SQL twin, and rules the twins cannot say, against plain Python on small fixtures."""
 
+import random
 import re
 
 from pyspark.sql import functions as F
@@ -47,3 +48,98 @@ def test_dictionary_words_of_any_length(spark):
     got = sorted((r["k"], r["start"], r["word"]) for r in dict_matches(spark.createDataFrame(texts, "k int, t string"), "k", "t", spark.createDataFrame([(w,) for w in words], "word string")).collect())
     want = sorted((k, i, w) for k, t in texts if t for w in words for i in range(len(t)) if t.replace("臺", "台").startswith(w, i))
     assert got == want and any(len(w) == 255 for *_, w in got)
+
+
+# ---------------------------------------------------------------- summaries
+NOTES = "# Notes\n\nResearch conclusion: Data must not leave.\n\n```ts\nconst x = 1;\n```\n\n- Keep USD 20."
+
+
+def _documents(spark, texts):
+    return spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "id int, text string")
+
+
+def test_summary_contract(spark):
+    blocks, docs = D.summary_documents(_documents(spark, [NOTES, None, "", "   \n\n"]), "id", "text", max_blocks=1, threshold=0.0)
+    b = blocks.orderBy("block").collect()
+    assert [r["kind"] for r in b] == ["heading", "paragraph", "fenced-code", "unordered-list-item"]
+    assert [r["decision"] for r in b] == ["context_only", "select_exact", "preserve_exact", "preserve_exact"]
+    d = docs.collect()
+    assert [(r["doc"], r["summary"], r["selected"], r["preserved"], r["forced"], r["output_blocks"], r["reduction"]) for r in d] == [(0, NOTES, 1, 2, 0, 4, 0.0)]
+    counts = D.with_signals(blocks, "body").select("block", *D.signal_counts(F.col("spans"))).orderBy("block").collect()
+    assert [r["negation"] for r in counts] == [0, 1, 0, 0] and [r["money"] for r in counts] == [0, 0, 0, 1]
+
+
+def test_long_blocks_give_their_best_clauses(spark):
+    filler = "這一句話只是普通的敘述缺少任何重點而且寫得相當長，主要是為了讓整個段落超過規定的字數限制才寫在這裡的。"
+    text = f"{filler}因此結論是收入增加了NT$5,000元。{filler}{filler}結果顯示市府計畫有效。絕對不要忘記這一點。{filler}{filler}"
+    item = "- 短項目\n\n---\n\n"
+    blocks, docs = D.summary_documents(_documents(spark, [item + text]), "id", "text", max_blocks=2, threshold=0.0)
+    rows = {r["block"]: r for r in blocks.collect()}
+    assert rows[0]["decision"] == "preserve_exact" and rows[1]["decision"] == "context_only" and rows[2]["decision"] == "summarize_within"
+    assert rows[2]["output"] == "因此結論是收入增加了NT$5,000元。 結果顯示市府計畫有效。 絕對不要忘記這一點。"
+    d = docs.first()
+    assert d["summary"] == "- 短項目\n\n---\n\n" + rows[2]["output"] and d["output_chars"] == len(d["summary"]) < d["input_chars"] and d["forced"] >= 1
+
+
+def _plain_headings(blocks):
+    """(kind, depth, retained) -> kept headings, by scanning ahead."""
+    out = []
+    for i, (kind, depth, _) in enumerate(blocks):
+        if kind == "heading":
+            for other, d, retained in blocks[i + 1 :]:
+                if other == "heading" and d <= depth:
+                    break
+                if retained:
+                    out.append(i)
+                    break
+    return out
+
+
+def test_headings_and_breaks_stay_with_what_they_belong_to(spark):
+    rng = random.Random(7)
+    docs = [[(k := rng.choice(["heading", "heading", "paragraph", "paragraph", "thematic-break"]), rng.randint(1, 4) if k == "heading" else 0, k == "paragraph" and rng.random() < 0.4) for _ in range(rng.randint(0, 14))] for _ in range(120)]
+    df = spark.createDataFrame([(n, i, *b) for n, d in enumerate(docs) for i, b in enumerate(d)], "doc int, block long, kind string, depth int, retained boolean")
+    assert sorted(map(tuple, D.kept_headings(df).collect())) == sorted((n, i) for n, d in enumerate(docs) for i in _plain_headings(d))
+    want = [(n, i) for n, d in enumerate(docs) for i, b in enumerate(d) if b[0] == "thematic-break" and any(r for *_, r in d[:i]) and any(r for *_, r in d[i + 1 :])]
+    assert sorted(map(tuple, D.kept_breaks(df).collect())) == want and want
+
+
+def test_children_of_list_items():
+    rng = random.Random(3)
+    for _ in range(300):
+        blocks = [("unordered-list-item" if rng.random() < 0.8 else "paragraph", 0, 0, rng.randint(0, 3)) for _ in range(rng.randint(0, 12))]
+        want = [-1] * len(blocks)
+        for i, (kind, _, _, depth) in enumerate(blocks):
+            if kind == "paragraph":
+                continue
+            under = []
+            for j in range(i + 1, len(blocks)):
+                if blocks[j][0] != "paragraph":
+                    if blocks[j][3] <= depth:
+                        break
+                    under.append(j)
+            for j in under:
+                if blocks[j][3] == min(blocks[k][3] for k in under):
+                    want[j] = i
+        assert D.list_parents(blocks) == want
+
+
+def test_candidates_beyond_the_cap(spark):
+    n, cap = 1000, 256
+    df = spark.createDataFrame([(1, i, "x", (i * 37) % 90, float((i * 7) % 5) / 5, 0.0) for i in range(n)], "doc int, block long, text string, n_terms int, discourse double, signal double")
+    got = {r["block"] for r in D.bounded(df, 3).collect()}
+    proxy = lambda i: -(0.6 * ((i * 7) % 5) / 5 + 0.1 * min((i * 37) % 90, 100) / 100)
+    best = sorted(range(n), key=lambda i: (round(proxy(i), 9), i))[: cap * 3 // 4]
+    assert got >= {k * (n - 1) // 63 for k in range(64)} and len(got - {k * (n - 1) // 63 for k in range(64)} - set(best)) <= 3 and len(got) <= cap
+
+
+def test_signals_as_spans(spark):
+    text = "2024年3月5日收入NT$5,000元，成長30 %，不得外洩；不只如此，not only but never。"
+    spans = [(r["start"], r["end"], r["kind"]) for r in D.with_signals(_documents(spark, [text]), "text").first()["spans"]]
+    assert spans == sorted(set(spans)) and [text[a:b] for a, b, k in spans if k == "negation"] == ["不", "never"]
+    quantities = [text[a:b] for a, b, k in spans if k == "quantity"]
+    assert quantities == ["30 %"] and [text[a:b] for a, b, k in spans if k == "money"] == ["NT$5,000"]
+
+
+def test_embedded_code():
+    assert D.embedded_code("- a\n    code") and D.embedded_code("- a\n  ```\n  x") and D.embedded_code("- a\n<div>") and not D.embedded_code("- a\n  b") and not D.embedded_code("    a")

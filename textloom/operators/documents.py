@@ -10,7 +10,7 @@ import re
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from textloom.functions import spec
@@ -120,6 +120,35 @@ _ATX, _SETEXT, _TABLE, _BREAK = re.compile(r" {0,3}#{1,6}(?:\s|$)"), re.compile(
 _LIST, _FENCE, _HTML = re.compile(rf"(\s*)(?:([{re.escape(spec.BULLETS)}]) |([0-9一二三四五六七八九十]+)(?:\. |\) |） |、))"), re.compile(r" {0,3}(`{3,}|~{3,})"), re.compile(rf"\s*(?:<!--|<!DOCTYPE|<\?|</?(?:{spec.HTML_TAGS})(?:\s|>|/))")
 
 
+def list_parents(blocks: list[tuple[str, int, int, int]]) -> list[int]:
+    """For each block the list item it is a child of, or -1: the nearest earlier item of less depth, if no other item under
+    that one is of less depth than the child."""
+    out, open_, least = [-1] * len(blocks), [], {}
+    for i, (kind, _, _, depth) in enumerate(blocks):
+        if kind.endswith("list-item"):
+            while open_ and blocks[open_[-1]][3] >= depth:
+                open_.pop()
+            if open_:
+                out[i] = open_[-1]
+                least[open_[-1]] = min(depth, least.get(open_[-1], depth))
+            open_.append(i)
+    return [p if p >= 0 and blocks[i][3] == least[p] else -1 for i, p in enumerate(out)]
+
+
+def embedded_code(text: str) -> bool:
+    """Whether a list item holds code or HTML on its lines."""
+    lines = text.splitlines()
+    return any(_FENCE.match(x) for x in lines) or any(x.startswith(("    ", "\t")) or _HTML.match(x) for x in lines[1:])
+
+
+def block_rows(text: str) -> list[tuple[str, int, int, int, int, str, bool]]:
+    """(kind, start, end, depth, parent, gap, embedded) of the blocks: with the list item above, the white space before, and
+    whether it is a list item with code. Ends are before the last line break."""
+    blocks = [(k, a, a + len(text[a:b].rstrip("\r\n")), d) for k, a, b, d in parse_blocks(text)]
+    ends = [0, *(b for _, _, b, _ in blocks)]
+    return [(k, a, b, d, p, text[e:a], k.endswith("list-item") and embedded_code(text[a:b])) for (k, a, b, d), p, e in zip(blocks, list_parents(blocks), ends)]
+
+
 def parse_blocks(text: str) -> list[tuple[str, int, int, int]]:
     """(kind, start, end, depth) of the blocks, by an ordered machine over lines."""
     lines, at = [], 0
@@ -195,7 +224,48 @@ def _spans(kind_schema: str, f):
 
 sentences_column = _spans("start:int,end:int", split_sentences)
 clauses_column = _spans("sentence:int,start:int,end:int", split_clauses)
-blocks_column = _spans("kind:string,start:int,end:int,depth:int", parse_blocks)
+blocks_column = _spans("kind:string,start:int,end:int,depth:int,parent:int,gap:string,embedded:boolean", block_rows)
+whole_clauses_column = _spans("sentence:int,start:int,end:int", lambda t: split_clauses(t, comma=False, semicolon=False, colon=False))
+
+
+# ---------------------------------------------------------------- signals as spans
+_HAN_NOT = re.compile(f"(?!{'|'.join(spec.NEGATION_EXCLUDED)})(?:[{spec.NEGATION_CHARS.replace('否', '')}]|(?<!是)否)")
+_LATIN_NOT = re.compile(spec.NEGATION_EN, re.I)
+_SIGNAL_PATTERNS = {name: re.compile(p.replace(r"\p{Han}", "㐀-鿿豈-﫿")) for name, p in spec.SIGNALS.items()}
+
+
+def negation_spans(text: str) -> list[tuple[int, int]]:
+    """Han and English negations that are not part of another construction."""
+    out = [m.span() for m in _HAN_NOT.finditer(text)]
+    for m in _LATIN_NOT.finditer(text):
+        word, before, after = m[0].lower(), text[max(0, m.start() - 11) : m.start()].lower(), text[m.end() : m.end() + 5].lower()
+        if not (word == "not" and (after == " only" or before.endswith("whether or ")) or word == "nor" and before.endswith("neither ")):
+            out.append(m.span())
+    return out
+
+
+def signal_spans(text: str) -> list[tuple[str, int, int]]:
+    """(kind, start, end) of every signal; both proper-noun patterns are one kind."""
+    found = [("proper" if name.startswith("proper") else name, *m.span()) for name, p in _SIGNAL_PATTERNS.items() for m in p.finditer(text)]
+    return found + [("negation", a, b) for a, b in negation_spans(text)]
+
+
+_raw_signals = _spans("kind:string,start:int,end:int", signal_spans)
+SIGNAL_KINDS = ("proper", "money", "date", "quantity", "number", "acronym", "object", "emphasis", "negation")
+
+
+def with_signals(df: DataFrame, text: str, out: str = "spans") -> DataFrame:
+    """``df`` with all signals of a text: spans by start, end and kind, once each, without quantities inside a date or money."""
+    raw = F.col("_raw")
+    outer = F.filter(raw, lambda x: x["kind"].isin("date", "money"))
+    kept = F.filter(raw, lambda x: (x["kind"] != "quantity") | ~F.exists(outer, lambda o: (x["start"] >= o["start"]) & (x["end"] <= o["end"])))
+    spans = F.array_sort(F.array_distinct(F.transform(kept, lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"), x["kind"].alias("kind")))))
+    return df.withColumn("_raw", _raw_signals(F.col(text))).withColumn(out, spans).drop("_raw")
+
+
+def signal_counts(spans: Column) -> list[Column]:
+    of = lambda k: F.filter(spans, lambda x: x["kind"] == k)
+    return [F.size(of(k)).cast("long").alias(k) for k in SIGNAL_KINDS]
 
 
 # ---------------------------------------------------------------- ranking and summaries
@@ -241,7 +311,7 @@ def select_diverse(items: list[dict], sims: dict[tuple[int, int], float], limit:
     return sorted(chosen)
 
 
-def summarise(blocks: DataFrame, sims: DataFrame, limit: int = 3) -> DataFrame:
+def summarise(blocks: DataFrame, sims: DataFrame, limit: int = 3, threshold: float = 0.35) -> DataFrame:
     """(doc, block, score) of the chosen paragraphs. ``blocks``: (doc, block, terms, discourse, signal), ``sims``:
     (block, a, b, sim) within documents. A document is one group: its paragraphs and their pairs only."""
     kind = blocks.schema["doc"].dataType.simpleString()
@@ -257,7 +327,146 @@ def summarise(blocks: DataFrame, sims: DataFrame, limit: int = 3) -> DataFrame:
                 rank = page_rank(weights, len(items))
                 top = max(rank)
                 rows = [{"relevance": max(0.8 * x / top, r["discourse"]), "signal": r["signal"], "terms": set(r["terms"])} for x, r in zip(rank, items)]
-                out += [(doc, items[i]["block"], round(s, 6)) for i, s in select_diverse(rows, weights, limit)]
+                out += [(doc, items[i]["block"], round(s, 6)) for i, s in select_diverse(rows, weights, limit, threshold=threshold)]
             yield pd.DataFrame(out, columns=["doc", "block", "score"])
 
     return b.join(p, "doc", "left").mapInPandas(choose, f"doc {kind}, block bigint, score double")
+
+
+# ---------------------------------------------------------------- documents of blocks
+PROTECTED = ("fenced-code", "indented-code", "table", "html")
+#: Defaults: a block is long from these clauses, and above these characters or Latin words; clauses kept of a long one.
+MIN_CLAUSES, LONG_CHARS, LONG_WORDS, KEPT_CLAUSES = 3, 240, 60, 2
+_LATIN_WORD = "[A-Za-z0-9']*[A-Za-z][A-Za-z0-9']*"
+_LIST_MARK = rf"^\s*(?:[{re.escape(spec.BULLETS)}] |[0-9一二三四五六七八九十]+(?:\. |\) |） |、))"
+
+
+def document_blocks(df: DataFrame, key: str, text: str) -> DataFrame:
+    """(doc, block, kind, depth, parent, gap, embedded, body) of the blocks of every document."""
+    t = df.select(F.col(key).alias("doc"), F.col(text).alias("text")).where("text IS NOT NULL")
+    r = t.select("doc", "text", F.posexplode(blocks_column(F.col("text"))).alias("block", "r"))
+    return r.select("doc", F.col("block").cast("long").alias("block"), "r.kind", "r.depth", F.col("r.parent").cast("long").alias("parent"), "r.gap", "r.embedded", F.expr("substring(text, r.start + 1, r.end - r.start)").alias("body"))
+
+
+def is_long(body: Column, clauses: Column) -> Column:
+    return (clauses >= MIN_CLAUSES) & ((F.length(body) > LONG_CHARS) | (F.regexp_count(body, F.lit(_LATIN_WORD)) > LONG_WORDS))
+
+
+def kept_headings(blocks: DataFrame) -> DataFrame:
+    """(doc, block) of the headings with a retained block before the next heading of their depth or less. ``blocks``: (doc, block,
+    kind, depth, retained).
+
+    For each retained block the last heading of each of the six depths is a running maximum; it stands above the block unless
+    one of less or the same depth came after it. Linear in the blocks, no range join.
+    """
+    so_far = Window.partitionBy("doc").orderBy("block").rowsBetween(Window.unboundedPreceding, 0)
+    last = [F.coalesce(F.max(F.when((F.col("kind") == "heading") & (F.least("depth", F.lit(6)) == d), F.col("block"))).over(so_far), F.lit(-1)).alias(f"h{d}") for d in range(1, 7)]
+    rows = blocks.select("doc", "block", "kind", "retained", *last).where("retained AND kind <> 'heading'")
+    above = F.array(*[F.when(F.col(f"h{d}") > F.greatest(F.lit(-1), *[F.col(f"h{e}") for e in range(1, d)], F.lit(-1)), F.col(f"h{d}")) for d in range(1, 7)])
+    return rows.select("doc", F.explode(F.filter(above, lambda x: x.isNotNull())).alias("block")).distinct()
+
+
+def kept_breaks(blocks: DataFrame) -> DataFrame:
+    """(doc, block) of the thematic breaks with a retained block on both sides. ``blocks`` as above."""
+    w = Window.partitionBy("doc").orderBy("block")
+    side = lambda frame: F.coalesce(F.max((F.col("retained") & (F.col("kind") != "thematic-break")).cast("int")).over(frame), F.lit(0))
+    rows = blocks.select("doc", "block", "kind", side(w.rowsBetween(Window.unboundedPreceding, -1)).alias("before"), side(w.rowsBetween(1, Window.unboundedFollowing)).alias("after"))
+    return rows.where("kind = 'thematic-break' AND before = 1 AND after = 1").select("doc", "block")
+
+
+def ranked_clauses(blocks: DataFrame, limit: int = KEPT_CLAUSES) -> DataFrame:
+    """(doc, block, clause, clause_text, score, rank, negated, kept) of the clauses of long blocks (doc, block, body): by discourse, signals and
+    position; the best ``limit`` are kept, and every negated one."""
+    from textloom.functions.signals import discourse_score, negations, signal_score
+
+    c = blocks.select("doc", "block", "body", whole_clauses_column(F.col("body")).alias("c")).withColumn("n", F.size("c")).where(is_long(F.col("body"), F.col("n")))
+    c = c.select("doc", "block", "body", "n", F.posexplode("c").alias("clause", "r")).withColumn("clause_text", F.expr("trim(substring(body, r.start + 1, r.end - r.start))"))
+    score = 0.60 * discourse_score(F.col("clause_text")) + 0.25 * signal_score(F.col("clause_text")) + 0.15 * (1 - 0.25 * F.col("clause") / F.col("n"))
+    han, english = negations(F.col("clause_text"))
+    c = c.select("doc", "block", "clause", "clause_text", F.round(score, 6).alias("score"), ((han + english) > 0).alias("negated"))
+    c = c.withColumn("rank", F.row_number().over(Window.partitionBy("doc", "block").orderBy(F.desc("score"), "clause")))
+    return c.withColumn("kept", (F.col("rank") <= limit) | F.col("negated"))
+
+
+def decided(blocks: DataFrame, chosen: DataFrame) -> DataFrame:
+    """``blocks`` with (decision, output, score, forced): what of every block goes into the summary. ``chosen``: (doc, block, score) of the
+    ranked blocks. Code, tables and HTML stay as they are, list items too unless long; long blocks give their
+    best clauses; headings and breaks stay where something around them does."""
+    item = F.col("kind").isin("ordered-list-item", "unordered-list-item")
+    b = blocks.join(chosen.select("doc", "block", "score"), ["doc", "block"], "left")
+    open_ = (item & ~F.col("embedded")) | F.col("score").isNotNull()
+    kept = ranked_clauses(b.where(open_).select("doc", "block", "body")).where("kept")
+    parts = kept.groupBy("doc", "block").agg(F.array_sort(F.collect_list(F.struct("clause", "clause_text"))).alias("parts"), F.count(F.when(F.col("rank") > KEPT_CLAUSES, 1)).alias("forced"))
+    b = b.join(parts, ["doc", "block"], "left")
+    mark = F.when(item & (F.col("parts")[0]["clause"] > 0), F.regexp_extract("body", _LIST_MARK, 0)).otherwise("")
+    within = F.concat(mark, F.array_join(F.transform("parts", lambda p: p["clause_text"]), " "))
+    first = F.when(F.col("kind").isin(*PROTECTED) | F.col("embedded"), "preserve_exact").when(F.col("parts").isNotNull(), "summarize_within").when(item, "preserve_exact").when(F.col("score").isNotNull(), "select_exact")
+    b = b.withColumn("decision", first).withColumn("output", F.when(F.col("decision") == "summarize_within", within).when(F.col("decision").isNotNull(), F.col("body")))
+    state = b.select("doc", "block", "kind", "depth", F.col("decision").isNotNull().alias("retained"))
+    headings = kept_headings(state)
+    with_headings = state.join(headings.withColumn("context", F.lit(True)), ["doc", "block"], "left").withColumn("retained", F.col("retained") | F.coalesce("context", F.lit(False)))
+    context = headings.unionByName(kept_breaks(with_headings)).withColumn("context", F.lit(True))
+    b = b.join(context, ["doc", "block"], "left")
+    return b.select(
+        "doc", "block", "kind", "depth", "parent", "gap", "body", "score", F.coalesce("forced", F.lit(0)).alias("forced"),
+        F.coalesce("decision", F.when(F.col("context"), "context_only"), F.lit("omit")).alias("decision"), F.coalesce("output", F.when(F.col("context"), F.col("body")), F.lit("")).alias("output"),
+    )
+
+
+def assembled(blocks: DataFrame) -> DataFrame:
+    """(doc, summary): what was decided, in order; between neighbours the white space that stood there, else a blank line."""
+    w = Window.partitionBy("doc").orderBy("block")
+    kept = blocks.where("output <> ''").withColumn("last", F.lag("block").over(w)).withColumn("before", F.lag("output").over(w))
+    gap = F.when(F.col("last").isNull(), "").when((F.col("last") == F.col("block") - 1) & (F.col("gap") != ""), F.col("gap")).when(F.col("before").endswith("\n"), "").otherwise("\n\n")
+    return kept.groupBy("doc").agg(F.array_sort(F.collect_list(F.struct("block", F.concat(gap, "output").alias("x")))).alias("x")).select("doc", F.array_join(F.transform("x", lambda r: r["x"]), "").alias("summary"))
+
+
+def ranked_blocks(blocks: DataFrame) -> DataFrame:
+    """Paragraphs and quotations with terms: (doc, block, text, terms, n_terms, discourse, signal)."""
+    from textloom.functions.signals import discourse_score, signal_score
+    from textloom.operators.similarity import term_array
+
+    p = blocks.where("kind IN ('paragraph', 'blockquote')").select("doc", "block", F.col("body").alias("text"), term_array(F.col("body")).alias("all_terms")).where("size(all_terms) > 0")
+    return p.select("doc", "block", "text", F.array_distinct("all_terms").alias("terms"), F.size("all_terms").alias("n_terms"), discourse_score(F.col("text")).alias("discourse"), signal_score(F.col("text")).alias("signal"))
+
+
+def bounded(ranked: DataFrame, max_blocks: int) -> DataFrame:
+    """Candidates for pairwise ranking. Of documents with more than 256 of them (twice ``max_blocks``, up to 1,024, if that is more) three quarters
+    are the best by a proxy and a quarter evenly spaced: the definition of the summary, not a limit of the engine."""
+    cap = max(256, min(2 * max_blocks, 1024))
+    best, spaced = cap * 3 // 4, cap - cap * 3 // 4
+    w = Window.partitionBy("doc")
+    proxy = 0.6 * F.col("discourse") + 0.3 * F.col("signal") + 0.1 * F.least("n_terms", F.lit(100)) / 100
+    p = ranked.withColumn("n", F.count(F.lit(1)).over(w)).withColumn("place", F.row_number().over(w.orderBy(proxy.desc(), "block"))).withColumn("at", F.row_number().over(w.orderBy("block")) - 1)
+    # at = floor(k (n - 1) / (spaced - 1)) for some k: the least k that reaches ``at`` gives it
+    k = F.ceil(F.col("at") * (spaced - 1) / (F.col("n") - 1))
+    even = (k <= spaced - 1) & (F.floor(k * (F.col("n") - 1) / (spaced - 1)) == F.col("at"))
+    return p.where((F.col("n") <= cap) | (F.col("place") <= best) | even).drop("n", "place", "at")
+
+
+def summary_documents(df: DataFrame, key: str, text: str, max_blocks: int = 3, threshold: float = 0.35) -> tuple[DataFrame, DataFrame]:
+    """(decided blocks, documents): the summary of every document with at least one block. Documents: (doc, schema_version, summary, selected, preserved,
+    forced, output_blocks, candidates, bounded, input_chars, output_chars, reduction). Null texts give no rows; a document without
+    candidates keeps its code, lists and their headings."""
+    from textloom.functions.text import reduction
+    from textloom.operators.similarity import bm25_pairs
+    from textloom.session import cut_lineage
+
+    blocks = cut_lineage(document_blocks(df, key, text))
+    ranked = ranked_blocks(blocks)
+    some = cut_lineage(bounded(ranked, max_blocks))
+    sims = bm25_pairs(some.select(F.col("doc").alias("block"), F.col("block").alias("id"), "text"))
+    chosen = summarise(some.select("doc", "block", "terms", "discourse", "signal"), sims, max_blocks, threshold)
+    out = cut_lineage(decided(blocks, chosen))
+    count = lambda c: F.count(F.when(c, 1))
+    budget = out.groupBy("doc").agg(
+        count(F.col("score").isNotNull()).alias("selected"),
+        count(F.col("kind").isin(*PROTECTED, "ordered-list-item", "unordered-list-item")).alias("preserved"),
+        F.sum("forced").alias("forced"),
+        count(F.col("decision") != "omit").alias("output_blocks"),
+    )
+    had = ranked.groupBy("doc").agg(F.count(F.lit(1)).alias("candidates")).join(some.groupBy("doc").agg(F.count(F.lit(1)).alias("bounded")), "doc")
+    source = df.select(F.col(key).alias("doc"), F.length(text).cast("long").alias("input_chars")).where("input_chars IS NOT NULL")
+    d = budget.join(source, "doc").join(assembled(out), "doc", "left").join(had, "doc", "left").fillna("", ["summary"]).fillna(0, ["candidates", "bounded"])
+    chars = F.length("summary").cast("long")
+    return out, d.select("doc", F.lit(2).alias("schema_version"), "summary", "selected", "preserved", "forced", "output_blocks", "candidates", "bounded", "input_chars", chars.alias("output_chars"), F.round(reduction(F.col("input_chars"), chars), 6).alias("reduction"))

@@ -6,9 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from textloom.functions import spec
-from textloom.functions.signals import discourse_score, signal_count, signal_score
 from textloom.operators import documents as D
-from textloom.operators.similarity import bm25_pairs, term_array
 from textloom.plans.common import documents, q, reviewed
 from textloom.plans.registry import query
 
@@ -75,8 +73,7 @@ def blk_lineclass(s, d):
 
 
 def _blocks(s, d):
-    r = _rows(documents(s, d), "doc_id", D.blocks_column(F.col("text")))
-    return r.select("doc_id", F.col("n").cast("long").alias("block"), "r.kind", "r.depth", F.expr("substring(text, r.start + 1, r.end - r.start)").alias("body"))
+    return D.document_blocks(documents(s, d), "doc_id", "text").withColumnRenamed("doc", "doc_id")
 
 
 query("blk_parse")(lambda s, d: _blocks(s, d).select("doc_id", "block", "kind", "depth", F.length("body").cast("long").alias("chars")))
@@ -84,86 +81,75 @@ query("blk_parse")(lambda s, d: _blocks(s, d).select("doc_id", "block", "kind",
 
 @query("blk_children")
 def blk_children(s, d):
-    """Parent of each list item: the nearest earlier list item of less depth with no other block between."""
-    b = _blocks(s, d).select("doc_id", "block", "kind", "depth").withColumn("item", F.col("kind").endswith("list-item"))
-    w = Window.partitionBy("doc_id").orderBy("block")
-    b = b.withColumn("run", F.sum((~F.col("item")).cast("int")).over(w)).where("item")
-    run = Window.partitionBy("doc_id", "run").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
-    earlier = F.collect_list(F.struct("block", "depth")).over(run)
-    b = b.withColumn("earlier", earlier)
-    parent = F.array_max(F.transform(F.filter("earlier", lambda x: x["depth"] < F.col("depth")), lambda x: x["block"]))
-    return b.select("doc_id", "block", "depth", parent.alias("parent"))
-
-
-@query("blk_context")
-def blk_context(s, d):
-    """Headings that have text before the next heading of their depth or less."""
-    b = _blocks(s, d).select("doc_id", "block", "kind", "depth")
-    w = Window.partitionBy("doc_id").orderBy("block").rowsBetween(1, 1)
-    following = F.max("kind").over(w)
-    return b.withColumn("following", following).where("kind = 'heading'").select("doc_id", "block", "depth", F.coalesce(F.col("following") != "heading", F.lit(False)).alias("kept"))
-
-
-@query("blk_breaks")
-def blk_breaks(s, d):
-    b = _blocks(s, d).select("doc_id", "block", "kind").withColumn("text", (F.col("kind") != "thematic-break").cast("int"))
-    w = Window.partitionBy("doc_id").orderBy("block")
-    before, after = F.max("text").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.max("text").over(w.rowsBetween(1, Window.unboundedFollowing))
-    return b.select("doc_id", "block", "kind", (F.coalesce(before, F.lit(0)) * F.coalesce(after, F.lit(0)) == 1).alias("kept")).where("kind = 'thematic-break'")
+    """Children of list items: the items of the next depth under them."""
+    return _blocks(s, d).where("parent >= 0").select("doc_id", F.col("parent").alias("item"), F.col("block").alias("child"), "depth")
+
+
+query("blk_embedded")(lambda s, d: _blocks(s, d).where("kind LIKE '%list-item'").select("doc_id", "block", "embedded"))
+
+
+def _retained(s, d):
+    """Blocks that stay in any summary: code, tables, HTML and list items."""
+    b = _blocks(s, d).withColumnRenamed("doc_id", "doc")
+    return b.select("doc", "block", "kind", "depth", F.col("kind").isin(*D.PROTECTED, "ordered-list-item", "unordered-list-item").alias("retained"))
+
+
+query("blk_context")(lambda s, d: D.kept_headings(_retained(s, d)).withColumnRenamed("doc", "doc_id"))
+query("blk_breaks")(lambda s, d: D.kept_breaks(_retained(s, d)).withColumnRenamed("doc", "doc_id"))
 
 
 @query("sig_all")
 def sig_all(s, d):
-    """Counts of all signals of every paragraph."""
-    p = _blocks(s, d).where("kind IN ('paragraph', 'blockquote')")
-    return p.select("doc_id", "block", *[signal_count(F.col("body"), n).alias(n) for n in spec.SIGNALS])
+    """All signals of every block, counted by kind."""
+    b = D.with_signals(_blocks(s, d), "body")
+    return b.select("doc_id", "block", F.col("kind").endswith("list-item").alias("list_item"), *D.signal_counts(F.col("spans")))
 
 
-def _paragraphs(s, d):
-    p = _blocks(s, d).where("kind IN ('paragraph', 'blockquote')").withColumnRenamed("body", "text")
-    return p.select("doc_id", "block", "text", F.array_distinct(term_array(F.col("text"))).alias("terms"), discourse_score(F.col("text")).alias("discourse"), signal_score(F.col("text")).alias("signal")).where("size(terms) > 0")
+@query("qty_suppress")
+def qty_suppress(s, d):
+    """Quantities of every document that are not inside a date or an amount of money."""
+    t = D.with_signals(documents(s, d), "text").select("doc_id", F.explode("spans").alias("r")).where("r.kind = 'quantity'")
+    return t.select("doc_id", F.col("r.start").alias("char_start"), F.col("r.end").alias("char_end"))
 
 
-#: Paragraphs of a document that are compared pair by pair; of longer documents three quarters by proxy score and the rest evenly spaced.
-CAP = 256
+query("cand_bound")(lambda s, d: D.bounded(D.ranked_blocks(_blocks(s, d).withColumnRenamed("doc_id", "doc")), 3).select(F.col("doc").alias("doc_id"), "block"))
 
 
-@query("cand_bound")
-def cand_bound(s, d):
-    return _bounded(_paragraphs(s, d)).select("doc_id", "block")
+def _summary(s, d):
+    return D.summary_documents(documents(s, d), "doc_id", "text")
 
 
-def _bounded(p):
-    w = Window.partitionBy("doc_id")
-    proxy = 0.6 * F.col("discourse") + 0.3 * F.col("signal") + 0.1 * F.least(F.length("text"), F.lit(100)) / 100
-    p = p.withColumn("n", F.count(F.lit(1)).over(w)).withColumn("best", F.row_number().over(w.orderBy(proxy.desc(), "block"))).withColumn("at", F.row_number().over(w.orderBy("block")) - 1)
-    spaced = F.col("at") % F.greatest(F.lit(1), F.floor(F.col("n") / (CAP // 4))) == 0
-    return p.where((F.col("n") <= CAP) | (F.col("best") <= CAP * 3 // 4) | spaced).drop("n", "best", "at")
+query("summary")(lambda s, d: _summary(s, d)[1].withColumnRenamed("doc", "doc_id"))
+query("assemble")(lambda s, d: _summary(s, d)[1].select(F.col("doc").alias("doc_id"), "summary"))
+query("preserve")(lambda s, d: _summary(s, d)[0].select(F.col("doc").alias("doc_id"), "block", "kind", "decision", F.length("output").alias("output_chars")))
 
 
-@query("summary")
-def summary(s, d):
-    """The three paragraphs chosen for every document."""
-    p = _bounded(_paragraphs(s, d)).persist()
-    sims = bm25_pairs(p.select(F.col("doc_id").alias("block"), F.col("block").alias("id"), "text"))
-    return D.summarise(p.select(F.col("doc_id").alias("doc"), "block", "terms", "discourse", "signal"), sims).withColumnRenamed("doc", "doc_id")
+@query("select_mmr")
+def select_mmr(s, d):
+    """The blocks chosen for every document, best first."""
+    w = Window.partitionBy("doc").orderBy(F.desc("score"), "block")
+    return _summary(s, d)[0].where("score IS NOT NULL").select(F.col("doc").alias("doc_id"), "block", "score", F.row_number().over(w).alias("place"))
 
 
-query("select_mmr")(lambda s, d: summary(s, d).withColumn("place", F.row_number().over(Window.partitionBy("doc_id").orderBy(F.desc("score"), "block"))))
+@query("summary_report")
+def summary_report(s, d):
+    """Over all documents: how many, their characters before and after, and the share of documents by overflow."""
+    t = _summary(s, d)[1]
+    share = lambda c: F.round(F.avg(c.cast("double")), 6)
+    return t.agg(
+        F.count(F.lit(1)).alias("documents"), F.sum("input_chars").alias("input_chars"), F.sum("output_chars").alias("output_chars"), share(F.col("preserved") > 0).alias("preserved_share"),
+        share(F.col("forced") > 0).alias("forced_share"), share(F.col("bounded") < F.col("candidates")).alias("bounded_share"), F.round(F.avg("reduction"), 4).alias("mean_reduction"),
+    )
 
 
-@query("assemble")
-def assemble(s, d):
-    """Summaries as text: chosen paragraphs in order, a blank line between."""
-    chosen = summary(s, d).join(_blocks(s, d).select("doc_id", "block", "body"), ["doc_id", "block"])
-    t = chosen.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("block", F.rtrim("body").alias("body")))).alias("x"))
-    return t.select("doc_id", F.array_join(F.transform("x", lambda r: r["body"]), "\n\n").alias("summary"))
+@query("long_block")
+def long_block(s, d):
+    """Blocks with three clauses or more, and over 240 characters or 60 Latin words."""
+    b = _blocks(s, d).select("doc_id", "block", F.length("body").cast("long").alias("chars"), "body", F.size(D.whole_clauses_column(F.col("body"))).alias("clauses"))
+    return b.select("doc_id", "block", "chars", "clauses", D.is_long(F.col("body"), F.col("clauses")).alias("long"))
 
 
-@query("long_block", "SELECT doc_id, length(text)::BIGINT AS chars, len(regexp_extract_all(text, '[A-Za-z]+'))::BIGINT AS words, length(text) > 240 OR len(regexp_extract_all(text, '[A-Za-z]+')) > 60 AS long FROM documents")
-def long_block(s, d):
-    chars, words = F.length("text").cast("long"), F.regexp_count("text", F.lit("[A-Za-z]+")).cast("long")
-    return documents(s, d).select("doc_id", chars.alias("chars"), words.alias("words"), ((chars > 240) | (words > 60)).alias("long"))
+query("clause_rank")(lambda s, d: D.ranked_clauses(_blocks(s, d).withColumnRenamed("doc_id", "doc")).withColumnRenamed("doc", "doc_id"))
 
 
 @query("cumcurve", "SELECT doc_id, rank, round(sum(x) OVER (ORDER BY rank) / sum(x) OVER (), 6) AS share FROM (SELECT doc_id, x, row_number() OVER (ORDER BY x DESC, doc_id)::BIGINT AS rank FROM (SELECT doc_id, length(text)::DOUBLE AS x FROM documents))")
