@@ -2,7 +2,7 @@ import itertools
 
 import pytest
 
-from textloom.operators.segment import BmesModel, chunks, cut, decode, merge_time, protected, scan_plain, shape, span_score, tokenize
+from textloom.operators.segment import SEP, BmesModel, anchors, chunks, cut, decode, merge_time, post_merge, protected, scan_plain, select_merges, shape, span_score, tag_score, tag_words, tokenize
 
 STATES = {"B": "ME", "M": "ME", "E": "BS", "S": "BS"}
 
@@ -90,3 +90,60 @@ def test_long_runs_are_decoded_as_a_whole():
     for text in ("乙甲" * 40 + long + "甲乙" * 20, "乙" * 60 + long + "乙"):
         got = [text[a:b] for a, b, _ in cut(model, text)]
         assert got == decode(model, text) and long in got
+
+
+def joint_toy():
+    tags, chars = ("n", "v"), "甲乙"
+    states = [f"{x}-{t}" for t in tags for x in "BMES"]
+
+    def h(key):
+        return -((sum((i + 5) * ord(c) for i, c in enumerate(key)) * 6571) % 983) / 197 - 0.05
+
+    follows = lambda a, b: b[0] in STATES[a[0]] and (a[0] in "ES" or a[2:] == b[2:])
+    model = toy()
+    model.tag_start = {s: h("p" + s) for s in states if s[0] in "BS"}
+    model.tag_trans1 = {f"{a}{SEP}{b}": h("q" + a + b) for a in states for b in states if follows(a, b)}
+    model.tag_trans2 = {f"{a}{SEP}{b}{SEP}{c}": h("r" + a + b + c) for a in states for b in states for c in states if follows(a, b) and follows(b, c)}
+    model.tag_emit = {s + c: h("x" + s + c) for s in states for c in chars}
+    model.tag_unk = {s: -9.0 for s in states}
+    model.tags = {"甲乙": {"n": -0.3, "v": -1.4}, "乙": {"v": -0.1}}
+    return model
+
+
+def test_tagger_against_every_assignment():
+    model = joint_toy()
+    for words in (w for n in range(1, 5) for w in itertools.product(("甲", "乙", "甲乙", "乙甲", "乙甲乙"), repeat=n)):
+        best = None
+        for tags in itertools.product(*(sorted(model.tags.get(w, {"n": 0, "v": 0})) for w in words)):
+            score, ctx = 0.0, ()
+            for w, t in zip(words, tags):
+                inside, ctx = tag_score(model, w, t, model.tags[w][t] if w in model.tags else None, ctx)
+                score += inside
+            if best is None or score > best[0] + 1e-12:
+                best = (score, list(tags))
+        assert tag_words(model, list(words)) == best[1]
+
+
+def test_second_order_context_decides():
+    """Equal in the first order; only the pair of states before favours n, v, n."""
+    model = BmesModel({}, {}, {}, {}, {}, {}, {})
+    model.tags = {w: {"n": 0.0, "v": 0.0} for w in "甲乙丙"}
+    model.tag_start = {"S-n": 0.0, "S-v": -1.0}
+    model.tag_trans1 = {f"S-{a}{SEP}S-{b}": 0.0 for a in "nv" for b in "nv"} | {f"S-n{SEP}S-v": 0.1}
+    model.tag_trans2 = {f"S-{a}{SEP}S-{b}{SEP}S-{c}": -1.0 for a in "nv" for b in "nv" for c in "nv"} | {f"S-n{SEP}S-v{SEP}S-n": 0.0}
+    assert tag_words(model, list("甲乙丙")) == ["n", "v", "n"]
+
+
+def test_anchors_and_merges():
+    model = toy({"甲乙": -1.0})
+    model.mixed = {"a甲": -2.0, "a甲乙": -9.0, "甲乙甲": -1.0}
+    assert [(t, k) for t, k in ((x[0], x[4]) for x in [("xa甲乙甲"[a:b], None, a, b, k) for a, b, k in cut(model, "xa甲乙甲")])][:2] == [("x", "Eng"), ("a甲乙", "Word")]
+    assert anchors(model, "甲乙甲乙甲") == [(0, 3)] and anchors(toy(), "a甲") == []
+    words = lambda *x: [(sum(map(len, x[:i])), sum(map(len, x[: i + 1])), "Word") for i in range(len(x))]
+    text = "三個月"
+    assert post_merge(text, words("三", "個", "月"), measure=True) == [(0, 3, "Time")]  # the higher priority wins
+    assert post_merge("三個人", words("三", "個", "人")) == words("三", "個", "人")
+    assert post_merge("三個人", words("三", "個", "人"), measure=True) == [(0, 2, "Num"), (2, 3, "Word")]
+    assert select_merges([(0, 2, "a", 200), (0, 3, "b", 300), (2, 4, "c", 300), (3, 5, "d", 200)]) == [(0, 3, "b", 300), (3, 5, "d", 200)]
+    for w in (("一起",), ("十分",), ("唯一", "年度")):
+        assert post_merge("".join(w), words(*w)) == words(*w)

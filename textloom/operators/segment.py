@@ -11,6 +11,7 @@ import re
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -19,6 +20,8 @@ from textloom.functions import spec
 
 MIN_LOG = -1e30
 MAX_WORD = 255
+#: Between the joint states of a key.
+SEP = "\x1f"
 #: Entries of a model that may be sent to the tasks.
 MAX_MODEL_ENTRIES = 5_000_000
 
@@ -102,9 +105,14 @@ class BmesModel:
     unk2: dict[str, float]
     words: dict[str, float] = field(default_factory=dict)
     custom: dict[str, float] = field(default_factory=dict)
-    tags: dict[str, dict[str, float]] = field(default_factory=dict)
-    tag_start: dict[str, float] = field(default_factory=dict)
-    tag_trans: dict[tuple[str, str], float] = field(default_factory=dict)
+    mixed: dict[str, float] = field(default_factory=dict)  # words of letters or digits with Han, and the protected ones
+    tags: dict[str, dict[str, float]] = field(default_factory=dict)  # log P(tag | word)
+    tag_start: dict[str, float] = field(default_factory=dict)  # of joint states, as "B-n"
+    tag_trans1: dict[str, float] = field(default_factory=dict)  # two of them with SEP between
+    tag_trans2: dict[str, float] = field(default_factory=dict)
+    tag_emit: dict[str, float] = field(default_factory=dict)  # joint state and character
+    tag_unk: dict[str, float] = field(default_factory=dict)
+    tag_floor: float = -12.0  # of a legal transition that was never seen
 
     def size(self) -> int:
         return sum(len(getattr(self, f)) for f in self.__dataclass_fields__)
@@ -145,26 +153,31 @@ def decode(model: BmesModel, text: str, max_word: int = MAX_WORD) -> list[str]:
     n = len(text)
     if not n:
         return []
-    emission, trans2, words, custom = model.emission, model.trans2, model.words, model.custom
-    mid = [0.0] * (n + 1)  # sum of M after M, M for characters up to i
+    start, trans1, trans2, words, custom = model.start, model.trans1, model.trans2, model.words, model.custom
+    emit1, emit2, unk1, unk2 = model.emit1, model.emit2, model.unk1, model.unk2
     mmm, bmm, bme, mme = (trans2.get(k, MIN_LOG) for k in ("MMM", "BMM", "BME", "MME"))
-    m_after_m = [emission("M", "M", ch) for ch in text]
+    rows = {k: [emit2.get(k + ch, unk2.get(k, MIN_LOG)) for ch in text] for k in ("MM", "BM", "BE", "ME")}
+    m_after_m, m_after_b, e_after_b, e_after_m = rows["MM"], rows["BM"], rows["BE"], rows["ME"]
+    mid = [0.0] * (n + 1)  # sum of M after M, M for characters up to i
     for i in range(n):
         mid[i + 1] = mid[i] + mmm + m_after_m[i]
-    m_after_b = [emission("B", "M", ch) for ch in text]
-    e_after_b = [emission("B", "E", ch) for ch in text]
-    e_after_m = [emission("M", "E", ch) for ch in text]
     best: list[dict[str, tuple[float, tuple]]] = [{} for _ in range(n + 1)]
     best[0][""] = (0.0, ())
     for i in range(n):
         to_e = to_m = to_word = None
+        ch = text[i]
         for ctx, (score, path) in best[i].items():
-            _keep(best[i + 1], (ctx + "S")[-2:], score + model.boundary(ctx, "S") + emission(ctx[-1:], "S", text[i]), (path, i + 1))
-            first = score + model.boundary(ctx, "B")
-            begun = first + emission(ctx[-1:], "B", text[i])
-            last = (ctx + "B")[-2:]
-            to_e = _better(to_e, begun + model.boundary(last, "E"), path)
-            to_m = _better(to_m, begun + model.boundary(last, "M"), path)
+            table = trans2 if len(ctx) == 2 else trans1 if ctx else start
+            if ctx:
+                single, begin = emit2.get(ctx[-1] + "S" + ch, unk2.get(ctx[-1] + "S", MIN_LOG)), emit2.get(ctx[-1] + "B" + ch, unk2.get(ctx[-1] + "B", MIN_LOG))
+            else:
+                single, begin = emit1.get("S" + ch, unk1.get("S", MIN_LOG)), emit1.get("B" + ch, unk1.get("B", MIN_LOG))
+            _keep(best[i + 1], (ctx + "S")[-2:], score + table.get(ctx + "S", MIN_LOG) + single, (path, i + 1))
+            first = score + table.get(ctx + "B", MIN_LOG)
+            begun, last = first + begin, (ctx + "B")[-2:]
+            inner = trans2 if len(last) == 2 else trans1
+            to_e = _better(to_e, begun + inner.get(last + "E", MIN_LOG), path)
+            to_m = _better(to_m, begun + inner.get(last + "M", MIN_LOG), path)
             to_word = _better(to_word, first, path)
         for j in range(i + 2, min(n, i + max_word) + 1):
             if j == i + 2:
@@ -202,66 +215,203 @@ def _keep(slot: dict, ctx: str, score: float, path: tuple) -> None:
         slot[ctx] = (score, path)
 
 
+def joint_states(tag: str, size: int) -> list[str]:
+    return [f"{x}-{tag}" for x in shape(size)]
+
+
+def tag_score(model: BmesModel, word: str, tag: str, lexical: float | None, context: tuple[str, ...]) -> tuple[float, tuple[str, ...]]:
+    """The score of one tag of a word behind the joint states ``context``, and the states behind it. A word with a lexical
+    probability counts that and the transition into it; any other its characters and the transitions inside."""
+    states, total = joint_states(tag, len(word)), 0.0
+    for k, state in enumerate(states):
+        if not k or lexical is None:
+            if not context:
+                total += model.tag_start.get(state, model.tag_floor)
+            else:
+                total += (model.tag_trans1 if len(context) == 1 else model.tag_trans2).get(SEP.join((*context, state)), model.tag_floor)
+        if lexical is None:
+            total += model.tag_emit.get(state + word[k], model.tag_unk.get(state, MIN_LOG))
+        context = (*context, state)[-2:]
+    return total + (lexical or 0.0), context
+
+
+class TagArrays:
+    """The tag tables of a model as arrays. State ``none`` stands before the first word, so that starts and first-order
+    transitions are rows of the second-order table."""
+
+    def __init__(self, model: BmesModel):
+        self.tags = sorted({k.partition("-")[2] for k in model.tag_unk} | {t for o in model.tags.values() for t in o}) or ["Na"]
+        self.at = {t: i for i, t in enumerate(self.tags)}
+        count = 4 * len(self.tags)
+        self.none = count
+        state = {f"{x}-{t}": 4 * i + k for i, t in enumerate(self.tags) for k, x in enumerate("BMES")}
+        self.trans = np.full((count + 1,) * 3, model.tag_floor)
+        for table, lead in ((model.tag_start, (count, count)), (model.tag_trans1, (count,)), (model.tag_trans2, ())):
+            for key, value in table.items():
+                self.trans[(*lead, *(state[x] for x in key.split(SEP)))] = value
+        self.unknown = np.full(count, MIN_LOG)
+        for key, value in model.tag_unk.items():
+            self.unknown[state[key]] = value
+        self.emit: dict[str, list[tuple[int, float]]] = {}
+        for key, value in model.tag_emit.items():
+            self.emit.setdefault(key[-1], []).append((state[key[:-1]], value))
+        self.every = np.arange(len(self.tags))
+        self.rows: dict[str, np.ndarray] = {}
+
+    def emissions(self, ch: str) -> np.ndarray:
+        if ch not in self.rows:
+            row = self.unknown.copy()
+            for state, value in self.emit.get(ch, ()):
+                row[state] = value
+            self.rows[ch] = row
+        return self.rows[ch]
+
+
 def tag_words(model: BmesModel, words: list[str]) -> list[str]:
-    """The best tags of a run of words: log P(tag | word) with first-order tag transitions over the listed tags."""
+    """The best tags of a run of words: second-order transitions over joint states of position and tag. Known words
+    take their lexical probabilities, others every tag by their characters. Equal scores: the first context, then tag.
+
+    A step scores all contexts (pairs of states) against all tags of the word at once. Behind a word of one
+    character the context keeps the state before it, so the best of each such state goes on; behind a longer one it is
+    the word's own, so the best of all does.
+    """
     if not words:
         return []
-    all_tags = model.tag_start or {"Na": 0.0}
-    layers: list[dict[str, tuple[float, str | None]]] = []
-    for k, w in enumerate(words):
-        options = model.tags.get(w) or dict.fromkeys(all_tags, 0.0)
-        layer = {}
-        for t, logp in sorted(options.items()):
-            if not k:
-                layer[t] = (model.tag_start.get(t, -12.0) + logp, None)
-                continue
-            layer[t] = max(((s + model.tag_trans.get((p, t), -12.0) + logp, p) for p, (s, _) in layers[-1].items()), key=lambda x: (x[0], x[1]))
-        layers.append(layer)
-    tag = max(layers[-1], key=lambda t: (layers[-1][t][0], t))
-    out = [tag]
-    for layer in reversed(layers[1:]):
-        tag = layer[tag][1]
-        out.append(tag)
+    a = model.__dict__.get("_arrays") or model.__dict__.setdefault("_arrays", TagArrays(model))
+    before, last, score = np.array([a.none]), np.array([a.none]), np.zeros(1)
+    steps = []
+    for word in words:
+        known = model.tags.get(word)
+        tags = np.array([a.at[t] for t in sorted(known)]) if known else a.every
+        first = 4 * tags + (3 if len(word) == 1 else 0)
+        each = score[:, None] + a.trans[before[:, None], last[:, None], first[None, :]]
+        if known:
+            each += np.array([known[t] for t in sorted(known)])
+        else:
+            each += a.emissions(word[0])[first]
+            p, c = last[:, None], first[None, :]
+            for k, ch in enumerate(word[1:], 1):
+                state = (4 * tags + (2 if k == len(word) - 1 else 1))[None, :]
+                each = each + a.trans[p, c, state] + a.emissions(ch)[state]
+                p, c = c, state
+        if len(word) == 1:
+            order = np.argsort(last, kind="stable")
+            starts = np.flatnonzero(np.diff(last[order], prepend=-1))
+            ordered = each[order]
+            best = np.maximum.reduceat(ordered, starts, axis=0)
+            group = np.repeat(np.arange(len(starts)), np.diff(np.append(starts, len(order))))
+            hit = ordered == best[group]
+            parent = np.stack([order[s + hit[s:e].argmax(axis=0)] for s, e in zip(starts, np.append(starts[1:], len(order)))])
+            steps.append((parent.ravel(), np.tile(tags, len(starts))))
+            before, last, score = np.repeat(last[order][starts], len(tags)), np.tile(first, len(starts)), best.ravel()
+        else:
+            parent = each.argmax(axis=0)
+            steps.append((parent, tags))
+            before, last, score = 4 * tags + (0 if len(word) == 2 else 1), 4 * tags + 2, each[parent, np.arange(len(tags))]
+    i, out = int(score.argmax()), []
+    for parent, tags in reversed(steps):
+        out.append(a.tags[tags[i]])
+        i = int(parent[i])
     return out[::-1]
 
 
-def cut(model: BmesModel | None, text: str) -> list[tuple[int, int, str]]:
+def anchors(model: BmesModel, text: str) -> list[tuple[int, int]]:
+    """Spans of dictionary words that mix letters or digits with Han, and of the protected words: leftmost, then longest."""
+    if not model.mixed:
+        return []
+    heads: dict[str, list[int]] = {}
+    for w in model.mixed:
+        heads.setdefault(w[0], []).append(len(w))
+    if not any(h in text for h in heads):
+        return []
+    out, i = [], 0
+    lengths = {h: sorted(set(x), reverse=True) for h, x in heads.items()}
+    while i < len(text):
+        size = next((k for k in lengths.get(text[i], ()) if text[i : i + k] in model.mixed and i + k <= len(text)), 0)
+        if size:
+            out.append((i, i + size))
+        i += size or 1
+    return out
+
+
+def cut(model: BmesModel | None, text: str, measure: bool = False) -> list[tuple[int, int, str]]:
     """Segments (start, end, kind) of a text; Han chunks are decoded if there is a model. They cover the text."""
     plain = text.translate(_TRANSLATE)
-    out = []
-    for a, b, kind in chunks(plain):
-        if kind == "Han" and model is not None:
-            for w in decode(model, plain[a:b]):
-                out.append((a, a + len(w), "Word"))
-                a += len(w)
-        else:
-            out.append((a, b, "Word" if kind == "Han" else kind))
-    return merge_time(plain, out)
+    out: list[tuple[int, int, str]] = []
+
+    def gap(start: int, end: int) -> None:
+        for a, b, kind in chunks(plain[start:end]):
+            a, b = a + start, b + start
+            if kind == "Han" and model is not None:
+                for w in decode(model, plain[a:b]):
+                    out.append((a, a + len(w), "Word"))
+                    a += len(w)
+            else:
+                out.append((a, b, "Word" if kind == "Han" else kind))
+
+    cursor = 0
+    for a, b in anchors(model, plain) if model is not None else ():
+        gap(cursor, a)
+        out.append((a, b, "Word"))
+        cursor = b
+    gap(cursor, len(plain))
+    return post_merge(plain, out, measure)
 
 
 _NUMERAL = re.compile(f"第?[{spec.HAN_NUMERALS}]+個?")
 _UNITS = frozenset("年 季 月 週 周 天 日 號 期 星期 禮拜".split())
+_GE_UNITS = frozenset("年 月 星期 禮拜".split())
+#: Priorities of the merges behind segmentation.
+TIME_PRIORITY, MEASURE_PRIORITY = 300, 200
 
 
-def merge_time(text: str, segments: list[tuple[int, int, str]]) -> list[tuple[int, int, str]]:
-    """Han numerals followed by a unit of time become one Time segment (two or three segments)."""
-    out, i = [], 0
-    while i < len(segments):
+def time_merges(text: str, segments: list[tuple[int, int, str]]) -> list[tuple[int, int, str, int]]:
+    """(first segment, end, kind, priority): Han numerals with a unit of time, in two or three segments."""
+    out = []
+    for i in range(len(segments) - 1):
+        part = segments[i : i + 3]
+        if part[0][2] != "Word" or part[1][2] != "Word":
+            continue
         for size in (3, 2):
-            part = segments[i : i + size]
-            if len(part) == size and all(k == "Word" for *_, k in part):
-                words = [text[a:b] for a, b, _ in part]
+            if len(part) >= size and all(k == "Word" for *_, k in part[:size]):
+                words = [text[a:b] for a, b, _ in part[:size]]
                 head, unit = "".join(words[:-1]), words[-1]
-                if unit in _UNITS and _NUMERAL.fullmatch(head) and (not head.endswith("個") or unit in ("年", "月", "星期", "禮拜")) and (size == 2 or words[1] == "個" or words[0] == "第"):
-                    out.append((part[0][0], part[-1][1], "Time"))
-                    i += size
+                if unit in _UNITS and _NUMERAL.fullmatch(head) and (not head.endswith("個") or unit in _GE_UNITS) and (size == 2 or words[1] == "個" or words[0] == "第"):
+                    out.append((i, i + size, "Time", TIME_PRIORITY))
                     break
-        else:
-            out.append(segments[i])
-            i += 1
     return out
 
 
+def measure_merges(text: str, segments: list[tuple[int, int, str]]) -> list[tuple[int, int, str, int]]:
+    """A Han numeral with the measure word 個 behind it."""
+    return [(i, i + 2, "Num", MEASURE_PRIORITY) for i, ((a, b, _), (c, d, _)) in enumerate(zip(segments, segments[1:])) if text[c:d] == "個" and all(x in spec.HAN_NUMERALS for x in text[a:b])]
+
+
+def select_merges(candidates: list[tuple[int, int, str, int]]) -> list[tuple[int, int, str, int]]:
+    """Candidates that do not overlap: by first segment, higher priority, later end."""
+    out, cursor = [], 0
+    for c in sorted(candidates, key=lambda c: (c[0], -c[3], -c[1])):
+        if c[0] >= cursor:
+            out.append(c)
+            cursor = c[1]
+    return out
+
+
+def post_merge(text: str, segments: list[tuple[int, int, str]], measure: bool = False) -> list[tuple[int, int, str]]:
+    """The segments with the selected merges made; merging of numeral and measure word is off by default."""
+    edits = select_merges(time_merges(text, segments) + (measure_merges(text, segments) if measure else []))
+    out, cursor = [], 0
+    for first, end, kind, _ in edits:
+        out += segments[cursor:first]
+        out.append((segments[first][0], segments[end - 1][1], kind))
+        cursor = end
+    return out + segments[cursor:]
+
+
+def merge_time(text: str, segments: list[tuple[int, int, str]]) -> list[tuple[int, int, str]]:
+    return post_merge(text, segments)
+
+
 def tokenize(model: BmesModel | None, text: str) -> list[tuple[str, str, int, int, str]]:
     """(word, tag, start, end, kind): runs of words are tagged one by one, other kinds have a fixed tag."""
     segments, out, run = cut(model, text), [], []
@@ -279,14 +429,15 @@ def tokenize(model: BmesModel | None, text: str) -> list[tuple[str, str, int, in
             flush()
     flush()
     for a, b, kind in segments:
-        out.append((text[a:b], tags.get(a) or FIXED_TAGS[kind], a, b, kind))
+        out.append((text[a:b], tags[a] if a in tags else FIXED_TAGS[kind], a, b, kind))
     return out
 
 
 # ---------------------------------------------------------------- DataFrame operators
 def load_model(counts: DataFrame, alpha: float = 0.1) -> BmesModel:
     """Smoothed tables from counts (kind, key, n), read in one job. Kinds: start, trans1, trans2, emit1, emit2 (keys of
-    joined states and a character), word, tag (word, tab, tag) and pair (tag, tab, tag). A model of more than
+    joined states and a character), word, mixed, tag (word, tab, tag), pstart, ptrans1, ptrans2 (joint states with ``SEP``
+    between) and pemit (joint state and character). A model of more than
     ``MAX_MODEL_ENTRIES`` entries is refused: raise the support of its words."""
     read = counts.select("kind", "key", "n").limit(MAX_MODEL_ENTRIES + 1).toPandas()
     if len(read) > MAX_MODEL_ENTRIES:
@@ -307,9 +458,16 @@ def load_model(counts: DataFrame, alpha: float = 0.1) -> BmesModel:
             sums[k[:head]] = sums.get(k[:head], 0) + n
         return {h: math.log(alpha / (n + alpha * vocabulary)) for h, n in sums.items()}
 
-    e1, e2, freq = by.get("emit1", {}), by.get("emit2", {}), by.get("word", {})
+    def joint(table: dict[str, int], options: int) -> dict[str, float]:
+        sums: dict[str, int] = {}
+        for k, n in table.items():
+            head = k.rpartition(SEP)[0]
+            sums[head] = sums.get(head, 0) + n
+        return {k: math.log((n + alpha) / (sums[k.rpartition(SEP)[0]] + alpha * options)) for k, n in table.items()}
+
+    e1, e2, freq, mixed = by.get("emit1", {}), by.get("emit2", {}), by.get("word", {}), by.get("mixed", {})
     vocabulary = len({k[-1] for k in e1}) + 1
-    whole = math.log(sum(freq.values()) or 1)
+    whole = math.log(sum(freq.values()) + sum(mixed.values()) or 1)
     tags: dict[str, dict[str, float]] = {}
     for k, n in by.get("tag", {}).items():
         w, t = k.split("\t")
@@ -317,13 +475,19 @@ def load_model(counts: DataFrame, alpha: float = 0.1) -> BmesModel:
     for w, t in tags.items():
         total = sum(t.values())
         tags[w] = {k: math.log(n / total) for k, n in t.items()}
-    pairs = {tuple(k.split("\t")): n for k, n in by.get("pair", {}).items()}
-    seen, sums = {a for _, a in pairs}, {}
-    for (b, _), n in pairs.items():
-        sums[b] = sums.get(b, 0) + n
-    logs = {k: math.log((n + alpha) / (sums[k[0]] + alpha * len(seen))) for k, n in pairs.items()}
-    first = {t: logs.get(("", t), -12.0) for t in seen}
-    return BmesModel(smooth(by.get("start", {}), 0, 2), smooth(by.get("trans1", {}), 1, 2), smooth(by.get("trans2", {}), 2, 2), smooth(e1, 1, vocabulary), smooth(e2, 2, vocabulary), unknown(e1, 1), unknown(e2, 2), {w: math.log(n) - whole for w, n in freq.items() if len(w) >= 2}, {}, tags, first, {k: v for k, v in logs.items() if k[0]})
+    emitted = by.get("pemit", {})
+    states: dict[str, int] = {}
+    for k, n in emitted.items():
+        states[k[:-1]] = states.get(k[:-1], 0) + n
+    options = max(1, len(states) // 2)  # about half of the states may follow another
+    words = {w: math.log(n) - whole for w, n in freq.items() if len(w) >= 2}
+    mixed = {w: math.log(n) - whole for w, n in mixed.items()} | {w: words[w] for w in spec.ANCHOR_WORDS if w in words}
+    return BmesModel(
+        smooth(by.get("start", {}), 0, 2), smooth(by.get("trans1", {}), 1, 2), smooth(by.get("trans2", {}), 2, 2), smooth(e1, 1, vocabulary), smooth(e2, 2, vocabulary), unknown(e1, 1), unknown(e2, 2), words,
+        mixed=mixed, tags=tags, tag_start=joint(by.get("pstart", {}), options), tag_trans1=joint(by.get("ptrans1", {}), options), tag_trans2=joint(by.get("ptrans2", {}), options),
+        tag_emit={k: math.log((n + alpha) / (states[k[:-1]] + alpha * vocabulary)) for k, n in emitted.items()}, tag_unk={k: math.log(alpha / (n + alpha * vocabulary)) for k, n in states.items()},
+        tag_floor=math.log(alpha / (sum(states.values()) / max(1, len(states)) + alpha * options)),
+    )
 
 
 TOKEN = "array<struct<word:string,tag:string,start:int,end:int,kind:string>>"
@@ -360,3 +524,38 @@ def trace_column(column):
             yield pd.Series([None if x is None else [{"rule": r, "kind": k, "start": a, "end": b} for a, b, k, r in protected(x.translate(_TRANSLATE))] for x in s], index=s.index, dtype=object)
 
     return run(column)
+
+
+def path_column(column, model: BmesModel):
+    """The segments of a text with, for words, their score behind the words before them in the same run."""
+
+    @F.pandas_udf("array<struct<start:int,end:int,kind:string,score:double>>")
+    def run(values: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        def path(text: str) -> list[dict]:
+            plain, out, ctx = text.translate(_TRANSLATE), [], ""
+            for a, b, kind in cut(model, text):
+                score = None
+                if kind == "Word":
+                    word = plain[a:b]
+                    score = model.boundary(ctx, "B") + model.words[word] if word in model.words and word not in model.custom else span_score(model, ctx, word) + model.custom.get(word, 0.0)
+                    ctx = (ctx + shape(b - a))[-2:]
+                else:
+                    ctx = ""
+                out.append({"start": a, "end": b, "kind": kind, "score": score})
+            return out
+
+        for s in values:
+            yield pd.Series([None if x is None else path(x) for x in s], index=s.index, dtype=object)
+
+    return run(column)
+
+
+def span_score_column(column, model: BmesModel):
+    """The character score of a word on its own."""
+
+    @F.pandas_udf("double")
+    def run(values: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for s in values:
+            yield pd.Series([None if x is None else span_score(model, "", x.translate(_TRANSLATE)) for x in s], index=s.index, dtype=float)
+
+    return run(column)

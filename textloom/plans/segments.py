@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -9,11 +11,12 @@ from textloom.functions import spec
 from textloom.functions.text import chars, norm_text  # noqa: F401
 from textloom.operators import keywords as K
 from textloom.operators import segment as S
+from textloom.operators.lexicon import dict_matches
 from textloom.plans import training as TR
 from textloom.plans.common import GOLD, gold_tokens, reviewed, table
 from textloom.plans.registry import query
 from textloom.plans.scalars import _CLASS_SQL
-from textloom.session import spread
+from textloom.session import ensure_checkpoint_dir, spread
 
 _SCAN = f"[{spec.ALNUM}]+|[{spec.HAN_CORE}]+|[{spec.SPACE}]+|([{spec.PUNCT}])\\1*|[^{spec.ALNUM}{spec.HAN_CORE}{spec.SPACE}{spec.PUNCT}]+"
 _ISLANDS = f"""(SELECT row_id, (min(i) - 1)::BIGINT AS char_start, max(i)::BIGINT AS char_end, string_agg(ch, '' ORDER BY i) AS word, CASE class WHEN 'Alnum' THEN CASE WHEN bool_and(ch BETWEEN '0' AND '9') THEN 'Num' ELSE 'Eng' END ELSE class END AS kind FROM (
@@ -76,24 +79,60 @@ def ivl_cover(s, d):
     return reviewed(s, d).select("row_id", S.cut_column(F.col("text")).alias("words"))
 
 
-def _model(s, d):
-    """Counts of the accepted records; words seen at least three times. One pass gives all character counts: each
+def model_counts(s, d):
+    """Counts (kind, key, n) of the accepted records; words seen at least three times. One pass gives all character counts: each
     character emits its keys, and one aggregate adds them up."""
     st = TR._states(s, d)
-    keys = {"trans1": ("s1", "state"), "trans2": ("s2", "s1", "state"), "emit1": ("state", "ch"), "emit2": ("s1", "state", "ch")}
-    emitted = [F.when(F.col("s1").isNull(), F.struct(F.lit("start").alias("kind"), F.col("state").alias("key")))]
-    emitted += [F.when(sum((F.col(c).isNull().cast("int") for c in columns), F.lit(0)) == 0, F.struct(F.lit(k).alias("kind"), F.concat(*columns).alias("key"))) for k, columns in keys.items()]
+    keys = {"trans1": ("s1", "state"), "trans2": ("s2", "s1", "state"), "emit1": ("state", "ch"), "emit2": ("s1", "state", "ch"), "ptrans1": ("j1", "joint"), "ptrans2": ("j2", "j1", "joint"), "pemit": ("joint", "ch")}
+    emitted = [F.when(F.col("s1").isNull(), F.struct(F.lit("start").alias("kind"), F.col("state").alias("key"))), F.when(F.col("j1").isNull(), F.struct(F.lit("pstart").alias("kind"), F.col("joint").alias("key")))]
+    emitted += [
+        F.when(sum((F.col(c).isNull().cast("int") for c in columns), F.lit(0)) == 0, F.struct(F.lit(k).alias("kind"), F.concat_ws(S.SEP if k.startswith("ptrans") else "", *columns).alias("key")))
+        for k, columns in keys.items()
+    ]
     chars_ = st.select(F.explode(F.filter(F.array(*emitted), lambda x: x.isNotNull())).alias("e")).groupBy("e.kind", "e.key").agg(F.count(F.lit(1)).alias("n"))
-    g = gold_tokens(s, d).withColumn("before", F.coalesce(F.lag("pos").over(Window.partitionBy("row_id").orderBy("i")), F.lit("")))
     han = F.col("word").rlike(TR._HAN)
     emitted = [
-        F.when(han & F.length("word").between(2, 20), F.struct(F.lit("word").alias("kind"), norm_text(F.col("word")).alias("key"))),
-        F.when(han & F.col("pos").isNotNull(), F.struct(F.lit("tag").alias("kind"), F.concat_ws("\t", "word", "pos").alias("key"))),
-        F.when(F.col("pos").isNotNull(), F.struct(F.lit("pair").alias("kind"), F.concat_ws("\t", "before", "pos").alias("key"))),
+        F.when(han & F.length("word").between(2, S.MAX_WORD), F.struct(F.lit("word").alias("kind"), norm_text(F.col("word")).alias("key"))),
+        F.when(F.col("word").rlike("[A-Za-z0-9]") & F.col("word").rlike(f"[{spec.HAN_CORE}]"), F.struct(F.lit("mixed").alias("kind"), norm_text(F.col("word")).alias("key"))),
+        F.when(han & F.col("pos").isNotNull(), F.struct(F.lit("tag").alias("kind"), F.concat_ws("\t", norm_text(F.col("word")), "pos").alias("key"))),
     ]
-    words = g.select(F.explode(F.filter(F.array(*emitted), lambda x: x.isNotNull())).alias("e")).groupBy("e.kind", "e.key").agg(F.count(F.lit(1)).alias("n"))
-    words = words.where("n >= CASE kind WHEN 'word' THEN 3 WHEN 'tag' THEN 2 ELSE 1 END")
-    return S.load_model(chars_.unionByName(words))
+    words = gold_tokens(s, d).select(F.explode(F.filter(F.array(*emitted), lambda x: x.isNotNull())).alias("e")).groupBy("e.kind", "e.key").agg(F.count(F.lit(1)).alias("n"))
+    return chars_.unionByName(words.where("n >= CASE kind WHEN 'tag' THEN 2 ELSE 3 END"))
+
+
+_trained: dict[tuple[str, str], str] = {}
+
+
+def trained(s, d):
+    """The counts, written once for an application and its input files to the shared folder, and read from there."""
+    files = sorted(table(s, d, "reviewed").inputFiles())
+    key = (s.sparkContext.applicationId, "|".join(files))
+    if key not in _trained:
+        path = f"{ensure_checkpoint_dir(s)}/model-{uuid.uuid4().hex}"
+        model_counts(s, d).write.parquet(path)
+        _trained[key] = path
+    return s.read.parquet(_trained[key])
+
+
+def _model(s, d):
+    return S.load_model(trained(s, d))
+
+
+_KEYS = {"start": "CASE WHEN s1 IS NULL THEN state END", "pstart": "CASE WHEN j1 IS NULL THEN joint END", "trans1": "s1 || state", "trans2": "s2 || s1 || state", "emit1": "state || ch", "emit2": "s1 || state || ch"}
+_KEYS |= {"ptrans1": "j1 || chr(31) || joint", "ptrans2": "j2 || chr(31) || j1 || chr(31) || joint", "pemit": "joint || ch"}
+_NORM_WORD = f"translate(word, '{spec.NORM_FROM}', '{spec.NORM_TO}')"
+_WORDS = {"word": (f"CASE WHEN regexp_matches(word, '{TR._HAN}') AND length(word) BETWEEN 2 AND 255 THEN {_NORM_WORD} END", 3), "mixed": (f"CASE WHEN regexp_matches(word, '[A-Za-z0-9]') AND regexp_matches(word, '[{spec.HAN_CORE}]') THEN {_NORM_WORD} END", 3)}
+_WORDS["tag"] = (f"CASE WHEN regexp_matches(word, '{TR._HAN}') THEN {_NORM_WORD} || chr(9) || pos END", 2)
+_BUILD = " UNION ALL ".join(
+    [f"SELECT '{k}' AS kind, {v} AS key, count(*) AS n FROM {TR._STATES} WHERE {v} IS NOT NULL GROUP BY ALL" for k, v in _KEYS.items()]
+    + [f"SELECT '{k}' AS kind, {v} AS key, count(*) AS n FROM {GOLD} WHERE {v} IS NOT NULL GROUP BY ALL HAVING count(*) >= {least}" for k, (v, least) in _WORDS.items()]
+)
+
+
+@query("tr_build", f"SELECT kind, count(*)::BIGINT AS entries, sum(n)::BIGINT AS occurrences FROM ({_BUILD}) GROUP BY kind")
+def tr_build(s, d):
+    """Trains the model and reports its tables: entries and occurrences of each kind."""
+    return trained(s, d).groupBy("kind").agg(F.count(F.lit(1)).alias("entries"), F.sum("n").alias("occurrences"))
 
 
 @query("seg_cut")
@@ -101,7 +140,28 @@ def seg_cut(s, d):
     return spread(reviewed(s, d)).select("row_id", S.cut_column(F.col("text"), _model(s, d)).alias("words"))
 
 
-query("seg_viterbi")(lambda s, d: seg_cut(s, d).select(F.explode("words").alias("word")).where(F.col("word").rlike(f"^[{spec.HAN_CORE}]+$")).groupBy("word").agg(F.count(F.lit(1)).alias("n")))
+@query("seg_viterbi")
+def seg_viterbi(s, d):
+    """The best path through every text: its spans, and the score of every Han word behind those before it."""
+    t = spread(reviewed(s, d)).select("row_id", F.posexplode(S.path_column(F.col("text"), _model(s, d))).alias("step", "r"))
+    return t.select("row_id", "step", "r.start", "r.end", "r.kind", F.round("r.score", 6).alias("score"))
+
+
+@query("seg_edges")
+def seg_edges(s, d):
+    """The dictionary edges of the lattice: every word of the model at every place it can stand, with its log probability."""
+    w = trained(s, d).where("kind = 'word'").select(F.col("key").alias("word"), "n")
+    total = w.agg(F.sum("n").alias("total"))
+    w = w.crossJoin(F.broadcast(total)).select("word", F.round(F.log(F.col("n") / F.col("total")), 6).alias("logp"))  # one row
+    return dict_matches(reviewed(s, d), "row_id", "text", w).select("row_id", "start", (F.col("start") + F.length("word")).alias("end"), "word", "logp")
+
+
+@query("seg_score_audit")
+def seg_score_audit(s, d):
+    """Per length of word: how often the decoder agrees with the accepted boundaries, and its mean score of them."""
+    gold = gold_tokens(s, d).where(F.col("word").rlike(TR._HAN)).select("row_id", "i", "word")
+    scored = gold.select("word").distinct().select("word", S.span_score_column(F.col("word"), _model(s, d)).alias("score"), S.cut_column(F.col("word"), _model(s, d)).alias("cut"))
+    return gold.join(scored, "word").groupBy(F.length("word").alias("chars")).agg(F.count(F.lit(1)).alias("words"), F.count(F.when(F.size("cut") == 1, 1)).alias("whole"), F.round(F.avg("score"), 4).alias("mean_score"))
 
 
 @query("tokenize")
@@ -110,7 +170,20 @@ def tokenize(s, d):
     return t.select("row_id", "position", "k.word", "k.tag", "k.kind", "k.start", "k.end")
 
 
-query("pos_viterbi")(lambda s, d: tokenize(s, d).where("kind = 'Word'").groupBy("word", "tag").agg(F.count(F.lit(1)).alias("n")))
+query("pos_viterbi")(lambda s, d: tokenize(s, d).where("kind = 'Word'").select("row_id", "position", "word", "tag"))
+query("sig_model_proper")(lambda s, d: tokenize(s, d).groupBy("row_id").agg(F.count(F.when(F.col("tag").isin("nr", "ns", "nt", "Nb", "Nc"), 1)).alias("n")))
+
+
+@query("pos_topology", f"SELECT tag, list_sort(list(DISTINCT state)) AS states, count(DISTINCT state) = 4 AS complete FROM {TR._STATES} GROUP BY tag")
+def pos_topology(s, d):
+    """The positions that each tag has been seen in; a tagger over joint states needs all four."""
+    return TR._states(s, d).groupBy("tag").agg(F.array_sort(F.collect_set("state")).alias("states"), (F.countDistinct("state") == 4).alias("complete"))
+
+
+@query("pos_tagmap", f"SELECT tag, (row_number() OVER (ORDER BY tag) - 1)::BIGINT AS id FROM (SELECT DISTINCT tag FROM {TR._STATES})")
+def pos_tagmap(s, d):
+    """Tags numbered by name. There are as many rows as tags: the window without a partition holds a few dozen."""
+    return TR._states(s, d).select("tag").distinct().select("tag", (F.row_number().over(Window.orderBy("tag")) - 1).cast("long").alias("id"))
 
 
 @query("annotate")

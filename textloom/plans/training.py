@@ -134,8 +134,8 @@ def tr_dict_reason(s, d):
     return tr_dict_evidence(s, d).select("word", R.dictionary_reason().alias("reason"))
 
 
-@query("tr_build", _EVIDENCE + "SELECT (SELECT count(*) FROM ev)::BIGINT AS evidence, (SELECT count(*) FROM ev WHERE support >= 10 AND confidence >= 0.8 AND (margin >= 0.2 OR entity_support >= 2 AND entity_confidence >= 0.8) AND length(word) >= 2)::BIGINT AS entries")
-def tr_build(s, d):
+@query("dict_entries", _EVIDENCE + "SELECT (SELECT count(*) FROM ev)::BIGINT AS evidence, (SELECT count(*) FROM ev WHERE support >= 10 AND confidence >= 0.8 AND (margin >= 0.2 OR entity_support >= 2 AND entity_confidence >= 0.8) AND length(word) >= 2)::BIGINT AS entries")
+def dict_entries(s, d):
     e = tr_dict_evidence(s, d).withColumn("reason", R.dictionary_reason())
     return e.agg(F.count(F.lit(1)).alias("evidence"), F.count(F.when(F.col("reason").startswith("accepted") & (F.length("word") >= 2), 1)).alias("entries"))
 
