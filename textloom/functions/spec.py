@@ -77,6 +77,10 @@ QUANTITY_ENTITIES = ("CARDINAL", "ORDINAL", "QUANTITY", "MONEY", "PERCENT", "DAT
 NOUN_SUFFIXES = "師員家者手"
 ENTITY_TAG = {"PERSON": "Nb", "ORG": "Nc", "GPE": "Nc", "LOC": "Nc", "FAC": "Nc"}
 
+# Suspected personal data; the second form is for engines without look-around.
+PII = r"(?i)[A-Z0-9._%+-]+@[A-Z0-9.-]+\.[A-Z]{2,}|(?<![0-9])09[0-9]{2}[- ]?[0-9]{3}[- ]?[0-9]{3}(?![0-9])|(?<![A-Z0-9])[A-Z][12][0-9]{8}(?![0-9])"
+PII_PLAIN = r"(?i)[A-Z0-9._%+-]+@[A-Z0-9.-]+\.[A-Z]{2,}|(^|[^0-9])09[0-9]{2}[- ]?[0-9]{3}[- ]?[0-9]{3}($|[^0-9])|(^|[^A-Z0-9])[A-Z][12][0-9]{8}($|[^0-9])"
+
 # Curated dictionary entries (word, frequency, tag).
 CURATED = [
     ("AV女優", 1, "Na"), ("PDF檔", 1, "Na"), ("陳先生", 1, "Nb"), ("行政院", 1, "Nc"), ("研究", 10, "VC"), ("生命", 1000000, "Na"), ("擺攤", 1, "VC"),
@@ -96,6 +100,15 @@ LEGACY_EMOTIONS = {
 }
 # Punctuation and quote labels.
 PUNCTUATION = {"，": 1, ",": 1, "。": 2, ".": 2, "．": 2, "？": 3, "?": 3, "！": 4, "!": 4, "：": 5, ":": 5, "；": 6, ";": 6, "、": 7}
+MARK_GLYPHS = {"full": ("", "，", "。", "？", "！", "：", "；", "、"), "half": ("", ",", ".", "?", "!", ":", ";", ",")}
+QUOTE_GLYPHS = {"full": ("「", "」"), "half": ('"', '"')}
+# Spans whose punctuation is no mark: addresses (without the marks at their end), acronyms, numbers.
+PROTECTED_PUNCTUATION = (
+    r"(?i:\b(?:https?://|www\.)[^\s，。；：！？、「」『』“”]+)(?<![,.;:!?，。；：！？、」』”])",
+    r"(?i:\b[A-Z0-9._%+-]+@[A-Z0-9.-]+\.[A-Z]{2,}\b)",
+    r"\b(?:[A-Za-z]\.){2,}",
+    r"(?<!\w)[0-9]{1,3}(?:[,，][0-9]{3})+(?:[.．][0-9]+)*|[0-9]+(?:[.．][0-9]+)+",
+)
 OPEN_QUOTES, CLOSE_QUOTES = "「『“", "」』”"
 
 KEYWORD_TAGS = ("Na", "Nb", "Nc", "Ncd", "Nv", "FW")

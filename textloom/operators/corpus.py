@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from textloom.functions import spec
 from textloom.functions.text import record_id, stable_digest, stable_mod
 
-PII = r"(?i)[A-Z0-9._%+-]+@[A-Z0-9.-]+\.[A-Z]{2,}|(?<![0-9])09[0-9]{2}[- ]?[0-9]{3}[- ]?[0-9]{3}(?![0-9])|(?<![A-Z0-9])[A-Z][12][0-9]{8}(?![0-9])"
+PII = spec.PII
 
 
 def quality_rejection(text: Column, min_chars: int = 4, min_han_ratio: float = 0.35) -> Column:

@@ -9,9 +9,8 @@ from textloom.operators import corpus as C
 from textloom.plans.common import GOLD, documents, gold_tokens, q, reviewed, table
 from textloom.plans.registry import query
 
-_PII_RE2 = r"(?i)[A-Z0-9._%+-]+@[A-Z0-9.-]+\.[A-Z]{2,}|(^|[^0-9])09[0-9]{2}[- ]?[0-9]{3}[- ]?[0-9]{3}($|[^0-9])|(^|[^A-Z0-9])[A-Z][12][0-9]{8}($|[^0-9])"
 _VISIBLE = f"regexp_replace(text, '[{spec.SPACE}]', '', 'g')"
-QUALITY_SQL = f"""CASE WHEN length(text) < 4 THEN 'too_short' WHEN contains(text, chr(65533)) THEN 'replacement_character' WHEN regexp_matches(text, {q(_PII_RE2)}) THEN 'suspected_pii'
+QUALITY_SQL = f"""CASE WHEN length(text) < 4 THEN 'too_short' WHEN contains(text, chr(65533)) THEN 'replacement_character' WHEN regexp_matches(text, {q(spec.PII_PLAIN)}) THEN 'suspected_pii'
 WHEN contains(text, '```') OR contains(lower(text), '<script') OR contains(lower(text), 'function(') THEN 'code_like' WHEN length({_VISIBLE}) = 0 THEN 'empty'
 WHEN length(regexp_replace(text, '[^{spec.HAN_PIPE}]', '', 'g')) / length({_VISIBLE}) < 0.35 THEN 'low_han_ratio' END"""
 

@@ -54,13 +54,11 @@ _rejecting("rx_cn_qty", spec.CN_QTY, "第", "")
 _rejecting("rx_num_time", spec.NUM_TIME, f"[{spec.ALNUM}]", "")
 _rejecting("rx_number", spec.NUMBER, f"[{spec.ALNUM}]", f"[{spec.ALNUM}]")
 
-_PII_JAVA = r"(?i)[A-Z0-9._%+-]+@[A-Z0-9.-]+\.[A-Z]{2,}|(?<![0-9])09[0-9]{2}[- ]?[0-9]{3}[- ]?[0-9]{3}(?![0-9])|(?<![A-Z0-9])[A-Z][12][0-9]{8}(?![0-9])"
-_PII_RE2 = r"(?i)[A-Z0-9._%+-]+@[A-Z0-9.-]+\.[A-Z]{2,}|(^|[^0-9])09[0-9]{2}[- ]?[0-9]{3}[- ]?[0-9]{3}($|[^0-9])|(^|[^A-Z0-9])[A-Z][12][0-9]{8}($|[^0-9])"
 
 
-@query("rx_pii", f"SELECT row_id, regexp_matches(text, {q(_PII_RE2)}) AS suspected FROM reviewed")
+@query("rx_pii", f"SELECT row_id, regexp_matches(text, {q(spec.PII_PLAIN)}) AS suspected FROM reviewed")
 def rx_pii(s, d):
-    return reviewed(s, d).select("row_id", F.col("text").rlike(_PII_JAVA).alias("suspected"))
+    return reviewed(s, d).select("row_id", F.col("text").rlike(spec.PII).alias("suspected"))
 
 
 _HTML = rf"(?m)^[ \t]*(?:<!--|<!DOCTYPE|<\?|</?(?:{spec.HTML_TAGS})(?:\s|>|/))"
