@@ -143,3 +143,25 @@ def test_signals_as_spans(spark):
 
 def test_embedded_code():
     assert D.embedded_code("- a\n    code") and D.embedded_code("- a\n  ```\n  x") and D.embedded_code("- a\n<div>") and not D.embedded_code("- a\n  b") and not D.embedded_code("    a")
+
+
+def test_keep_first_over_the_folded_key(spark):
+    from textloom.functions.text import dedupe_key
+    from textloom.operators.corpus import dedup
+
+    df = spark.createDataFrame([(1, "ＡＢＣ 文字"), (2, "abc文字"), (3, "Abc　文 字"), (4, "其他")], "row_id long, text string")
+    assert sorted(map(tuple, dedup(df, dedupe_key(F.col("text")), "row_id").collect())) == [(1, 3), (4, 1)]
+
+
+def test_running_sums_over_the_whole_order(spark):
+    from textloom.operators.similarity import global_running
+
+    rng = random.Random(1)
+    rows = [(i, rng.randint(0, 9)) for i in range(500)]
+    got = sorted((r["rank"], r["i"], r["run"], r["total"]) for r in global_running(spark.createDataFrame(rows, "i int, x int"), [F.desc("x"), F.col("i")], "x").collect())
+    want, run = [], 0
+    for k, (i, x) in enumerate(sorted(rows, key=lambda r: (-r[1], r[0])), 1):
+        run += x
+        want.append((k, i, run, sum(x for _, x in rows)))
+    assert got == want
+    assert global_running(spark.createDataFrame([], "i int, x int"), [F.col("i")], "x").count() == 0

@@ -75,6 +75,9 @@ TAG_SKIP = (
 NAMED_ENTITIES = ("PERSON", "ORG", "GPE", "LOC", "FAC", "NORP", "PRODUCT", "EVENT", "WORK_OF_ART", "LAW", "LANGUAGE")
 QUANTITY_ENTITIES = ("CARDINAL", "ORDINAL", "QUANTITY", "MONEY", "PERCENT", "DATE", "TIME")
 NOUN_SUFFIXES = "師員家者手"
+QUANTITY_TAG = {"DATE": "Nd", "TIME": "Nd", "CARDINAL": "Neu", "ORDINAL": "Neu", "QUANTITY": "Neu", "MONEY": "Neu", "PERCENT": "Neu"}
+MEASURE_CROSSING = ("本書", "封信", "層樓")
+CROSSING_NUMERALS = "〇零一二三四五六七八九十百千萬億兆兩"
 ENTITY_TAG = {"PERSON": "Nb", "ORG": "Nc", "GPE": "Nc", "LOC": "Nc", "FAC": "Nc"}
 
 # Suspected personal data; the second form is for engines without look-around.

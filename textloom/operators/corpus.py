@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from textloom.functions import spec
-from textloom.functions.text import record_id, stable_digest, stable_mod
+from textloom.functions.text import dedupe_key, divide0, record_id, stable_digest, stable_mod
 
 PII = spec.PII
 
@@ -55,7 +55,7 @@ def select_records(df: DataFrame, seed: int, limit: int) -> DataFrame:
     """Quality filter, keep-first deduplication, stable sample per source and split of (row_id, source_id,
     document_id, id, text)."""
     ok = df.where(quality_rejection(F.col("text")).isNull())
-    first = dedup(ok, F.lower(F.regexp_replace("text", "[ \\t\\r\\n]", "")), "row_id").select("row_id")
+    first = dedup(ok, dedupe_key(F.col("text")), "row_id").select("row_id")
     kept = ok.join(first, "row_id", "left_semi").drop("text")
     sample = stable_sample(kept, "source_id", [F.lit(str(seed)), F.col("source_id"), F.col("id")], "row_id", limit)
     return sample.withColumn("split", assign_split(seed, F.col("source_id"), F.col("document_id")))
@@ -118,6 +118,32 @@ def comparable(gold: DataFrame, predicted: DataFrame) -> tuple[DataFrame, DataFr
     return gold.join(same, "id", "left_semi"), predicted.join(same, "id", "left_semi")
 
 
+def segmentation_metrics(gold: DataFrame, predicted: DataFrame) -> DataFrame:
+    """One row for each tool of word and boundary precision, recall and F1 and the share of exact records, over the records whose
+    tokens join to the same text. ``gold``: (id, i, word, pos, a, b), ``predicted`` with a ``tool`` as well."""
+    text = lambda x, *keys: x.groupBy(*keys).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("i", "word"))), lambda w: w["word"]), "").alias("t"))
+    same = text(predicted, "tool", "id").join(text(gold, "id"), ["id", "t"]).select("tool", "id")
+    g, p = gold.join(same, "id").select("tool", "id", "a", "b"), predicted.join(same, ["tool", "id"], "left_semi").select("tool", "id", "a", "b")
+    both = g.withColumn("g", F.lit(1)).join(p.withColumn("p", F.lit(1)), ["tool", "id", "a", "b"], "full_outer")
+    ends = g.join(p, ["tool", "id", "b"]).groupBy("tool", "id").agg(F.count(F.lit(1)).alias("ends"))
+    each = both.groupBy("tool", "id").agg(F.count("g").alias("gold"), F.count("p").alias("predicted"), F.count(F.when(F.col("g").isNotNull() & F.col("p").isNotNull(), 1)).alias("correct")).join(ends, ["tool", "id"], "left")
+    exact = F.count(F.when((F.col("gold") == F.col("predicted")) & (F.col("gold") == F.col("correct")), 1))
+    t = each.groupBy("tool").agg(F.count(F.lit(1)).alias("records"), F.sum("gold").alias("gold"), F.sum("predicted").alias("predicted"), F.sum("correct").alias("correct"), F.sum("ends").alias("ends"), exact.alias("exact"))
+    c, n = F.col, F.col("records")  # the end of a text is no boundary
+    share = lambda a, b: F.round(divide0(a, b), 6)
+    return t.select(
+        "tool", "records", share(c("correct"), c("predicted")).alias("word_precision"), share(c("correct"), c("gold")).alias("word_recall"), share(2 * c("correct"), c("gold") + c("predicted")).alias("word_f1"),
+        share(c("ends") - n, c("predicted") - n).alias("boundary_precision"), share(c("ends") - n, c("gold") - n).alias("boundary_recall"), share(2 * (c("ends") - n), c("gold") + c("predicted") - 2 * n).alias("boundary_f1"), share(c("exact"), n).alias("exact_share"),
+    )
+
+
+def tag_accuracy(gold: DataFrame, predicted: DataFrame) -> DataFrame:
+    """(tool, total, correct, accuracy) of the tags on spans that both sides have; gold tokens without a tag are left out."""
+    hit = gold.where("pos IS NOT NULL").select("id", "a", "b", F.col("pos").alias("g")).join(predicted.select("tool", "id", "a", "b", F.col("pos").alias("p")), ["id", "a", "b"])
+    t = hit.groupBy("tool").agg(F.count(F.lit(1)).alias("total"), F.count(F.when(F.col("g") == F.col("p"), 1)).alias("correct"))
+    return t.select("tool", "total", "correct", F.round(divide0(F.col("correct"), F.col("total")), 6).alias("accuracy"))
+
+
 def segmentation_counts(gold: DataFrame, predicted: DataFrame) -> DataFrame:
     """One row of counts for word and boundary precision and recall and exact matches."""
     g, p = comparable(gold, predicted)

@@ -8,19 +8,20 @@ from pyspark.sql import functions as F
 from textloom.functions.text import norm_text
 
 
-def dict_matches(df: DataFrame, key: str, text: str, dictionary: DataFrame) -> DataFrame:
-    """All occurrences, overlapping ones included, of the words of two characters or more of a dictionary:
+def dict_matches(df: DataFrame, key: str, text: str, dictionary: DataFrame, least: int = 2) -> DataFrame:
+    """All occurrences, overlapping ones included, of the words of ``least`` characters or more of a dictionary:
     (key, start, word and the dictionary's columns).
 
-    Positions meet the dictionary by their first two characters; only the lengths of words that begin with them are
+    Positions meet the dictionary by their first ``least`` characters; only the lengths of words that begin with them are
     tried. Spark broadcasts either table if its measured size allows, else both sides are shuffled. Null texts
     and words give no rows; a word that the dictionary has twice gives its rows twice.
     """
-    longest = dictionary.agg(F.max(F.length("word"))).first()[0] or 2
-    heads = dictionary.where("length(word) >= 2").groupBy(F.substring("word", 1, 2).alias("head")).agg(F.array_sort(F.collect_set(F.length("word"))).alias("lengths"))  # at most one entry a length
+    longest = dictionary.agg(F.max(F.length("word"))).first()[0] or least
+    longest = max(longest, least)
+    heads = dictionary.where(F.length("word") >= least).groupBy(F.substring("word", 1, least).alias("head")).agg(F.array_sort(F.collect_set(F.length("word"))).alias("lengths"))  # at most one entry a length
     # A look-ahead matches at every position, so one linear scan gives the windows; their prefixes are the candidates.
-    windows = F.regexp_extract_all(norm_text(F.col(text)), F.lit(f"(?s)(?=(.{{2,{longest}}}))"), F.lit(1))
-    at = df.select(F.col(key).alias("_key"), F.posexplode(windows).alias("_at", "_window")).withColumn("head", F.substring("_window", 1, 2))
+    windows = F.regexp_extract_all(norm_text(F.col(text)), F.lit(f"(?s)(?=(.{{{least},{longest}}}))"), F.lit(1))
+    at = df.select(F.col(key).alias("_key"), F.posexplode(windows).alias("_at", "_window")).withColumn("head", F.substring("_window", 1, least))
     tried = at.join(heads, "head").select("_key", "_at", "_window", F.explode(F.filter("lengths", lambda n: n <= F.length("_window"))).alias("_size"))
     hits = tried.select("_key", F.col("_at").cast("long").alias("start"), F.expr("substring(_window, 1, _size)").alias("word"))
     return hits.join(dictionary, "word").withColumnRenamed("_key", key)

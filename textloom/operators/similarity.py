@@ -117,3 +117,23 @@ def bm25_pairs(items: DataFrame) -> DataFrame:
 
 def cosine_pairs(items: DataFrame) -> DataFrame:
     return _block_pairs(items, _cosine)
+
+
+def global_running(df: DataFrame, order: list[Column], value: str) -> DataFrame:
+    """``df`` with (rank, run, total): place in the whole order, and the sum of ``value`` up to it and of all.
+
+    Rows are split by ranges of the order; every partition runs its own sums and adds those of the partitions before it, which are
+    one row a partition. ``order`` must tell all rows apart.
+    """
+    from pyspark.sql import Window
+
+    from textloom.session import cut_lineage
+
+    parts = df.sparkSession.conf.get("spark.sql.shuffle.partitions")
+    ranged = cut_lineage(df.repartitionByRange(int(parts), *order).withColumn("_part", F.spark_partition_id()))
+    sums = ranged.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"), F.sum(value).alias("_s"))
+    before = Window.orderBy("_part")  # one row a partition
+    sums = sums.select("_part", (F.sum("_n").over(before) - F.col("_n")).alias("_n"), (F.sum("_s").over(before) - F.col("_s")).alias("_s"), F.sum("_s").over(before.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)).alias("total"))
+    w = Window.partitionBy("_part").orderBy(*order)
+    out = ranged.withColumn("rank", F.row_number().over(w)).withColumn("run", F.sum(value).over(w.rowsBetween(Window.unboundedPreceding, 0))).join(F.broadcast(sums), "_part")  # one row a partition
+    return out.withColumn("rank", (F.col("rank") + F.col("_n")).cast("long")).withColumn("run", F.col("run") + F.col("_s")).drop("_part", "_n", "_s")

@@ -95,9 +95,17 @@ def dictionary_reason(min_support: int = 10, pos_confidence: float = 0.8, pos_ma
     )
 
 
+def clamp_log(v: Column) -> Column:
+    """A log probability as a float; what is not finite or below -1e29 is the sentinel -1e30."""
+    return F.when(v.isNull() | F.isnan(v) | (F.abs(v) == float("inf")) | (v < -1e29), F.lit(-1e30)).otherwise(v).cast("float")
+
+
 def quantise(df: DataFrame, value: str) -> DataFrame:
-    """16-bit codes of log probabilities: adds ``code`` and the ``decoded`` value; the impossible is -32768."""
+    """16-bit codes of log probabilities: adds ``code`` and the ``decoded`` value; the impossible is -32768. The scale is one
+    aggregate of all rows, joined back as one row."""
     finite = F.when(F.col(value) > -1e29, F.col(value))
-    scale = F.max(F.abs(finite)).over(Window.partitionBy(F.lit(1))) / 32767
+    scale = F.col("_scale")
     code = F.when(finite.isNull(), -32768).when(scale == 0, 0).otherwise(F.greatest(F.lit(-32767), F.least(F.lit(32767), F.round(finite / scale))))
-    return df.withColumn("code", code.cast("int")).withColumn("decoded", F.round(F.when(F.col("code") == -32768, F.lit(-1e30)).otherwise(F.col("code") * scale), 6))
+    top = df.agg((F.max(F.abs(finite)) / 32767).alias("_scale"))
+    out = df.crossJoin(F.broadcast(top)).withColumn("code", code.cast("int"))  # one row
+    return out.withColumn("decoded", F.round(F.when(F.col("code") == -32768, F.lit(-1e30)).otherwise(F.col("code") * scale), 6)).drop("_scale")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from textloom.functions import spec
+from textloom.functions import text as T
 from textloom.operators import corpus as C
 from textloom.plans.common import GOLD, documents, gold_tokens, q, reviewed, table
 from textloom.plans.registry import query
@@ -20,10 +21,10 @@ def cp_quality(s, d):
     return documents(s, d).select("doc_id", C.quality_rejection(F.col("text")).alias("reason"))
 
 
-@query("cp_dedup", "SELECT min(row_id) AS row_id, count(*)::BIGINT AS copies FROM (SELECT row_id, lower(regexp_replace(text, '[ \\t\\r\\n]', '', 'g')) AS k FROM reviewed) GROUP BY k")
+@query("cp_dedup")
 def cp_dedup(s, d):
-    """Keep-first by row_id over a key without ASCII white space and case; the NFKC key is ``dedupe_key``."""
-    return C.dedup(reviewed(s, d), F.lower(F.regexp_replace("text", "[ \\t\\r\\n]", "")), "row_id")
+    """Keep-first by row_id over the NFKC key without white space and case."""
+    return C.dedup(reviewed(s, d), T.dedupe_key(F.col("text")), "row_id")
 
 
 _HASH = "list_reduce(list_prepend(0::BIGINT, list_transform(range(0, 8), lambda i: ('0x' || substr(h, i::INT * 8 + 1, 8))::BIGINT)), lambda a, b: (a * 4294967296 + b) % {n})"
@@ -45,14 +46,7 @@ def cp_sample(s, d):
     return C.stable_sample(r, "source_id", [F.lit("7"), F.col("source_id"), F.col("id")], "row_id", 50).select("row_id", "source_id", "rank")
 
 
-@query(
-    "cp_select",
-    f"""WITH ok AS (SELECT row_id, source.id AS source_id, document_id, id, lower(regexp_replace(text, '[ \\t\\r\\n]', '', 'g')) AS k FROM reviewed WHERE ({QUALITY_SQL}) IS NULL),
-once AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY k ORDER BY row_id) AS c FROM ok) WHERE c = 1),
-ranked AS (SELECT *, row_number() OVER (PARTITION BY source_id ORDER BY sha256(concat_ws(chr(31), '20260728', source_id, id)), row_id) AS r FROM once),
-split AS (SELECT *, {_HASH.format(n=1000)} AS b FROM (SELECT *, sha256(concat_ws(chr(31), '20260728', source_id, document_id)) AS h FROM ranked WHERE r <= 200))
-SELECT source_id, CASE WHEN b < 980 THEN 'train' WHEN b < 990 THEN 'dev' ELSE 'test' END AS split, count(*)::BIGINT AS records FROM split GROUP BY ALL""",
-)
+@query("cp_select")
 def cp_select(s, d):
     """Quality, keep-first, stable sample of 200 a source, split; counted per source and split."""
     r = table(s, d, "reviewed").select("row_id", F.col("source.id").alias("source_id"), "document_id", "id", "text")
@@ -139,6 +133,34 @@ def ev_pos(s, d):
     return hit.groupBy(F.coalesce("pos", F.lit("")).alias("gold"), F.coalesce("ppos", F.lit("")).alias("predicted")).agg(F.count(F.lit(1)).alias("n"))
 
 
+_PRED_ALL = "SELECT tool, id, i, k.text AS word, k.pos AS pos FROM (SELECT tool, id, unnest(tokens) AS k, generate_subscripts(tokens, 1) AS i FROM prediction WHERE tokens IS NOT NULL) WHERE k.text <> ''"
+_EVAL_ALL = f"""WITH g0 AS (SELECT * FROM {_SPANS.format(who="'gold'", src=_GOLD_ONE)}), p0 AS (SELECT tool, id, i, word, pos, (sum(length(word)) OVER w - length(word))::BIGINT AS a, (sum(length(word)) OVER w)::BIGINT AS b FROM ({_PRED_ALL}) WINDOW w AS (PARTITION BY tool, id ORDER BY i)),
+same AS (SELECT tool, id FROM (SELECT tool, id, string_agg(word, '' ORDER BY i) AS t FROM p0 GROUP BY ALL) JOIN (SELECT id, string_agg(word, '' ORDER BY i) AS t FROM g0 GROUP BY ALL) USING (id, t)),
+g AS (SELECT tool, g0.* FROM g0 JOIN same USING (id)), p AS (SELECT * FROM p0 SEMI JOIN same USING (tool, id)),
+n AS (SELECT tool, count(*) AS n FROM same GROUP BY tool), gw AS (SELECT tool, id, count(*) AS gold FROM g GROUP BY ALL), pw AS (SELECT tool, id, count(*) AS predicted FROM p GROUP BY ALL),
+hw AS (SELECT g.tool, g.id, count(*) AS correct FROM g JOIN p USING (tool, id, a, b) GROUP BY ALL), ew AS (SELECT g.tool, g.id, count(*) AS ends FROM g JOIN p USING (tool, id, b) GROUP BY ALL),
+t AS (SELECT tool, sum(gold) AS gold, sum(predicted) AS predicted, sum(coalesce(correct, 0)) AS correct, sum(ends) AS ends, sum((gold = predicted AND gold = correct)::INT) AS exact, any_value(n) AS n FROM gw JOIN pw USING (tool, id) LEFT JOIN hw USING (tool, id) JOIN ew USING (tool, id) JOIN n USING (tool) GROUP BY tool)"""
+
+
+@query("ev_report", _EVAL_ALL + """ SELECT tool, n::BIGINT AS records, round(correct / predicted, 6) AS word_precision, round(correct / gold, 6) AS word_recall, round(2 * correct / (gold + predicted), 6) AS word_f1,
+round((ends - n) / (predicted - n), 6) AS boundary_precision, round((ends - n) / (gold - n), 6) AS boundary_recall, round(2 * (ends - n) / (gold + predicted - 2 * n), 6) AS boundary_f1, round(exact / n, 6) AS exact_share FROM t""")
+def ev_report(s, d):
+    """Precision, recall and F1 of words and boundaries, and exact records, of every tool."""
+    return C.segmentation_metrics(*_all_tools(s, d))
+
+
+@query("ev_tags", _EVAL_ALL + " SELECT tool, count(*)::BIGINT AS total, sum((g.pos IS NOT DISTINCT FROM p.pos)::INT)::BIGINT AS correct, round(sum((g.pos IS NOT DISTINCT FROM p.pos)::INT) / count(*), 6) AS accuracy FROM g0 g JOIN p0 p USING (id, a, b) WHERE g.pos IS NOT NULL GROUP BY tool")
+def ev_tags(s, d):
+    """The share of right tags on the spans that each tool shares with the accepted tokens."""
+    return C.tag_accuracy(*_all_tools(s, d))
+
+
+def _all_tools(s, d):
+    r = table(s, d, "reviewed").where("review.tokens IS NOT NULL AND split IN ('dev', 'test')").groupBy("id").agg(F.min_by("review.tokens", "row_id").alias("tokens"))
+    p = table(s, d, "prediction").where("tokens IS NOT NULL").select(F.struct("tool", "id").alias("id"), "tokens")
+    return C.token_spans(r), C.token_spans(p).select("id.tool", "id.id", "i", "word", "pos", "a", "b")
+
+
 @query("ev_vocab", "SELECT DISTINCT k.text AS word FROM (SELECT unnest(review.tokens) AS k FROM reviewed WHERE split = 'train') WHERE k.text <> ''")
 def ev_vocab(s, d):
     return table(s, d, "reviewed").where("split = 'train'").select(F.explode("review.tokens.text").alias("word")).where("word <> ''").distinct()

@@ -6,8 +6,9 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from textloom.functions import spec
-from textloom.functions.text import norm_text
+from textloom.functions.text import count_occurrences, norm_text
 from textloom.operators import lexicon as L
+from textloom.operators.similarity import global_running
 from textloom.plans.common import GOLD, gold_tokens, q, reviewed, table
 from textloom.plans.registry import query
 
@@ -177,7 +178,7 @@ def ed_decode(s, d):
 @query("ed_filter_sort", f"SELECT word, tag, freq, row_number() OVER (ORDER BY freq DESC, word)::BIGINT AS place FROM {_DICT} WHERE contains(word, '圖') AND freq BETWEEN 1 AND 1000")
 def ed_filter_sort(s, d):
     kept = _dictionary(s, d).where("contains(word, '圖') AND freq BETWEEN 1 AND 1000")
-    return kept.select("word", "tag", "freq", F.row_number().over(Window.orderBy(F.desc("freq"), "word")).cast("long").alias("place"))
+    return global_running(kept, [F.desc("freq"), F.col("word")], "freq").select("word", "tag", "freq", F.col("rank").alias("place"))
 
 
 @query("ed_replace", f"WITH r AS (SELECT word AS before, replace(word, '館', '舘') AS after FROM {_DICT} WHERE contains(word, '館')) SELECT before, after, CASE WHEN after = '' THEN 'empty' WHEN after IN (SELECT word FROM {_DICT}) OR count(*) OVER (PARTITION BY after) > 1 THEN 'duplicate' ELSE 'ok' END AS status FROM r")
@@ -256,13 +257,20 @@ def fq_count(s, d):
     return _targets(s, d).join(c, "canonical", "left").fillna(0, ["n"])
 
 
-@query("fq_candidates", "SELECT e.entry_id, count(*)::BIGINT AS texts FROM emotion_lexicon e JOIN reviewed r ON contains(translate(r.text, '臺', '台'), translate(e.word, '臺', '台')) GROUP BY e.entry_id")
+_FQ_TARGET = f"(SELECT DISTINCT {_NORM.format('word')} AS word FROM emotion_lexicon WHERE word <> '')"
+
+
+@query(
+    "fq_candidates",
+    f"WITH t AS (SELECT * FROM {_FQ_TARGET}), raw AS (SELECT t.word, count(*)::BIGINT AS lines, sum((length(x) - length(replace(x, word, ''))) / length(word))::BIGINT AS raw FROM t JOIN (SELECT {_NORM.format('text')} AS x FROM reviewed) ON contains(x, word) GROUP BY t.word), tok AS (SELECT {_NORM.format('word')} AS word, count(*)::BIGINT AS tokens FROM {GOLD} GROUP BY ALL) SELECT word, coalesce(lines, 0)::BIGINT AS lines, coalesce(raw, 0)::BIGINT AS raw, coalesce(tokens, 0)::BIGINT AS tokens FROM t LEFT JOIN raw USING (word) LEFT JOIN tok USING (word)",
+)
 def fq_candidates(s, d):
-    """Texts that contain each lexicon word. The lexicon is of fixed size (some 300 rows): Spark broadcasts it for
-    the containment test."""
-    e = table(s, d, "emotion_lexicon").select("entry_id", F.translate("word", "臺", "台").alias("w"))
-    r = reviewed(s, d).select(F.translate("text", "臺", "台").alias("t"))
-    return r.join(e, F.contains(F.col("t"), F.col("w"))).groupBy("entry_id").agg(F.count(F.lit(1)).alias("texts"))
+    """For each target word the lines that contain it, its occurrences in them that do not overlap, and its tokens."""
+    t = table(s, d, "emotion_lexicon").where("word <> ''").select(norm_text(F.col("word")).alias("word")).distinct()
+    lines = L.dict_matches(reviewed(s, d), "row_id", "text", t, least=1).select("row_id", "word").distinct().join(reviewed(s, d).select("row_id", norm_text(F.col("text")).alias("x")), "row_id")
+    raw = lines.groupBy("word").agg(F.count(F.lit(1)).alias("lines"), F.sum(count_occurrences(F.col("x"), F.col("word"))).alias("raw"))
+    tok = gold_tokens(s, d).groupBy(norm_text(F.col("word")).alias("word")).agg(F.count(F.lit(1)).alias("tokens"))
+    return t.join(raw, "word", "left").join(tok, "word", "left").fillna(0, ["lines", "raw", "tokens"])
 
 
 @query("fq_accepted", f"SELECT canonical, count(*)::BIGINT AS n FROM (SELECT {_NORM.format('k.text')} AS canonical FROM (SELECT unnest(tokens) AS k FROM prediction)) JOIN (SELECT DISTINCT {_NORM.format('word')} AS canonical FROM emotion_lexicon) USING (canonical) GROUP BY canonical")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from textloom.functions import spec
 from textloom.operators import documents as D
+from textloom.operators.similarity import global_running
 from textloom.plans.common import documents, q, reviewed
 from textloom.plans.registry import query
 
@@ -152,12 +153,9 @@ def long_block(s, d):
 query("clause_rank")(lambda s, d: D.ranked_clauses(_blocks(s, d).withColumnRenamed("doc_id", "doc")).withColumnRenamed("doc", "doc_id"))
 
 
-@query("cumcurve", "SELECT doc_id, rank, round(sum(x) OVER (ORDER BY rank) / sum(x) OVER (), 6) AS share FROM (SELECT doc_id, x, row_number() OVER (ORDER BY x DESC, doc_id)::BIGINT AS rank FROM (SELECT doc_id, length(text)::DOUBLE AS x FROM documents))")
+@query("cumcurve")
 def cumcurve(s, d):
-    """Cumulative share of the scores, best first. The curve is one ordered sequence by definition, so the window has
-    one partition; it carries ids and scores only."""
-    t = documents(s, d).select("doc_id", F.length("text").cast("double").alias("x"))
-    order = Window.orderBy(F.desc("x"), "doc_id")
-    total = t.agg(F.sum("x").alias("total"))
-    t = t.withColumn("rank", F.row_number().over(order).cast("long")).withColumn("run", F.sum("x").over(order.rowsBetween(Window.unboundedPreceding, 0))).crossJoin(F.broadcast(total))  # one row
-    return t.select("doc_id", "rank", F.round(F.col("run") / F.col("total"), 6).alias("share"))
+    """Cumulative share of the scores of the chosen blocks, best first."""
+    t = _summary(s, d)[0].where("score IS NOT NULL").select(F.col("doc").alias("doc_id"), "block", F.greatest("score", F.lit(0.0)).alias("x"))
+    r = global_running(t, [F.desc("x"), F.col("doc_id"), F.col("block")], "x")
+    return r.select("doc_id", "block", "rank", F.round(F.col("run") / F.col("total"), 6).alias("share"))

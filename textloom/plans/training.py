@@ -145,9 +145,14 @@ def poslex_logp(s, d):
     return _word_pos(s, d).select("word", "pos", F.round(F.log(F.col("n") / F.sum("n").over(Window.partitionBy("word"))), 6).alias("logp"))
 
 
-@query("dict_filter", f"SELECT word, sum(n)::BIGINT AS freq FROM {_WORD_POS} WHERE length(word) BETWEEN 2 AND 255 GROUP BY word HAVING sum(n) >= 2")
+# A dictionary is made of all tagged words here; frequencies below 10, the tag of found words and measures with their noun are left out.
+_CROSSING = f"^[{spec.CROSSING_NUMERALS}]*({'|'.join(spec.MEASURE_CROSSING)})\\z"
+
+
+@query("dict_filter", f"SELECT word, freq, tag FROM (SELECT word, sum(n)::BIGINT AS freq, arg_min(pos, (-n, pos)) AS tag FROM {_WORD_POS} GROUP BY word) WHERE length(word) BETWEEN 2 AND 255 AND freq >= 10 AND tag <> 'unknownnew' AND NOT regexp_matches(word, '{_CROSSING}')")
 def dict_filter(s, d):
-    return _word_pos(s, d).where(F.length("word").between(2, 255)).groupBy("word").agg(F.sum("n").alias("freq")).where("freq >= 2")
+    w = _word_pos(s, d).groupBy("word").agg(F.sum("n").alias("freq"), F.min_by("pos", F.struct((-F.col("n")).alias("m"), "pos")).alias("tag"))
+    return w.where(F.length("word").between(2, 255) & (F.col("freq") >= 10) & (F.col("tag") != "unknownnew") & ~F.col("word").rlike(_CROSSING))
 
 
 _LOGP = f"(SELECT word, freq, ln(freq) - ln(sum(freq) OVER ()) AS logp FROM (SELECT word, sum(n) AS freq FROM {_WORD_POS} WHERE length(word) >= 2 GROUP BY word))"
@@ -178,12 +183,14 @@ def cv_validate(s, d):
     return e.withColumn("logp", logp).where("logp > -1e29").groupBy("state").agg(F.round(mass, 4).alias("mass"), (F.abs(mass - 1) < 2e-4).alias("valid"))
 
 
-@query("cv_clamp", "SELECT event_id, (CASE WHEN value IS NULL OR isnan(value) OR isinf(value) OR value < 5 THEN -1e30 ELSE value END)::FLOAT::DOUBLE AS x FROM events")
+_ODD = "CASE event_id % 7 WHEN 1 THEN 'NaN'::DOUBLE WHEN 2 THEN 'Infinity'::DOUBLE WHEN 3 THEN -1e35 WHEN 4 THEN -1e29 WHEN 5 THEN '-Infinity'::DOUBLE ELSE -value END"
+
+
+@query("cv_clamp", f"SELECT event_id, (CASE WHEN x IS NULL OR isnan(x) OR isinf(x) OR x < -1e29 THEN -1e30 ELSE x END)::FLOAT::DOUBLE AS x FROM (SELECT event_id, {_ODD} AS x FROM events)")
 def cv_clamp(s, d):
-    """Values that are not finite or below the bound (here 5, for the table's sake) become the sentinel, as floats."""
-    v = F.col("value")
-    bad = v.isNull() | F.isnan(v) | (F.abs(v) == float("inf")) | (v < 5)
-    return table(s, d, "events").select("event_id", F.when(bad, F.lit(-1e30)).otherwise(v).cast("float").cast("double").alias("x"))
+    """Values that are not finite or below -1e29 become the sentinel, as floats; the table's values and some odd ones."""
+    odd = F.expr("CASE event_id % 7 WHEN 1 THEN double('NaN') WHEN 2 THEN double('Infinity') WHEN 3 THEN -1e35D WHEN 4 THEN -1e29D WHEN 5 THEN double('-Infinity') ELSE -value END")
+    return table(s, d, "events").select("event_id", R.clamp_log(odd).cast("double").alias("x"))
 
 
 @query("cv_report", f"SELECT length(word)::BIGINT AS chars, count(*)::BIGINT AS words, sum(freq)::BIGINT AS freq FROM {_LOGP} GROUP BY ALL")
