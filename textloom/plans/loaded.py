@@ -1,5 +1,5 @@
 """Imports every module that registers queries."""
 
-from textloom.plans import corpus, lexicons, patterns, punctuation, scalars, segments, sources, structure, training
+from textloom.plans import api, corpus, lexicons, patterns, punctuation, scalars, segments, sources, structure, training
 
-MODULES = (corpus, lexicons, patterns, punctuation, scalars, segments, sources, structure, training)
+MODULES = (api, corpus, lexicons, patterns, punctuation, scalars, segments, sources, structure, training)

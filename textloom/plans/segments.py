@@ -16,6 +16,7 @@ from textloom.plans import training as TR
 from textloom.plans.common import GOLD, gold_tokens, reviewed, table
 from textloom.plans.registry import query
 from textloom.plans.scalars import _CLASS_SQL
+from textloom.sources.files import token_json
 from textloom.session import ensure_checkpoint_dir, spread
 
 _SCAN = f"[{spec.ALNUM}]+|[{spec.HAN_CORE}]+|[{spec.SPACE}]+|([{spec.PUNCT}])\\1*|[^{spec.ALNUM}{spec.HAN_CORE}{spec.SPACE}{spec.PUNCT}]+"
@@ -57,10 +58,7 @@ def snk_words(s, d):
     return t.select("row_id", F.array_join(F.transform("w", lambda x: x["word"]), " ").alias("line"))
 
 
-@query("snk_jsonl")
-def snk_jsonl(s, d):
-    t = _scanned(s, d).groupBy("row_id").agg(F.array_sort(F.collect_list(F.struct("char_start", "word", "char_end"))).alias("w"))
-    return t.select("row_id", F.to_json(F.struct(F.transform("w", lambda x: F.struct(x["word"].alias("w"), x["char_start"].alias("s"), x["char_end"].alias("e"))).alias("tokens"))).alias("line"))
+query("snk_jsonl")(lambda s, d: token_json(tokenize(s, d), "row_id"))
 
 
 @query("ivl_preselect")

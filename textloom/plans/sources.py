@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import uuid
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from textloom.functions import spec
 from textloom.operators.corpus import quality_rejection
 from textloom.plans.common import GOLD, documents, gold_tokens, reviewed, table
 from textloom.plans.lexicons import _DICT, _LINES, _dictionary, _pipe_lines
@@ -70,4 +72,127 @@ def tr_upsert(s, d):
     at = I.scratch(s, f"upsert-{uuid.uuid4().hex}")
     gold_tokens(s, d).select("word", "pos").write.parquet(f"{at}/in")
     I.running_counts(s, f"{at}/in", "word string, pos string", ["word", "pos"], f"{at}/out", f"{at}/state")
-    return s.read.parquet(f"{at}/out").select("word", "pos", "n")
+    return I.read_counts(s, f"{at}/out", ["word", "pos"])
+
+
+# ---------------------------------------------------------------- round trips: written to the shared folder and read back
+def _written(s, name, write):
+    at = f"{I.scratch(s, name)}-{uuid.uuid4().hex}"
+    write(at)
+    return at
+
+
+_ONE_LINE = "regexp_replace(text, '[\\r\\n]+', ' ', 'g')"
+
+
+def _one_line(c):
+    return F.regexp_replace(c, r"[\r\n]+", " ")
+
+
+@query("src_lines", f"SELECT line, count(*)::BIGINT AS n FROM (SELECT unnest(string_split(regexp_replace(text, '\\r\\n?', chr(10), 'g'), chr(10))) AS line FROM documents) GROUP BY line")
+def src_lines(s, d):
+    """Every line of texts written one behind the other."""
+    at = _written(s, "lines", lambda p: documents(s, d).select(F.regexp_replace("text", "\\r\\n?", "\n").alias("value")).write.text(p))
+    return S.read_lines(s, at).groupBy(F.col("value").alias("line")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("src_whole", f"SELECT count(*)::BIGINT AS lines, sum(strlen(text))::BIGINT AS bytes FROM (SELECT {_ONE_LINE} AS text FROM reviewed)")
+def src_whole(s, d):
+    """Files as whole documents: their lines and bytes."""
+    at = _written(s, "whole", lambda p: reviewed(s, d).select(_one_line(F.col("text")).alias("value")).write.text(p))
+    lines = F.size(F.split("text", "\n")) - 1
+    return S.read_whole(s, at).agg(F.sum(lines).alias("lines"), F.sum(F.octet_length("text") - lines).alias("bytes"))
+
+
+@query("src_textfile", f"SELECT 'doc' AS source, regexp_replace({_ONE_LINE}, '^[{spec.SPACE}]+|[{spec.SPACE}]+\\z', '', 'g') AS text, count(*)::BIGINT AS n FROM reviewed WHERE NOT regexp_matches({_ONE_LINE}, '^[{spec.SPACE}]*\\z') GROUP BY ALL")
+def src_textfile(s, d):
+    at = _written(s, "textfile", lambda p: reviewed(s, d).select(_one_line(F.col("text")).alias("value")).write.text(p))
+    return S.read_text_file(s, at, "doc").groupBy("source", "text").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("src_jsonl", "SELECT id, document_id, text, len(review.tokens)::BIGINT AS tokens, count(*)::BIGINT AS n FROM reviewed WHERE schema_version = 1 GROUP BY ALL")
+def src_jsonl(s, d):
+    """Records as JSON lines, back with the fixed schema."""
+    r = table(s, d, "reviewed").where("schema_version = 1").drop("row_id", "reviewed_at", "ingested_at")
+    at = _written(s, "records", lambda p: S.write_records(r, p))
+    return S.read_records(s, at).groupBy("id", "document_id", "text", F.when(F.col("review.tokens").isNotNull(), F.size("review.tokens")).cast("long").alias("tokens")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("src_shards", "SELECT source, count(*)::BIGINT AS n, sum(len(tokens))::BIGINT AS tokens FROM annotation GROUP BY source")
+def src_shards(s, d):
+    """Annotations as shards in folders by source, back with the fixed schema."""
+    a = table(s, d, "annotation").drop("loaded_at")
+    at = _written(s, "shards", lambda p: a.withColumn("folder", F.col("source")).write.partitionBy("folder").json(f"{p}/annotations"))
+    back = s.read.schema(S.ANNOTATION).json(f"{at}/annotations", mode="FAILFAST")
+    return back.groupBy("source").agg(F.count(F.lit(1)).alias("n"), F.sum(F.when(F.col("tokens").isNotNull(), F.size("tokens"))).cast("long").alias("tokens"))
+
+
+@query("src_dictjson", f"SELECT word, [tag, freq::VARCHAR] AS value FROM {_DICT} WHERE tag IS NOT NULL")
+def src_dictjson(s, d):
+    entries = _dictionary(s, d).where("tag IS NOT NULL").select("word", "tag", "freq", F.lit("None").alias("entity"), F.lit("None").alias("emotion"))
+    at = _written(s, "dictjson", lambda p: S.write_text(S.dictionary_json(entries), "line", p))
+    return S.read_dictionary_lines(s, at)
+
+
+@query("src_taxonomy", "SELECT id, name_zh_tw AS name, family, default_polarity, examples, coalesce(enabled, true) AS enabled FROM emotion_taxonomy")
+def src_taxonomy(s, d):
+    t = table(s, d, "emotion_taxonomy").select("id", F.col("name_zh_tw").alias("nameZhTw"), "family", F.col("default_polarity").alias("defaultPolarity"), "description", "examples", "enabled")
+    one = t.agg(F.to_json(F.struct(F.collect_list(F.struct(*t.columns)).alias("labels"))).alias("value"))  # 36 rows
+    at = _written(s, "taxonomy", lambda p: one.write.text(p))
+    return S.read_taxonomy(s, at).select("id", "name", "family", "default_polarity", "examples", "enabled")
+
+
+@query("src_affect", "SELECT word, emotions, coalesce(context_dependent, false) AS context_dependent, source, count(*)::BIGINT AS n FROM emotion_lexicon GROUP BY ALL")
+def src_affect(s, d):
+    t = table(s, d, "emotion_lexicon").select("word", "emotions", F.col("context_dependent").alias("contextDependent"), "source")
+    one = t.agg(F.to_json(F.struct(F.collect_list(F.struct(*t.columns)).alias("entries"))).alias("value"))  # some 300 rows
+    at = _written(s, "affect", lambda p: one.write.text(p))
+    return S.read_affect(s, at).groupBy("word", "emotions", "context_dependent", "source").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("src_lexicon", "SELECT source AS lexicon, source <> 'import-v3' AS enabled, word, count(*)::BIGINT AS n FROM emotion_lexicon WHERE source IS NOT NULL GROUP BY ALL")
+def src_lexicon(s, d):
+    """One lexicon file for each source of the table, back as entries."""
+    t = table(s, d, "emotion_lexicon").where("source IS NOT NULL").groupBy("source").agg(F.collect_list(F.struct("word")).alias("entries"))
+    t = t.select(F.to_json(F.struct(F.lit(1).alias("schemaVersion"), F.col("source").alias("id"), F.lit("affect").alias("domain"), F.lit(0).alias("priority"), (F.col("source") != "import-v3").alias("enabled"), "entries")).alias("value"))
+    at = _written(s, "lexicon", lambda p: t.repartition("value").write.option("maxRecordsPerFile", 1).text(p))
+    return S.read_lexicon(s, at).groupBy("lexicon", "enabled", "word").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("src_asset")
+def src_asset(s, d):
+    """The tables of a trained model, checked and read."""
+    from textloom.plans.segments import trained
+
+    at = _written(s, "asset", lambda p: trained(s, d).write.parquet(p))
+    return S.read_asset(s, at).groupBy("kind").agg(F.count(F.lit(1)).alias("entries"), F.sum("n").alias("n"))
+
+
+_TOKENS = f"(SELECT row_id, i AS position, word, coalesce(pos, '') AS tag, (sum(length(word)) OVER w - length(word))::BIGINT AS start, (sum(length(word)) OVER w)::BIGINT AS \"end\" FROM {GOLD} WINDOW w AS (PARTITION BY row_id ORDER BY i))"
+
+
+def _tokens(s, d):
+    end = F.sum(F.length("word")).over(Window.partitionBy("row_id").orderBy("i")).cast("long")
+    g = gold_tokens(s, d).select("row_id", F.col("i").alias("position"), "word", F.coalesce("pos", F.lit("")).alias("tag"), end.alias("end"))
+    return g.withColumn("start", F.col("end") - F.length("word"))
+
+
+@query("snk_tsv", f"SELECT row_id, string_agg(word || chr(9) || tag, chr(10) ORDER BY position) || chr(10) AS text FROM {_TOKENS} WHERE NOT regexp_matches(word, '^[{spec.SPACE}]*\\z') GROUP BY row_id")
+def snk_tsv(s, d):
+    return S.tagged_lines(_tokens(s, d), "row_id")
+
+
+@query("snk_annjson")
+def snk_annjson(s, d):
+    """Tokens as JSON with the emotions of the lexicon, where a word has them."""
+    a = table(s, d, "emotion_lexicon").where("emotions IS NOT NULL").groupBy("word").agg(F.max_by("emotions", "entry_id").alias("affect"), F.max_by("source", "entry_id").alias("source"))
+    return S.token_json(_tokens(s, d).join(a, "word", "left"), "row_id", "affect", "source")
+
+
+@query("snk_atomic", "SELECT row_id, text FROM reviewed")
+def snk_atomic(s, d):
+    """A table that is written twice is replaced as a whole."""
+    at = I.scratch(s, f"atomic-{uuid.uuid4().hex}")
+    for rows in (reviewed(s, d).where("false"), reviewed(s, d)):
+        S.write_records(rows, at)
+    return s.read.schema("row_id bigint, text string").json(at)
