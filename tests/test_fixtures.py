@@ -165,3 +165,70 @@ def test_running_sums_over_the_whole_order(spark):
         want.append((k, i, run, sum(x for _, x in rows)))
     assert got == want
     assert global_running(spark.createDataFrame([], "i int, x int"), [F.col("i")], "x").count() == 0
+
+
+# ---------------------------------------------------------------- canonical tokens
+def _plain_canonical(tokens, spans, approved, suffixes):
+    taken = []
+    cand = []
+    for s, t, first, last, label, surface in spans:
+        if label in spec.NAMED_ENTITIES and approved.get(surface) == label and last > first:
+            cand.append((-300, s - t, s, t, first, last, label, surface, "named-entity"))
+        elif label in spec.QUANTITY_ENTITIES:
+            cand.append((-200, s - t, s, t, first, last, label, surface, "quantity"))
+    for c in sorted(cand):
+        if all(not (c[2] < o[3] and o[2] < c[3]) for o in taken):
+            taken.append(c)
+    by_first = {c[4]: c for c in taken}
+    out, i = [], 0
+    while i < len(tokens):
+        if i in by_first:
+            _, _, s, t, first, last, label, surface, reason = by_first[i]
+            tags = [tag for _, tag, _, _ in tokens[first : last + 1] if tag]
+            tag = spec.QUANTITY_TAG[label] if reason == "quantity" else "Nb" if label == "PERSON" or not tags else tags[-1]
+            out.append([surface, tag, s, t, reason])
+            i = last + 1
+        else:
+            out.append([*tokens[i], "original"])
+            i += 1
+    merged = []
+    for x in out:
+        p = merged[-1] if merged else None
+        if p and p[4] == x[4] == "original" and x[0] in spec.NOUN_SUFFIXES and (x[1] or "").startswith("N") and p[0] + x[0] in suffixes:
+            merged[-1] = [p[0] + x[0], x[1], p[2], x[3], "noun-suffix"]
+        else:
+            merged.append(x)
+    return [tuple(x) for x in merged]
+
+
+def test_canonical_tokens(spark):
+    from textloom.operators import retokenize as R
+
+    rng = random.Random(9)
+    words, tags = ["工程", "師", "員", "家", "三", "隻", "長榮", "公司", "者"], ["Na", "Nb", None, "VC", "Neu"]
+    suffixes = {"工程師", "師員", "員家", "家者", "公司員", "三家"}
+    approved = {"長榮公司": "ORG", "工程師": "PERSON", "三隻": "ORG", "公司員": "ORG"}
+    token_rows, span_rows, want = [], [], {}
+    for rid in range(150):
+        tokens, at = [], 0
+        for _ in range(rng.randint(1, 9)):
+            w = rng.choice(words)
+            tokens.append((w, rng.choice(tags), at, at + len(w)))
+            at += len(w)
+        spans = set()
+        for _ in range(rng.randint(0, 4)):
+            first = rng.randrange(len(tokens))
+            last = min(len(tokens) - 1, first + rng.randint(0, 2))
+            spans.add((tokens[first][2], tokens[last][3], first, last, rng.choice(["ORG", "PERSON", "CARDINAL", "DATE"]), "".join(t[0] for t in tokens[first : last + 1])))
+        token_rows += [(str(rid), i, w, tag, s, t) for i, (w, tag, s, t) in enumerate(tokens)]
+        span_rows += [(str(rid), *x) for x in spans]
+        want[str(rid)] = _plain_canonical(tokens, spans, approved, suffixes)
+    t = spark.createDataFrame(token_rows, "rid string, i long, word string, tag string, s long, t long")
+    e = spark.createDataFrame(span_rows, "rid string, s long, t long, first long, last long, label string, surface string")
+    a = spark.createDataFrame(list(approved.items()), "surface string, label string")
+    selected = R.selected_spans(R.span_candidates(e, a, lambda c: F.lit(True)))
+    got = {}
+    for r in R.canonical_tokens(t, selected, spark.createDataFrame([(x,) for x in suffixes], "surface string")).orderBy("rid", "position").collect():
+        got.setdefault(r["rid"], []).append((r["word"], r["tag"], r["s"], r["t"], r["reason"]))
+        assert r["eligible"] == (r["reason"] != "quantity") and (r["canonical"] is not None) == (r["reason"] == "quantity")
+    assert got == want and any(x[4] == "noun-suffix" for v in want.values() for x in v)

@@ -8,6 +8,7 @@ HAN_TERMS = r"\x{3400}-\x{9FFF}"
 ALNUM = "A-Za-z0-9&/_"
 SPACE = r"\x{09}-\x{0D}\x{20}\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}"
 PUNCT = r"\x{21}-\x{7E}\x{3000}-\x{303F}\x{FF00}-\x{FFEF}\x{2000}-\x{206F}"
+QTY_SURFACE = rf"^[{HAN_TRAIN}\p{{L}}\p{{N}}.,:/%％+$＄¥￥-]+\z"
 HAN_NUMERALS = "〇零一二兩三四五六七八九十百千萬億兆壹貳參肆伍陸柒捌玖拾佰仟"
 
 # ASCII lower case and the one-to-one variant map.

@@ -49,7 +49,7 @@ for _name, _body in (("is_han_core", spec.HAN_CORE), ("is_han_train", spec.HAN_T
 _SURFACES = {
     "han_word": f"^[{spec.HAN_TRAIN}]+\\z",
     "dict_surface": rf"^[{spec.HAN_TRAIN}\p{{L}}\p{{N}}.%％_-]*[{spec.HAN_TRAIN}][{spec.HAN_TRAIN}\p{{L}}\p{{N}}.%％_-]*$",
-    "qty_surface": rf"^[{spec.HAN_TRAIN}\p{{L}}\p{{N}}.,:/%％+$＄¥￥-]+\z",
+    "qty_surface": spec.QTY_SURFACE,
 }
 
 

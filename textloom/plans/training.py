@@ -6,6 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from textloom.functions import spec
+from textloom.operators import retokenize as RT
 from textloom.operators import training as R
 from textloom.plans.common import GOLD, SILVER, gold_tokens, q, silver_tokens, table
 from textloom.plans.registry import query
@@ -233,3 +234,38 @@ def rt_evidence(s, d):
 @query("rt_load_evidence", f"SELECT word, sum(n)::BIGINT AS n FROM {_WORD_POS} WHERE substr(word, -1) IN ('師','員','家','者','手') GROUP BY word")
 def rt_load_evidence(s, d):
     return _word_pos(s, d).where(F.substring("word", -1, 1).isin(*spec.NOUN_SUFFIXES)).groupBy("word").agg(F.sum("n").alias("n"))
+
+
+def _rt_tokens(s, d):
+    """Annotation records once each, as aligned tokens: rid, i, word, tag, s, t."""
+    a = table(s, d, "annotation").where("text IS NOT NULL AND tokens IS NOT NULL").select("source", "source_index", "text", "tokens", "entities").distinct()
+    a = a.withColumn("rid", F.sha2(F.to_json(F.struct("source", "source_index", "text", "tokens")), 256))
+    t = a.select("rid", F.posexplode("tokens").alias("i", "k")).select("rid", F.col("i").cast("long").alias("i"), F.col("k.text").alias("word"), F.col("k.ckip_pos").alias("tag")).where("word <> ''")
+    end = F.sum(F.length("word")).over(Window.partitionBy("rid").orderBy("i")).cast("long")
+    return a, t.withColumn("t", end).withColumn("s", F.col("t") - F.length("word"))
+
+
+def _rt_spans(s, d):
+    """Entities whose text is that of the record and whose ends are ends of tokens, with their first and last token."""
+    a, tokens = _rt_tokens(s, d)
+    e = a.select("rid", "text", F.explode("entities").alias("e")).select("rid", "text", F.col("e.start").cast("long").alias("s"), F.col("e.end").cast("long").alias("t"), F.col("e.label").alias("label"), F.col("e.text").alias("surface"))
+    e = e.where(F.expr("substring(text, int(s + 1), int(t - s))") == F.col("surface")).drop("text")
+    return tokens, e.join(tokens.select("rid", "s", F.col("i").alias("first")), ["rid", "s"]).join(tokens.select("rid", "t", F.col("i").alias("last")), ["rid", "t"])
+
+
+def _rt_selected(s, d):
+    tokens, spans = _rt_spans(s, d)
+    return tokens, RT.selected_spans(RT.span_candidates(spans, rt_policy(s, d), lambda c: c.rlike(spec.QTY_SURFACE)))
+
+
+@query("ivl_entity_select")
+def ivl_entity_select(s, d):
+    """The entities of every record that become one token."""
+    return _rt_selected(s, d)[1].select("rid", F.col("s").alias("char_start"), F.col("t").alias("char_end"), "label", "surface", "reason")
+
+
+@query("rt_canonical")
+def rt_canonical(s, d):
+    """The canonical tokens of every annotation record; suffix words are those seen as such a pair."""
+    tokens, selected = _rt_selected(s, d)
+    return RT.canonical_tokens(tokens, selected, rt_suffix_pairs(s, d).select("surface")).withColumnRenamed("s", "char_start").withColumnRenamed("t", "char_end")
