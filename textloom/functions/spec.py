@@ -115,4 +115,7 @@ PROTECTED_PUNCTUATION = (
 )
 OPEN_QUOTES, CLOSE_QUOTES = "「『“", "」』”"
 
+# Function words that carry meaning, and interjections.
+MEANING_WORDS = tuple("不 未 無 沒 非 否 勿 莫 最 至少 至多 約 近 僅 只 仍 仍然 已 已經 將 曾 可能 必須 應 應該 如果 若 除非 即使 雖然 但是 但 因為 所以 因此 否則 不但 不僅".split())
+INTERJECTIONS = tuple("啊 呀 喔 哦 唉 哎 哇 欸 誒".split())
 KEYWORD_TAGS = ("Na", "Nb", "Nc", "Ncd", "Nv", "FW")

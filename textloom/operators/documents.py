@@ -286,7 +286,7 @@ def page_rank(weights: dict[tuple[int, int], float], n: int, damping: float = 0.
     return ranks
 
 
-def select_diverse(items: list[dict], sims: dict[tuple[int, int], float], limit: int, redundancy: float = 0.8, threshold: float = 0.35) -> list[tuple[int, float]]:
+def select_diverse(items: list[dict], sims: dict[tuple[int, int], float], limit: int, redundancy: float = 0.8, threshold: float = 0.35, weights: tuple[float, ...] = (0.50, 0.0, 0.25, 0.15, 0.10)) -> list[tuple[int, float]]:
     """Greedy choice by relevance, newly covered terms, novelty and signals; too similar or too weak items are left out."""
     chosen: list[tuple[int, float]] = []
     covered: set[str] = set()
@@ -300,7 +300,7 @@ def select_diverse(items: list[dict], sims: dict[tuple[int, int], float], limit:
                 continue
             terms = items[i]["terms"]
             gain = len(terms - covered) / len(terms) if terms else 0.0
-            score = 0.50 * items[i]["relevance"] + 0.25 * gain + 0.15 * (1 - close) + 0.10 * items[i]["signal"]
+            score = weights[0] * items[i]["relevance"] + weights[1] * items[i]["discourse"] + weights[2] * gain + weights[3] * (1 - close) + weights[4] * items[i]["signal"]
             if best is None or score > best[1]:
                 best = (i, score)
         if best is None or best[1] < threshold:
@@ -311,9 +311,10 @@ def select_diverse(items: list[dict], sims: dict[tuple[int, int], float], limit:
     return sorted(chosen)
 
 
-def summarise(blocks: DataFrame, sims: DataFrame, limit: int = 3, threshold: float = 0.35) -> DataFrame:
+def summarise(blocks: DataFrame, sims: DataFrame, limit: int = 3, threshold: float = 0.35, relevance: tuple[float, float] | None = None, final: tuple[float, ...] = (0.50, 0.0, 0.25, 0.15, 0.10)) -> DataFrame:
     """(doc, block, score) of the chosen paragraphs. ``blocks``: (doc, block, terms, discourse, signal), ``sims``:
-    (block, a, b, sim) within documents. A document is one group: its paragraphs and their pairs only."""
+    (block, a, b, sim) within documents. ``final`` weighs relevance, discourse, new terms, novelty and signals; ``relevance`` weighs rank and discourse
+    (by default the greater of 0.8 rank and discourse). A document is one group: its paragraphs and their pairs only."""
     kind = blocks.schema["doc"].dataType.simpleString()
     b = blocks.groupBy("doc").agg(F.array_sort(F.collect_list(F.struct("block", "terms", "discourse", "signal"))).alias("items"))
     p = sims.groupBy(F.col("block").alias("doc")).agg(F.collect_list(F.struct("a", "b", "sim")).alias("pairs"))
@@ -326,8 +327,9 @@ def summarise(blocks: DataFrame, sims: DataFrame, limit: int = 3, threshold: flo
                 weights = {(at[r["a"]], at[r["b"]]): r["sim"] for r in (pairs if pairs is not None else []) if r["a"] in at and r["b"] in at}
                 rank = page_rank(weights, len(items))
                 top = max(rank)
-                rows = [{"relevance": max(0.8 * x / top, r["discourse"]), "signal": r["signal"], "terms": set(r["terms"])} for x, r in zip(rank, items)]
-                out += [(doc, items[i]["block"], round(s, 6)) for i, s in select_diverse(rows, weights, limit, threshold=threshold)]
+                mix = lambda x, d: max(0.8 * x, d) if relevance is None else relevance[0] * x + relevance[1] * d
+                rows = [{"relevance": mix(x / top, r["discourse"]), "discourse": r["discourse"], "signal": r["signal"], "terms": set(r["terms"])} for x, r in zip(rank, items)]
+                out += [(doc, items[i]["block"], round(s, 6)) for i, s in select_diverse(rows, weights, limit, threshold=threshold, weights=final)]
             yield pd.DataFrame(out, columns=["doc", "block", "score"])
 
     return b.join(p, "doc", "left").mapInPandas(choose, f"doc {kind}, block bigint, score double")

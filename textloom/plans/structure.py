@@ -6,10 +6,13 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from textloom.functions import spec
+from textloom.functions.signals import signal_score
 from textloom.operators import documents as D
-from textloom.operators.similarity import global_running
-from textloom.plans.common import documents, q, reviewed
+from textloom.operators import profile as PR
+from textloom.operators.similarity import bm25_pairs, global_running
+from textloom.plans.common import documents, q, reviewed, table
 from textloom.plans.registry import query
+from textloom.session import cut_lineage
 
 
 def _rows(df, key, column):
@@ -159,3 +162,55 @@ def cumcurve(s, d):
     t = _summary(s, d)[0].where("score IS NOT NULL").select(F.col("doc").alias("doc_id"), "block", F.greatest("score", F.lit(0.0)).alias("x"))
     r = global_running(t, [F.desc("x"), F.col("doc_id"), F.col("block")], "x")
     return r.select("doc_id", "block", "rank", F.round(F.col("run") / F.col("total"), 6).alias("share"))
+
+
+# ---------------------------------------------------------------- the second profile
+@query("tsv_weights")
+def tsv_weights(s, d):
+    """The blocks chosen under the weights of the second profile, without a threshold."""
+    p = cut_lineage(D.bounded(D.ranked_blocks(_blocks(s, d).withColumnRenamed("doc_id", "doc")), 3))
+    sims = bm25_pairs(p.select(F.col("doc").alias("block"), F.col("block").alias("id"), "text"))
+    chosen = D.summarise(p.select("doc", "block", "terms", "discourse", "signal"), sims, 3, 0.0, PR.BLOCK_WEIGHTS["relevance"], PR.BLOCK_WEIGHTS["final"])
+    return chosen.withColumnRenamed("doc", "doc_id")
+
+
+_TOK = f"(SELECT source || '/' || source_index || '/' || md5(text) AS rid, i, word, tag FROM (SELECT source, source_index, text, k.text AS word, k.ckip_pos AS tag, i FROM (SELECT source, source_index, text, unnest(tokens) AS k, generate_subscripts(tokens, 1) - 1 AS i FROM (SELECT DISTINCT source, source_index, text, tokens FROM annotation WHERE text IS NOT NULL AND tokens IS NOT NULL AND source IS NOT NULL))) WHERE word <> '')"
+
+
+def _annotated(s, d):
+    a = table(s, d, "annotation").where("text IS NOT NULL AND tokens IS NOT NULL AND source IS NOT NULL").select("source", "source_index", "text", "tokens").distinct()
+    a = a.withColumn("rid", F.concat_ws("/", "source", F.col("source_index").cast("string"), F.md5("text")))
+    return a, a.select("rid", F.posexplode("tokens").alias("i", "k")).select("rid", F.col("i").cast("long").alias("i"), F.col("k.text").alias("word"), F.col("k.ckip_pos").alias("tag")).where("word <> ''")
+
+
+_GONE = f"coalesce((regexp_matches(tag, '^(D|Da|Dfa|Dfb|Di|Dk|Caa|Cab|Cba|Cbb|I)\\z') OR (tag = 'T' AND word IN ({','.join(q(x) for x in spec.INTERJECTIONS)}))) AND word NOT IN ({','.join(q(x) for x in spec.MEANING_WORDS)}), false)"
+
+
+@query("tsv_compact", f"SELECT rid, CASE WHEN n = 0 OR regexp_matches(short, '^[{spec.SPACE}]*\\z') THEN whole ELSE short END AS text, (CASE WHEN regexp_matches(short, '^[{spec.SPACE}]*\\z') THEN 0 ELSE n END)::BIGINT AS removed FROM (SELECT rid, string_agg(word, '' ORDER BY i) AS whole, regexp_replace(coalesce(string_agg(word, '' ORDER BY i) FILTER (WHERE NOT gone), ''), '[ \\t]{{2,}}', ' ', 'g') AS short, sum(gone::INT) AS n FROM (SELECT *, {_GONE} AS gone FROM {_TOK}) GROUP BY rid)")
+def tsv_compact(s, d):
+    return PR.compacted(_annotated(s, d)[1])
+
+
+_PARTS = f"(SELECT rid, part, text, coalesce(nouns, false) AND length(regexp_replace(text, '[，,、；;。！？!?…\\s]+\\z', '')) BETWEEN 1 AND 8 AS nominal FROM (SELECT rid, part, string_agg(word, '' ORDER BY i) AS text, bool_and(coalesce(regexp_matches(tag, '^(N|FW)'), false)) FILTER (WHERE NOT coalesce(regexp_matches(tag, 'CATEGORY\\z'), false)) AS nouns FROM (SELECT *, coalesce(sum(regexp_matches(word, '[，,、；;。！？!?]\\z')::INT) OVER (PARTITION BY rid ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS part FROM {_TOK}) GROUP BY rid, part))"
+
+
+@query(
+    "enum_merge",
+    f"WITH p AS (SELECT *, sum((NOT nominal)::INT) OVER (PARTITION BY rid ORDER BY part) AS run FROM {_PARTS}), l AS (SELECT *, nominal AND sum(nominal::INT) OVER (PARTITION BY rid, run) >= 2 AS long FROM p), m AS (SELECT *, long OR coalesce(lead(long) OVER (PARTITION BY rid ORDER BY part), false) AS inside FROM l), g AS (SELECT *, sum((NOT inside OR NOT coalesce(before, false))::INT) OVER (PARTITION BY rid ORDER BY part) AS island FROM (SELECT *, lag(inside) OVER (PARTITION BY rid ORDER BY part) AS before FROM m)) SELECT rid, min(part) AS \"first\", max(part) AS \"last\", string_agg(text, '' ORDER BY part) AS text FROM g GROUP BY rid, island",
+)
+def enum_merge(s, d):
+    """Clauses of the annotation records with enumerations of nouns kept in one piece."""
+    return PR.merged_enumerations(PR.clause_parts(_annotated(s, d)[1]))
+
+
+@query("ts_signals")
+def ts_signals(s, d):
+    a, t = _annotated(s, d)
+    return PR.tag_signal_score(a.select("rid", "text"), t)
+
+
+@query("tsv_compress")
+def tsv_compress(s, d):
+    """Clauses of long reviewed texts with their score, and whether they are kept."""
+    c = _rows(reviewed(s, d), "row_id", _comma_clauses(F.col("text"))).select(F.col("row_id").alias("rid"), F.col("n").alias("part"), F.expr("trim(substring(text, r.start + 1, r.end - r.start))").alias("text"))
+    return PR.compressed(c.withColumn("signal", signal_score(F.col("text")))).withColumnRenamed("rid", "row_id")
