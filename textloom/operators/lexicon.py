@@ -66,3 +66,12 @@ def affect_errors(entries: DataFrame, taxonomy: DataFrame) -> DataFrame:
     duplicate = entries.groupBy("word").count().where("count > 1").select("word", F.lit("duplicate_word").alias("error"))
     empty = entries.where("emotions IS NULL OR size(emotions) = 0").select("word", F.lit("no_label").alias("error"))
     return unknown.unionByName(disabled).unionByName(duplicate).unionByName(empty).distinct()
+
+
+def frequency_job(state: DataFrame, targets: DataFrame, threshold: int) -> DataFrame:
+    """(pending, threshold, runs, targets, known) of a job over (canonical) targets: it runs from ``threshold`` targets that the
+    state does not know; one row."""
+    pending = targets.join(state.select("canonical"), "canonical", "left_anti").agg(F.count(F.lit(1)).alias("pending"))
+    known = state.agg(F.count(F.lit(1)).alias("known"))
+    out = pending.crossJoin(targets.agg(F.count(F.lit(1)).alias("targets"))).crossJoin(known)  # one row each
+    return out.select("pending", F.lit(threshold).cast("long").alias("threshold"), (F.col("pending") >= threshold).alias("runs"), "targets", "known")

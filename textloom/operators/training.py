@@ -109,3 +109,25 @@ def quantise(df: DataFrame, value: str) -> DataFrame:
     top = df.agg((F.max(F.abs(finite)) / 32767).alias("_scale"))
     out = df.crossJoin(F.broadcast(top)).withColumn("code", code.cast("int"))  # one row
     return out.withColumn("decoded", F.round(F.when(F.col("code") == -32768, F.lit(-1e30)).otherwise(F.col("code") * scale), 6)).drop("_scale")
+
+
+def dense_transitions(trans2: DataFrame, alpha: float = 0.1) -> DataFrame:
+    """(s2, s1, state, logp): all 64 second-order transitions as floats, smoothed over the legal ones, the others the sentinel."""
+    spark = trans2.sparkSession
+    legal = lambda a, b: b in LEGAL_NEXT[a]
+    every = [(a, b, c, legal(a, b) and legal(b, c)) for a in LEGAL_NEXT for b in LEGAL_NEXT for c in LEGAL_NEXT]
+    full = spark.createDataFrame(every, "s2 string, s1 string, state string, legal boolean").join(trans2, ["s2", "s1", "state"], "left").fillna(0, ["n"])
+    row = Window.partitionBy("s2", "s1")
+    value = F.log((F.col("n") + alpha) / (F.sum("n").over(row) + 2 * alpha))
+    return full.select("s2", "s1", "state", clamp_log(F.when(F.col("legal"), F.round(value, 5)).otherwise(F.lit(-1e30))).alias("logp"))
+
+
+def emission_rows(emit: DataFrame, key: str, alpha: float = 0.1) -> DataFrame:
+    """(ch, states, logps): for every character the states it is emitted from and their log probabilities, in the order of the states.
+    What is not listed is unknown to the state."""
+    vocabulary = emit.agg(F.countDistinct("ch").alias("v"))
+    totals = emit.groupBy(key).agg(F.sum("n").alias("total"))
+    e = emit.join(totals, key).crossJoin(F.broadcast(vocabulary))  # one row
+    e = e.withColumn("logp", F.round(F.log((F.col("n") + alpha) / (F.col("total") + alpha * (F.col("v") + 1))), 4))
+    g = e.groupBy("ch").agg(F.array_sort(F.collect_list(F.struct(key, "logp"))).alias("x"))
+    return g.select("ch", F.transform("x", lambda r: r[key]).alias("states"), F.transform("x", lambda r: r["logp"]).alias("logps"))

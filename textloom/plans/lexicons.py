@@ -76,6 +76,15 @@ def lexicon_stats(s, d):
     return lexicon_install(s, d).groupBy("lexicon").agg(F.count(F.lit(1)).alias("words"), F.count(F.when(F.col("candidates") > 1, 1)).alias("conflicts"))
 
 
+@query("lexicon_summary", f"SELECT (SELECT count(DISTINCT lexicon) FROM {_LEX})::BIGINT AS lexicons, (SELECT count(DISTINCT lexicon) FROM {_LEX} WHERE enabled)::BIGINT AS enabled, (SELECT count(*) FROM {_WIN} WHERE r = 1)::BIGINT AS words, (SELECT count(*) FROM {_WIN} WHERE r = 1 AND candidates > 1)::BIGINT AS conflicts, (SELECT count(*) FROM {_WIN} JOIN (SELECT DISTINCT {_NORM.format('word')} AS word FROM {_DICT}) USING (word) WHERE r = 1)::BIGINT AS overrides")
+def lexicon_summary(s, d):
+    """Over all lexicons: how many, enabled ones, words in effect, conflicts, and words that override the dictionary's."""
+    lexicons = _entries(s, d).agg(F.countDistinct("lexicon").alias("lexicons"), F.countDistinct(F.when(F.col("enabled"), F.col("lexicon"))).alias("enabled"))
+    base = _dictionary(s, d).select(norm_text(F.col("word")).alias("word")).distinct().withColumn("base", F.lit(1))
+    words = lexicon_install(s, d).join(base, "word", "left").agg(F.count(F.lit(1)).alias("words"), F.count(F.when(F.col("candidates") > 1, 1)).alias("conflicts"), F.count("base").alias("overrides"))
+    return lexicons.crossJoin(words)  # one row each
+
+
 @query("affect_polarity", "SELECT word, CASE WHEN pos AND neg THEN 'mixed' WHEN ctx THEN 'contextual' WHEN pos THEN 'positive' WHEN neg THEN 'negative' ELSE 'neutral' END AS polarity FROM (SELECT word, coalesce(bool_or(p = 'positive'), false) AS pos, coalesce(bool_or(p = 'negative'), false) AS neg, coalesce(bool_or(p = 'contextual'), false) OR bool_or(ctx) AS ctx FROM (SELECT e.word, coalesce(e.context_dependent, false) AS ctx, t.default_polarity AS p FROM emotion_lexicon e LEFT JOIN (SELECT entry_id, unnest(emotions) AS id FROM emotion_lexicon) x USING (entry_id) LEFT JOIN emotion_taxonomy t ON t.id = x.id) GROUP BY word)")
 def affect_polarity(s, d):
     return L.polarity(table(s, d, "emotion_lexicon"), table(s, d, "emotion_taxonomy"))
@@ -287,3 +296,10 @@ def fq_apply(s, d):
     w = _dictionary(s, d).select("word", F.col("freq").alias("before"), norm_text(F.col("word")).alias("canonical"))
     return w.join(c, "canonical", "left").select("word", "before", F.coalesce("n", "before").alias("after"))
 
+
+@query("fq_job", f"WITH p AS (SELECT count(*)::BIGINT AS pending FROM (SELECT canonical FROM {_TARGETS} ANTI JOIN {_STATE} USING (canonical))) SELECT pending, 100::BIGINT AS threshold, pending >= 100 AS runs, (SELECT count(*) FROM {_TARGETS})::BIGINT AS targets, (SELECT count(*) FROM {_STATE})::BIGINT AS known FROM p")
+def fq_job(s, d):
+    """What a frequency job would do (dry run): it starts from a hundred pending targets."""
+    return L.frequency_job(_state(s, d), _targets(s, d), 100)
+
+

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from textloom.functions import spec
 from textloom.functions.text import chars, norm_text  # noqa: F401
+from textloom.operators import annotate as A
 from textloom.operators import keywords as K
 from textloom.operators import segment as S
 from textloom.operators.lexicon import dict_matches
@@ -191,6 +192,37 @@ def annotate(s, d):
     return tokenize(s, d).withColumn("norm", norm_text(F.col("word"))).join(a, "norm", "left").drop("norm")
 
 
+_FINGERPRINT = "SELECT kind, sha256(string_agg(digest, chr(10) ORDER BY bucket)) AS digest FROM (SELECT kind, substr(md5(key), 1, 2) AS bucket, sha256(string_agg(key || '=' || n, chr(10) ORDER BY key || '=' || n)) AS digest FROM ({}) GROUP BY ALL) GROUP BY kind"
+
+
+@query("fingerprint", _FINGERPRINT.format(_BUILD))
+def fingerprint(s, d):
+    """A digest of every table of the model: of its rows in order, by buckets of their keys, so that no table is one group."""
+    rows = trained(s, d).groupBy("kind", F.substring(F.md5("key"), 1, 2).alias("bucket")).agg(F.array_sort(F.collect_list(F.concat("key", F.lit("="), F.col("n").cast("string")))).alias("x"))
+    parts = rows.select("kind", "bucket", F.sha2(F.array_join("x", "\n"), 256).alias("digest")).groupBy("kind").agg(F.array_sort(F.collect_list(F.struct("bucket", "digest"))).alias("x"))
+    return parts.select("kind", F.sha2(F.array_join(F.transform("x", lambda r: r["digest"]), "\n"), 256).alias("digest"))
+
+
+def _rules(texts):
+    """The tagger of ``preannotate``: rules only, no model."""
+    answers = [S.tokenize(None, t) for t in texts]
+    return [([w for w, *_ in a], [t for _, t, *_ in a]) for a in answers]
+
+
+@query("preannotate")
+def preannotate(s, d):
+    """Train and dev records without annotation, annotated: tokens and errors."""
+    r = table(s, d, "reviewed").where("split IN ('train', 'dev') AND preannotation IS NULL")
+    return A.preannotated(spread(r), "row_id", "text", _rules)
+
+
+@query("annotate_silver")
+def annotate_silver(s, d):
+    """Words, tags and named spans of the documents by three annotators over the same batches: rules stand for models."""
+    names = lambda texts: [[(a, b, k.upper(), t[a:b]) for a, b, k, _ in S.protected(t)] for t in texts]
+    return A.silver(spread(table(s, d, "documents")), "doc_id", "text", lambda t: [w for w, _ in _rules(t)], lambda words: [["Na"] * len(w) for w in words], names)
+
+
 # ---------------------------------------------------------------- keywords over the reviewed tokens
 _OK = "(length(word) >= 2 AND (pos IN ('n', 'ns', 'nz', 'x') OR pos LIKE 'v%' OR pos IN ('nr', 'nt')))"
 

@@ -194,6 +194,21 @@ def cv_clamp(s, d):
     return table(s, d, "events").select("event_id", R.clamp_log(odd).cast("double").alias("x"))
 
 
+_PAIR = "(VALUES ('B','M'),('B','E'),('M','M'),('M','E'),('E','B'),('E','S'),('S','B'),('S','S'))"
+
+
+@query("cv_bmes", f"WITH st(x) AS (VALUES ('B'),('M'),('E'),('S')), c AS (SELECT s2, s1, state, count(*) AS n FROM {_STATES} WHERE s2 IS NOT NULL GROUP BY ALL), f AS (SELECT a.x AS s2, b.x AS s1, k.x AS state, coalesce(n, 0) AS n, (a.x, b.x) IN (SELECT (col0, col1) FROM {_PAIR}) AND (b.x, k.x) IN (SELECT (col0, col1) FROM {_PAIR}) AS legal FROM st a, st b, st k LEFT JOIN c ON c.s2 = a.x AND c.s1 = b.x AND c.state = k.x) SELECT s2, s1, state, (CASE WHEN legal THEN round(ln((n + 0.1) / (sum(n) OVER (PARTITION BY s2, s1) + 0.2)), 5) ELSE -1e30 END)::FLOAT::DOUBLE AS logp FROM f")
+def cv_bmes(s, d):
+    """The dense second-order table of the segmentation model."""
+    return R.dense_transitions(R.counts(_states(s, d), "s2", "s1", "state")).withColumn("logp", F.col("logp").cast("double"))
+
+
+@query("cv_pos", f"WITH e AS (SELECT joint, ch, count(*) AS n FROM {_STATES} GROUP BY ALL), t AS (SELECT joint, sum(n) AS total FROM e GROUP BY joint), v AS (SELECT count(DISTINCT ch) AS v FROM e) SELECT ch, list(joint ORDER BY joint) AS states, list(round(ln((n + 0.1) / (total + 0.1 * (v + 1))), 4) ORDER BY joint) AS logps FROM e JOIN t USING (joint), v GROUP BY ch")
+def cv_pos(s, d):
+    """The sparse emissions of the tagging model, a row for each character."""
+    return R.emission_rows(R.counts(_states(s, d), "joint", "ch"), "joint")
+
+
 @query("cv_report", f"SELECT length(word)::BIGINT AS chars, count(*)::BIGINT AS words, sum(freq)::BIGINT AS freq FROM {_LOGP} GROUP BY ALL")
 def cv_report(s, d):
     return _logp(s, d).groupBy(F.length("word").cast("long").alias("chars")).agg(F.count(F.lit(1)).alias("words"), F.sum("freq").alias("freq"))
