@@ -232,3 +232,29 @@ def test_canonical_tokens(spark):
         got.setdefault(r["rid"], []).append((r["word"], r["tag"], r["s"], r["t"], r["reason"]))
         assert r["eligible"] == (r["reason"] != "quantity") and (r["canonical"] is not None) == (r["reason"] == "quantity")
     assert got == want and any(x[4] == "noun-suffix" for v in want.values() for x in v)
+
+
+# ---------------------------------------------------------------- annotators and the second profile
+def test_annotators(spark):
+    from textloom.operators import annotate as A
+
+    df = spark.createDataFrame([(1, "甲乙"), (2, None), (3, "丙"), (4, "丁")], "id int, text string")
+    answers = {"甲乙": (["甲", "乙"], ["n", "v"]), "丙": (["丙", "x"], ["n", "n"]), "丁": (["丁"], [])}
+    got = {r["id"]: (r["tokens"], r["error"]) for r in A.preannotated(df, "id", "text", lambda ts: [answers[t] for t in ts], batch=2).collect()}
+    assert [(k["text"], k["pos"]) for k in got[1][0]] == [("甲", "n"), ("乙", "v")] and got[1][1] is None
+    assert got[2] == (None, "no text") and got[3] == (None, "words do not join to the text") and got[4][1] == "1 words but 0 tags"
+    s = A.silver(df.where("id = 1"), "id", "text", lambda ts: [list(t) for t in ts], lambda ws: [["n"] * len(w) for w in ws], lambda ts: [[(1, 2, "X", "乙"), (0, 1, "X", "甲"), (0, 1, "X", "甲"), (2, 2, "X", "")]] * len(ts)).first()
+    assert [(e["start"], e["end"]) for e in s["entities"]] == [(0, 1), (1, 2)] and len(s["tokens"]) == 2
+
+
+def test_second_profile(spark):
+    from textloom.operators import profile as R
+
+    rows = [("a", i, w, t) for i, (w, t) in enumerate([("他", "Nh"), ("非常", "Dfa"), ("不", "D"), ("高興", "VH"), ("啊", "T"), ("的", "T")])] + [("b", 0, "很", "Dfa")]
+    t = spark.createDataFrame(rows, "rid string, i long, word string, tag string")
+    assert sorted(map(tuple, R.compacted(t).collect())) == [("a", "他不高興的", 2), ("b", "很", 0)]
+    parts = spark.createDataFrame([("a", i, x, n) for i, (x, n) in enumerate([("p0，", False), ("p1，", False), ("n1、", True), ("n2，", True), ("p2，", False), ("n3、", True), ("n4。", True), ("p3", False), ("n5", True)])], "rid string, part long, text string, nominal boolean")
+    assert [(r["first"], r["last"]) for r in R.merged_enumerations(parts).orderBy("first").collect()] == [(0, 0), (1, 6), (7, 7), (8, 8)]
+    texts = spark.createDataFrame([("a", i, "一二三四五六七八九十" * 3, s) for i, s in enumerate([0.0, 1.0, 0.5, 0.0])] + [("b", i, "短", 1.0) for i in range(4)], "rid string, part int, text string, signal double")
+    got = R.compressed(texts).orderBy("part").collect()
+    assert [r["kept"] for r in got] == [False, True, True, False] and {r["rid"] for r in got} == {"a"}

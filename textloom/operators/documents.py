@@ -286,6 +286,24 @@ def page_rank(weights: dict[tuple[int, int], float], n: int, damping: float = 0.
     return ranks
 
 
+def block_ranks(blocks: DataFrame, sims: DataFrame) -> DataFrame:
+    """(doc, block, rank) of blocks (doc, block) by the similarities (block, a, b, sim) within their documents."""
+    kind = blocks.schema["doc"].dataType.simpleString()
+    b = blocks.groupBy("doc").agg(F.sort_array(F.collect_set("block")).alias("items"))
+    p = sims.groupBy(F.col("block").alias("doc")).agg(F.collect_list(F.struct("a", "b", "sim")).alias("pairs"))
+
+    def rank(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            out = []
+            for doc, items, pairs in zip(pdf["doc"], pdf["items"], pdf["pairs"]):
+                at = {x: i for i, x in enumerate(items)}
+                weights = {(at[r["a"]], at[r["b"]]): r["sim"] for r in (pairs if pairs is not None else []) if r["a"] in at and r["b"] in at}
+                out += [(doc, x, round(r, 6)) for x, r in zip(items, page_rank(weights, len(items)))]
+            yield pd.DataFrame(out, columns=["doc", "block", "rank"])
+
+    return b.join(p, "doc", "left").mapInPandas(rank, f"doc {kind}, block bigint, rank double")
+
+
 def select_diverse(items: list[dict], sims: dict[tuple[int, int], float], limit: int, redundancy: float = 0.8, threshold: float = 0.35, weights: tuple[float, ...] = (0.50, 0.0, 0.25, 0.15, 0.10)) -> list[tuple[int, float]]:
     """Greedy choice by relevance, newly covered terms, novelty and signals; too similar or too weak items are left out."""
     chosen: list[tuple[int, float]] = []

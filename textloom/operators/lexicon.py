@@ -27,16 +27,16 @@ def dict_matches(df: DataFrame, key: str, text: str, dictionary: DataFrame, leas
     return hits.join(dictionary, "word").withColumnRenamed("_key", key)
 
 
-def install_user(base: DataFrame, user: DataFrame) -> DataFrame:
+def install_user(base: DataFrame, user: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
     """Base dictionary (word, freq, tag) overlaid by user entries (line, word, freq, tag): the last valid line wins
     (2 to 255 characters, a finite positive frequency; tag Na by default) and log probabilities are taken over the
-    new total."""
+    new total. ``keep`` names columns that stay besides."""
     u = user.withColumn("word", norm_text(F.col("word"))).where((F.length("word").between(2, 255)) & (F.col("freq") > 0) & ~F.isnan("freq") & (F.col("freq") < float("inf")))
     u = u.groupBy("word").agg(F.max_by(F.struct("freq", "tag"), "line").alias("e")).select("word", F.col("e.freq").cast("double").alias("freq"), F.coalesce("e.tag", F.lit("Na")).alias("tag"), F.lit(True).alias("is_user"))
     kept = base.join(u.select("word"), "word", "left_anti").select("word", F.col("freq").cast("double").alias("freq"), "tag", F.lit(False).alias("is_user"))
     both = kept.unionByName(u)
     total = both.agg(F.sum("freq").alias("total"))
-    return both.crossJoin(F.broadcast(total)).select("word", "tag", "is_user", F.round(F.log("freq") - F.log("total"), 6).alias("logp"))  # one row
+    return both.crossJoin(F.broadcast(total)).select("word", *keep, "tag", "is_user", F.round(F.log("freq") - F.log("total"), 6).alias("logp"))  # one row
 
 
 def install_lexicons(entries: DataFrame) -> DataFrame:

@@ -334,9 +334,8 @@ def anchors(model: BmesModel, text: str) -> list[tuple[int, int]]:
     return out
 
 
-def cut(model: BmesModel | None, text: str, measure: bool = False) -> list[tuple[int, int, str]]:
-    """Segments (start, end, kind) of a text; Han chunks are decoded if there is a model. They cover the text."""
-    plain = text.translate(_TRANSLATE)
+def cut_plain(model: BmesModel | None, plain: str) -> list[tuple[int, int, str]]:
+    """Segments (start, end, kind) of a normalised text before merges: anchors, and between them chunks, Han ones decoded."""
     out: list[tuple[int, int, str]] = []
 
     def gap(start: int, end: int) -> None:
@@ -355,7 +354,13 @@ def cut(model: BmesModel | None, text: str, measure: bool = False) -> list[tuple
         out.append((a, b, "Word"))
         cursor = b
     gap(cursor, len(plain))
-    return post_merge(plain, out, measure)
+    return out
+
+
+def cut(model: BmesModel | None, text: str, measure: bool = False) -> list[tuple[int, int, str]]:
+    """Segments (start, end, kind) of a text; Han chunks are decoded if there is a model. They cover the text."""
+    plain = text.translate(_TRANSLATE)
+    return post_merge(plain, cut_plain(model, plain), measure)
 
 
 _NUMERAL = re.compile(f"第?[{spec.HAN_NUMERALS}]+個?")
@@ -550,6 +555,24 @@ def path_column(column, model: BmesModel):
     return run(column)
 
 
+def spans_column(column, f):
+    """Spans (start, end, kind) that ``f`` finds in a normalised text."""
+
+    @F.pandas_udf("array<struct<start:int,end:int,kind:string>>")
+    def run(values: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for s in values:
+            yield pd.Series([None if x is None else [{"start": a, "end": b, "kind": k} for a, b, k in f(x.translate(_TRANSLATE))] for x in s], index=s.index, dtype=object)
+
+    return run(column)
+
+
+def edits(model: BmesModel | None, text: str, measure: bool = False) -> list[tuple[int, int, str]]:
+    """The merges that are made behind segmentation, as spans."""
+    segments = cut_plain(model, text)
+    chosen = select_merges(time_merges(text, segments) + (measure_merges(text, segments) if measure else []))
+    return [(segments[first][0], segments[end - 1][1], kind) for first, end, kind, _ in chosen]
+
+
 def span_score_column(column, model: BmesModel):
     """The character score of a word on its own."""
 

@@ -32,12 +32,6 @@ def dict_match(s, d):
     return L.dict_matches(reviewed(s, d), "row_id", "text", lookup)
 
 
-@query("dict_lookup", f"SELECT row_id, i AS position, g.word, coalesce(freq, 0)::BIGINT AS freq, coalesce(tag, '') AS tag FROM {GOLD} g LEFT JOIN {_DICT} USING (word)")
-def dict_lookup(s, d):
-    j = gold_tokens(s, d).select("row_id", F.col("i").alias("position"), "word").join(_dictionary(s, d), "word", "left")
-    return j.select("row_id", "position", "word", F.coalesce("freq", F.lit(0)).alias("freq"), F.coalesce("tag", F.lit("")).alias("tag"))
-
-
 _CURATED = "(VALUES " + ",".join(f"({i},{q(w)},{f}::DOUBLE,{q(t)})" for i, (w, f, t) in enumerate(spec.CURATED)) + ") c(line, word, freq, tag)"
 _INSTALL = f"WITH u AS (SELECT word, arg_max(freq, line) AS freq, arg_max(tag, line) AS tag FROM (SELECT line, {_NORM.format('word')} AS word, freq, tag FROM {_CURATED}) GROUP BY word), b AS (SELECT word, freq::DOUBLE AS freq, tag, false AS is_user FROM {_DICT} ANTI JOIN u USING (word) UNION ALL SELECT word, freq, tag, true FROM u)"
 
@@ -54,6 +48,15 @@ def curated_overrides(s, d):
     return userdict_install(s, d).where("is_user").select("word", "tag")
 
 
+@query("dict_lookup", _INSTALL + f", t AS (SELECT ln(sum(freq)) AS total FROM b) SELECT row_id, i AS position, g.word, coalesce(freq, 0)::DOUBLE AS freq, coalesce(b.tag, '') AS tag, coalesce(is_user, false) AS is_user, round(ln(freq) - total, 6) AS logp FROM {GOLD} g, t LEFT JOIN b ON b.word = g.word")
+def dict_lookup(s, d):
+    """Every token in the dictionary with the user's entries: frequency, tag, whether it is the user's, log probability; unknown words have none."""
+    user = s.createDataFrame([(i, w, float(f), t) for i, (w, f, t) in enumerate(spec.CURATED)], "line int, word string, freq double, tag string")
+    b = L.install_user(_dictionary(s, d), user, keep=("freq",))
+    j = gold_tokens(s, d).select("row_id", F.col("i").alias("position"), "word").join(b, "word", "left")
+    return j.select("row_id", "position", "word", F.coalesce("freq", F.lit(0.0)).alias("freq"), F.coalesce("tag", F.lit("")).alias("tag"), F.coalesce("is_user", F.lit(False)).alias("is_user"), "logp")
+
+
 # Two lexicons from the table: one for each source tag, by load order; entries of a null source are in no lexicon.
 _LEX = "(SELECT source AS lexicon, CASE source WHEN 'hand-v1' THEN 1 WHEN 'crowd-v2' THEN 2 ELSE 3 END AS load_order, CASE source WHEN 'crowd-v2' THEN 3 ELSE 0 END AS priority, source <> 'import-v3' AS enabled, word FROM emotion_lexicon WHERE source IS NOT NULL)"
 
@@ -108,6 +111,20 @@ def affect_validate(s, d):
     return L.affect_errors(table(s, d, "emotion_lexicon"), table(s, d, "emotion_taxonomy"))
 
 
+@query("taxonomy_validate", "SELECT DISTINCT id, error FROM (SELECT id, 'duplicate_id' AS error FROM emotion_taxonomy GROUP BY id HAVING count(*) > 1 UNION ALL SELECT id, 'no_family' FROM emotion_taxonomy WHERE coalesce(family, '') = '' UNION ALL SELECT id, 'unknown_polarity' FROM emotion_taxonomy WHERE coalesce(default_polarity, '') NOT IN ('positive', 'negative', 'neutral', 'mixed', 'contextual') UNION ALL SELECT id, 'mixed_default' FROM emotion_taxonomy WHERE default_polarity = 'mixed' UNION ALL SELECT id, 'family_differs' FROM emotion_taxonomy WHERE NOT starts_with(id, family || '.'))")
+def taxonomy_validate(s, d):
+    """Labels that break a rule of the taxonomy: ids once, a family that the id begins with, a known polarity that is not mixed."""
+    t = table(s, d, "emotion_taxonomy")
+    polarity = F.coalesce("default_polarity", F.lit(""))
+    rules = {
+        "no_family": F.coalesce("family", F.lit("")) == "", "unknown_polarity": ~polarity.isin("positive", "negative", "neutral", "mixed", "contextual"), "mixed_default": polarity == "mixed",
+        "family_differs": ~F.coalesce(F.col("id").startswith(F.concat("family", F.lit("."))), F.lit(True)),
+    }
+    found = F.filter(F.array(*[F.when(r, F.lit(n)) for n, r in rules.items()]), lambda x: x.isNotNull())
+    twice = t.groupBy("id").count().where("count > 1").select("id", F.lit("duplicate_id").alias("error"))
+    return t.select("id", F.explode(found).alias("error")).unionByName(twice).distinct()
+
+
 @query("affect_lookup", f"SELECT row_id, i AS position, g.word, a.entries FROM {GOLD} g JOIN (SELECT {_NORM.format('word')} AS norm, count(*)::BIGINT AS entries FROM emotion_lexicon GROUP BY ALL) a ON {_NORM.format('g.word')} = a.norm")
 def affect_lookup(s, d):
     a = table(s, d, "emotion_lexicon").groupBy(norm_text(F.col("word")).alias("norm")).agg(F.count(F.lit(1)).alias("entries"))

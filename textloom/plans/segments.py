@@ -146,6 +146,29 @@ def seg_viterbi(s, d):
     return t.select("row_id", "step", "r.start", "r.end", "r.kind", F.round("r.score", 6).alias("score"))
 
 
+def _spans(s, d, f):
+    t = spread(reviewed(s, d)).select("row_id", F.explode(S.spans_column(F.col("text"), f)).alias("r"))
+    return t.select("row_id", F.col("r.start").alias("char_start"), F.col("r.end").alias("char_end"), "r.kind")
+
+
+@query("ivl_anchor")
+def ivl_anchor(s, d):
+    """Dictionary words that mix letters or digits with Han, and the protected ones: they stand before any segmentation."""
+    model = _model(s, d)
+    return _spans(s, d, lambda x: [(a, b, "Word") for a, b in S.anchors(model, x)])
+
+
+@query("ivl_postselect")
+def ivl_postselect(s, d):
+    """The merges made behind segmentation, of both rules: by first segment, priority and end."""
+    model = _model(s, d)
+    return _spans(s, d, lambda x: S.edits(model, x, measure=True))
+
+
+query("post_time")(lambda s, d: ivl_postselect(s, d).where("kind = 'Time'"))
+query("post_measure")(lambda s, d: ivl_postselect(s, d).where("kind = 'Num'"))
+
+
 @query("seg_edges")
 def seg_edges(s, d):
     """The dictionary edges of the lattice: every word of the model at every place it can stand, with its log probability."""

@@ -119,6 +119,14 @@ def qty_suppress(s, d):
 query("cand_bound")(lambda s, d: D.bounded(D.ranked_blocks(_blocks(s, d).withColumnRenamed("doc_id", "doc")), 3).select(F.col("doc").alias("doc_id"), "block"))
 
 
+@query("pagerank_sum")
+def pagerank_sum(s, d):
+    """The rank of every candidate block in its document's graph of similarities; the ranks of a document add up to one."""
+    p = cut_lineage(D.bounded(D.ranked_blocks(_blocks(s, d).withColumnRenamed("doc_id", "doc")), 3))
+    sims = bm25_pairs(p.select(F.col("doc").alias("block"), F.col("block").alias("id"), "text"))
+    return D.block_ranks(p, sims).withColumnRenamed("doc", "doc_id")
+
+
 def _summary(s, d):
     return D.summary_documents(documents(s, d), "doc_id", "text")
 

@@ -9,6 +9,8 @@ from textloom.functions import spec
 from textloom.operators import retokenize as RT
 from textloom.operators import training as R
 from textloom.plans.common import GOLD, SILVER, gold_tokens, q, silver_tokens, table
+from textloom.plans import registry
+from textloom.plans.lexicons import entity_validate
 from textloom.plans.registry import query
 
 _HAN = rf"^[{spec.HAN_TRAIN}]+\z"
@@ -240,10 +242,17 @@ def rt_policy(s, d):
     return e.where("r = 1 AND n >= 2 AND n / total >= 0.8").select(F.col("word").alias("surface"), "label", F.col("n").alias("support"), "total")
 
 
-@query("rt_evidence", f"SELECT 'entity' AS kind, word AS surface, label, n FROM {_WORD_ENTITY} UNION ALL SELECT 'word', word, '', sum(n)::BIGINT FROM {_WORD_POS} GROUP BY word")
+_SUFFIX_SQL = registry.ORACLES["rt_suffix_pairs"]
+
+
+@query("rt_evidence", f"SELECT 'entity' AS kind, word AS surface, label, n FROM {_WORD_ENTITY} UNION ALL SELECT 'word', word, '', sum(n)::BIGINT FROM {_WORD_POS} GROUP BY word UNION ALL SELECT 'suffix', surface, '', n FROM ({_SUFFIX_SQL}) UNION ALL SELECT 'invalid', reason, '', count(*)::BIGINT FROM ({registry.ORACLES['entity_validate']}) WHERE reason <> 'valid' GROUP BY reason")
 def rt_evidence(s, d):
+    """Counts of entities by label, of words, of words with a noun suffix, and of invalid entities by reason."""
     e = _word_entity(s, d).select(F.lit("entity").alias("kind"), F.col("word").alias("surface"), "label", "n")
-    return e.unionByName(_word_pos(s, d).groupBy(F.col("word").alias("surface")).agg(F.sum("n").alias("n")).select(F.lit("word").alias("kind"), "surface", F.lit("").alias("label"), "n"))
+    one = lambda kind, df: df.select(F.lit(kind).alias("kind"), "surface", F.lit("").alias("label"), "n")
+    words = _word_pos(s, d).groupBy(F.col("word").alias("surface")).agg(F.sum("n").alias("n"))
+    invalid = entity_validate(s, d).where("reason <> 'valid'").groupBy(F.col("reason").alias("surface")).agg(F.count(F.lit(1)).alias("n"))
+    return e.unionByName(one("word", words)).unionByName(one("suffix", rt_suffix_pairs(s, d))).unionByName(one("invalid", invalid))
 
 
 @query("rt_load_evidence", f"SELECT word, sum(n)::BIGINT AS n FROM {_WORD_POS} WHERE substr(word, -1) IN ('師','員','家','者','手') GROUP BY word")

@@ -25,12 +25,15 @@ def local_session(app: str = "textloom", cpus: str | int = "*", partitions: int
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """The folder for checkpoints: the cluster's ``spark.checkpoint.dir``, else (tests) one of our own."""
+    """The folder for checkpoints: the cluster's ``spark.checkpoint.dir``. Where it is unset, a local session (tests) gets one
+    of its own; a cluster is an error, since a folder of one machine is not seen by the others."""
     sc = spark.sparkContext
     current = sc._jsc.sc().getCheckpointDir()
     if current.isDefined():
         return current.get()
     configured = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
+    if not configured and not sc.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all machines share")
     sc.setCheckpointDir(configured or tempfile.mkdtemp(prefix="textloom-checkpoint-"))
     return sc._jsc.sc().getCheckpointDir().get()
 
