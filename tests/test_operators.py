@@ -1,5 +1,4 @@
 from textloom.operators.documents import depends, page_rank, parse_blocks, select_diverse, split_clauses, split_sentences
-from textloom.operators.punctuation import constrained_decode, extract, render
 from textloom.sources import files
 
 
@@ -36,13 +35,6 @@ def test_rank_and_choice():
     assert [i for i, _ in select_diverse(items, {(0, 1): 0.9}, 3)] == [0, 2] or [i for i, _ in select_diverse(items, {(0, 1): 0.9}, 3)] == [0]
 
 
-def test_punctuation():
-    units, marks, quotes = extract("他說：「好。」")
-    assert render(units, marks, quotes) == "他說：「好」。" and len(marks) == len(units) + 1
-    assert extract("「「") == "nested_quotes" and extract("") == "empty"
-    assert constrained_decode([[0, 1], [1, 0]], [[0, 5, 0], [0, 0, 1]]) == ([1, 0], [1, 2])
-
-
 def test_files(spark, tmp_path):
     (tmp_path / "u.txt").write_text("# 註\n甲乙 5 Na\n丙丁 Nb\n戊己\n", encoding="utf-8")
     got = [tuple(r) for r in files.parse_user_dictionary(files.read_lines(spark, str(tmp_path / "u.txt"))).collect()]

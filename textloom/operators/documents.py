@@ -318,7 +318,7 @@ def select_diverse(items: list[dict], sims: dict[tuple[int, int], float], limit:
                 continue
             terms = items[i]["terms"]
             gain = len(terms - covered) / len(terms) if terms else 0.0
-            score = weights[0] * items[i]["relevance"] + weights[1] * items[i]["discourse"] + weights[2] * gain + weights[3] * (1 - close) + weights[4] * items[i]["signal"]
+            score = weights[0] * items[i]["relevance"] + weights[1] * items[i].get("discourse", 0.0) + weights[2] * gain + weights[3] * (1 - close) + weights[4] * items[i]["signal"]
             if best is None or score > best[1]:
                 best = (i, score)
         if best is None or best[1] < threshold:
