@@ -53,7 +53,7 @@ def _class(kind: Callable[[str], bool]) -> str:
     return "".join(re.escape(chr(x)) + "-" + re.escape(chr(y)) for x, y in runs)
 
 
-_DOTTED_USE = re.compile(r"(?<![^\W_.])((?:[^\W\d_]\.?){1,12})\.(?=([,;:)]| ?[^\W\d_]| \d|\s*\Z|[ \t]*[\n\r]))")
+_DOTTED_USE = re.compile(r"(?<![^\W_.])(?<![\u0300-\u036f])((?:[^\W\d_]\.?){1,12})\.(?=([,;:)]| ?[^\W\d_]| \d|\s*\Z|[ \t]*[\n\r]))")
 # Words of the scripts with capitals; not inside names, addresses or shortened forms.
 _CASED_USE = re.compile(rf"(?<![\w@./'’-])[{_class(lambda c: c.lower() != c.upper())}]+(?![\w@/-])(?!\.\w)")
 _ASKED = re.compile(rf"[.．][{re.escape(CLOSERS)} \t　]*(?=[^\W_])")
@@ -74,8 +74,9 @@ class Corpus:
 
 
 # What is counted of a word: with a period before a lower-case letter or comma; before a digit; before these or a capital;
-# before anything else or nothing; capitalised after a lower-case word; in lower case; in lower case without a period.
-COUNTS = ("inside", "number", "dotted", "other", "up", "low", "plain")
+# before anything else or nothing; capitalised after a lower-case word; in lower case; in lower case without a period; in any
+# case without a period.
+COUNTS = ("inside", "number", "dotted", "other", "up", "low", "plain", "bare")
 
 
 def add_uses(text: str, uses: dict[str, list[int]]) -> None:
@@ -90,12 +91,14 @@ def add_uses(text: str, uses: dict[str, list[int]]) -> None:
             n[3] += not tells
     for m in _CASED_USE.finditer(text):
         w, a = m[0], m.start()
+        n = uses.setdefault(w.lower(), [0] * len(COUNTS))
+        bare = text[m.end() : m.end() + 1] != "."
+        n[7] += bare
         if w.islower():
-            n = uses.setdefault(w, [0] * len(COUNTS))
             n[5] += 1
-            n[6] += text[m.end() : m.end() + 1] != "."
+            n[6] += bare
         elif w[0].isupper() and len(w) > 1 and a > 1 and text[a - 1] == " " and text[a - 3 if text[a - 2] == "," and a > 2 else a - 2].islower():
-            uses.setdefault(w.lower(), [0] * len(COUNTS))[4] += 1
+            n[4] += 1
 
 
 def asked(text: str) -> set[str]:
@@ -124,7 +127,7 @@ def _own_evidence(text: str) -> Corpus:
     """The evidence of a folded text that is a document of its own."""
     uses: dict[str, list[int]] = {}
     add_uses(text, uses)
-    return _from_bits({w: (i > 0 or 0 < number == dotted and not other) + 2 * (plain > 0) + 4 * (up > 0 and not low) + 8 * (low > 0) for w, (i, number, dotted, other, up, low, plain) in uses.items()})
+    return _from_bits({w: (i > 0 or 0 < number == dotted and not other) + 2 * (plain > 0) + 4 * (up > 0 and not low) + 8 * (low > 0) for w, (i, number, dotted, other, up, low, plain, _) in uses.items()})
 
 
 def _abbreviation(word: str, doc: Corpus, corpus: Corpus) -> bool | None:
@@ -315,10 +318,12 @@ def sentence_ends(stored: str, corpus: Corpus = Corpus(), doc: Corpus | None = N
 def corpus_evidence(uses: DataFrame, min_count: int = 5, min_share: float = 0.1) -> DataFrame:
     """The corpus fallback (word, bits) from the uses of all documents, counted over all texts: words of up to six
     letters that stand with a period before a lower-case letter, comma or digit in at least ``min_share`` of their dotted
-    occurrences, words at least as often without a period as with one, words capitalised inside sentences and never
+    occurrences, or, of up to three, hardly ever (``min_share``) stand without one, words at least as often without a period as with one, words capitalised inside sentences and never
     in lower case, and words more often in lower case than capitalised there; ``min_count`` such uses at least."""
     n = uses.groupBy("word").agg(*(F.sum(c).alias(c) for c in COUNTS))
-    short = f"inside + number >= {min_count} AND inside + number >= {min_share} * dotted AND length(replace(word, '.', '')) <= 6"
+    inside = f"inside + number >= {min_count} AND inside + number >= {min_share} * dotted"
+    always = f"dotted + other >= {min_count} AND bare <= {min_share} * (dotted + other) AND length(word) <= 3 AND lower(word) <> upper(word)"
+    short = f"({inside} OR {always}) AND length(replace(word, '.', '')) <= 6"
     word = f"plain >= {min_count} AND plain >= dotted + other"
     return n.select("word", F.expr(f"IF({short}, 1, 0) + IF({word}, 2, 0) + IF(up >= {min_count} AND low = 0, 4, 0) + IF(low >= {min_count} AND low > up, 8, 0)").alias("c")).where("c > 0")
 
