@@ -25,7 +25,7 @@ def signal_count(c: Column, name: str) -> Column:
 
 def signal_score(c: Column) -> Column:
     """The weights of the signals that a text has, at most 1."""
-    some = lambda *names: (sum((signal_count(c, n) for n in names), F.lit(0)) > 0).cast("int")
+    some = lambda *names: c.rlike("|".join(f"(?:{java_pattern(n)})" for n in names)).cast("int")
     total = sum((F.lit(w) * (some("proper_en", "proper_cjk") if n == "proper" else some(n)) for n, w in SCORE_WEIGHTS.items()), F.lit(0.0))
     return F.least(F.lit(1.0), total)
 

@@ -446,7 +446,8 @@ def ranked_blocks(blocks: DataFrame) -> DataFrame:
     from textloom.functions.signals import discourse_score, signal_score
     from textloom.operators.similarity import term_array
 
-    p = blocks.where("kind IN ('paragraph', 'blockquote')").select("doc", "block", F.col("body").alias("text"), term_array(F.col("body")).alias("all_terms")).where("size(all_terms) > 0")
+    some = F.col("body").rlike(f"[A-Za-z0-9_.-]|[{spec.HAN_TERMS}]")  # a text with any term; a filter on the terms would have them made twice
+    p = blocks.where(F.col("kind").isin("paragraph", "blockquote") & some).select("doc", "block", F.col("body").alias("text"), term_array(F.col("body")).alias("all_terms"))
     return p.select("doc", "block", "text", F.array_distinct("all_terms").alias("terms"), F.size("all_terms").alias("n_terms"), discourse_score(F.col("text")).alias("discourse"), signal_score(F.col("text")).alias("signal"))
 
 

@@ -32,6 +32,10 @@ def _pieces(text: Column) -> tuple[Column, Column]:
     return F.regexp_extract_all(ended, F.lit(_PIECE), F.lit(1)), F.regexp_extract_all(ended, F.lit(_PIECE), F.lit(2))
 
 
+def _units(piece: Column) -> Column:
+    return F.when(F.length(piece) == 1, F.array(piece)).otherwise(chars(piece))
+
+
 def protected_count(text: Column) -> Column:
     """Characters inside addresses, acronyms and grouped numbers."""
     return (F.length(text) - F.length(F.regexp_replace(text, F.lit(_SAFE), F.lit("")))).cast("long")
@@ -49,8 +53,10 @@ def labelled(df: DataFrame, key: str, text: str) -> DataFrame:
     runs, pieces = _pieces(F.col("_t"))
     t = t.select(key, "_t", runs.alias("_runs"), pieces.alias("_pieces"))
     mark_of = F.create_map(*[F.lit(x) for kv in spec.PUNCTUATION.items() for x in kv])
-    marks = F.transform("_runs", lambda r: F.array_distinct(F.filter(F.transform(chars(r), lambda c: mark_of[c]), lambda m: m.isNotNull())))
-    quotes = F.transform("_runs", lambda r: F.regexp_extract_all(r, F.lit(f"[{_ANY_QUOTE}]"), F.lit(0)))
+    # Most runs are empty and most pieces one character: nothing is matched for them.
+    none = F.array().cast("array<string>")
+    marks = F.transform("_runs", lambda r: F.when(r == "", F.array().cast("array<int>")).otherwise(F.array_distinct(F.filter(F.transform(chars(r), lambda c: mark_of[c]), lambda m: m.isNotNull()))))
+    quotes = F.transform("_runs", lambda r: F.when(r == "", none).otherwise(F.regexp_extract_all(r, F.lit(f"[{_ANY_QUOTE}]"), F.lit(0))))
     t = t.select(key, "_t", "_pieces", marks.alias("_marks"), quotes.alias("_quotes"))
     events = F.flatten("_quotes")
     wrong = F.transform(events, lambda c, i: F.when((i % 2 == 1) & F.contains(F.lit(spec.OPEN_QUOTES), c), "nested_quotes").when((i % 2 == 0) & F.contains(F.lit(spec.CLOSE_QUOTES), c), "unmatched_quote"))
@@ -70,9 +76,9 @@ def labelled(df: DataFrame, key: str, text: str) -> DataFrame:
     wide = lambda first: F.flatten(F.zip_with(first, "_pieces", lambda m, p: F.concat(F.array(m), F.array_repeat(F.lit(0), F.length(p) - 1))))
     t = t.select(
         key, "error",
-        F.when(ok, F.flatten(F.transform(F.slice("_pieces", 1, F.size("_pieces") - 1), chars))).alias("units"),
+        F.when(ok, F.flatten(F.transform(F.slice("_pieces", 1, F.size("_pieces") - 1), _units))).alias("units"),
         F.when(ok, wide(F.transform("_marks", lambda m: F.coalesce(F.get(m, F.lit(0)), F.lit(0))))).alias("punctuation"),
-        F.when(ok, wide(F.transform("_quotes", lambda _, i: F.coalesce(F.try_element_at(action, i), F.lit(0))))).alias("quotes"),
+        F.when(ok, wide(F.transform("_quotes", lambda x, i: F.when(F.size(x) == 0, 0).otherwise(F.coalesce(F.try_element_at(action, i), F.lit(0)))))).alias("quotes"),
         F.when(ok, F.flatten(F.transform(F.slice("_pieces", 1, F.size("_pieces") - 1), lambda p: F.array_repeat(F.length(p) > 1, F.length(p))))).alias("_safe"),
     )
     latin = lambda c: c.rlike("^[A-Za-z0-9_]")
@@ -96,7 +102,7 @@ def token_features(df: DataFrame, key: str, units: str, tokens: str) -> DataFram
 
 def _strip(text: Column) -> Column:
     _, pieces = _pieces(text)
-    return F.flatten(F.transform(F.slice(pieces, 1, F.size(pieces) - 1), chars))
+    return F.flatten(F.transform(F.slice(pieces, 1, F.size(pieces) - 1), _units))
 
 
 @lru_cache(1 << 16)

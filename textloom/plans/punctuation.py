@@ -8,6 +8,7 @@ from textloom.functions import spec
 from textloom.operators import punctuation as P
 from textloom.plans.common import documents, q, reviewed, table
 from textloom.plans.registry import query
+from textloom.session import spread
 
 _MARKS = "CASE ch " + " ".join(f"WHEN {q(c)} THEN {v}" for c, v in spec.PUNCTUATION.items()) + " ELSE 0 END"
 _CHARS = "(SELECT row_id, unnest(regexp_extract_all(text, '(?s).')) AS ch FROM reviewed)"
@@ -44,7 +45,7 @@ def pu_class_metrics(s, d):
 
 
 def _examples(s, d):
-    return P.labelled(reviewed(s, d), "row_id", "text")
+    return P.labelled(spread(reviewed(s, d)), "row_id", "text")
 
 
 query("pu_extract")(_examples)
@@ -81,7 +82,7 @@ def pu_render(s, d):
 
 def _split(s, d, *splits):
     r = table(s, d, "reviewed").where(F.col("split").isin(*splits)).select("row_id", "text")
-    return P.boundaries(P.labelled(r, "row_id", "text"), "row_id")
+    return P.boundaries(P.labelled(spread(r), "row_id", "text"), "row_id")
 
 
 query("pu_model")(lambda s, d: P.boundary_counts(_split(s, d, "train"), ["left", "right"]))

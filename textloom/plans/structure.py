@@ -12,7 +12,7 @@ from textloom.operators import profile as PR
 from textloom.operators.similarity import bm25_pairs, global_running
 from textloom.plans.common import documents, q, reviewed, table
 from textloom.plans.registry import query
-from textloom.session import cut_lineage
+from textloom.session import cut_lineage, spread
 
 
 def _rows(df, key, column):
@@ -77,7 +77,7 @@ def blk_lineclass(s, d):
 
 
 def _blocks(s, d):
-    return D.document_blocks(documents(s, d), "doc_id", "text").withColumnRenamed("doc", "doc_id")
+    return D.document_blocks(spread(documents(s, d)), "doc_id", "text").withColumnRenamed("doc", "doc_id")
 
 
 query("blk_parse")(lambda s, d: _blocks(s, d).select("doc_id", "block", "kind", "depth", F.length("body").cast("long").alias("chars")))
@@ -128,7 +128,7 @@ def pagerank_sum(s, d):
 
 
 def _summary(s, d):
-    return D.summary_documents(documents(s, d), "doc_id", "text")
+    return D.summary_documents(spread(documents(s, d)), "doc_id", "text")
 
 
 query("summary")(lambda s, d: _summary(s, d)[1].withColumnRenamed("doc", "doc_id"))
