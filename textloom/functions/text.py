@@ -81,6 +81,11 @@ def bmes_shape(c: Column) -> Column:
     return F.when(n == 0, "").when(n == 1, "S").otherwise(F.concat(F.lit("B"), F.repeat(F.lit("M"), n - 2), F.lit("E")))
 
 
+def bmes_valid(sentence: Column, labels: Column) -> Column:
+    """Whether labels are whole words (S, or B, any M, E) and as many as the characters of the sentence."""
+    return F.coalesce(labels.rlike(r"^(?:S|BM*E)*\z") & (F.length(sentence) == F.length(labels)), F.lit(False))
+
+
 def count_occurrences(text: Column, target: Column) -> Column:
     """Non-overlapping occurrences of a plain string."""
     return ((F.length(text) - F.length(F.replace(text, target))) / F.length(target)).cast("long")

@@ -257,6 +257,8 @@ class TagArrays:
             self.emit.setdefault(key[-1], []).append((state[key[:-1]], value))
         self.every = np.arange(len(self.tags))
         self.rows: dict[str, np.ndarray] = {}
+        self.flat, self.size = memoryview(self.trans.ravel()), count + 1
+        self.known = {w: ([self.at[t] for t in sorted(o)], [o[t] for t in sorted(o)]) for w, o in model.tags.items()}
 
     def emissions(self, ch: str) -> np.ndarray:
         if ch not in self.rows:
@@ -278,59 +280,84 @@ def tag_words(model: BmesModel, words: list[str]) -> list[str]:
     if not words:
         return []
     a = model.__dict__.get("_arrays") or model.__dict__.setdefault("_arrays", TagArrays(model))
-    before, last, score = np.array([a.none]), np.array([a.none]), np.zeros(1)
+    before, last, score = [a.none], [a.none], [0.0]
     steps = []
     for word in words:
-        known = model.tags.get(word)
-        tags = np.array([a.at[t] for t in sorted(known)]) if known else a.every
-        first = 4 * tags + (3 if len(word) == 1 else 0)
-        each = score[:, None] + a.trans[before[:, None], last[:, None], first[None, :]]
-        if known:
-            each += np.array([known[t] for t in sorted(known)])
+        known = a.known.get(word)
+        if known and len(score) * len(known[0]) <= FEW:
+            parent, tags, before, last, score = _few(a, word, known, before, last, score)
         else:
-            each += a.emissions(word[0])[first]
-            p, c = last[:, None], first[None, :]
-            for k, ch in enumerate(word[1:], 1):
-                state = (4 * tags + (2 if k == len(word) - 1 else 1))[None, :]
-                each = each + a.trans[p, c, state] + a.emissions(ch)[state]
-                p, c = c, state
-        if len(word) == 1:
-            order = np.argsort(last, kind="stable")
-            starts = np.flatnonzero(np.diff(last[order], prepend=-1))
-            ordered = each[order]
-            best = np.maximum.reduceat(ordered, starts, axis=0)
-            group = np.repeat(np.arange(len(starts)), np.diff(np.append(starts, len(order))))
-            hit = ordered == best[group]
-            parent = np.stack([order[s + hit[s:e].argmax(axis=0)] for s, e in zip(starts, np.append(starts[1:], len(order)))])
-            steps.append((parent.ravel(), np.tile(tags, len(starts))))
-            before, last, score = np.repeat(last[order][starts], len(tags)), np.tile(first, len(starts)), best.ravel()
-        else:
-            parent = each.argmax(axis=0)
-            steps.append((parent, tags))
-            before, last, score = 4 * tags + (0 if len(word) == 2 else 1), 4 * tags + 2, each[parent, np.arange(len(tags))]
-    i, out = int(score.argmax()), []
+            parent, tags, before, last, score = _many(a, word, known, np.array(before), np.array(last), np.array(score))
+        steps.append((parent, tags))
+    i, out = score.index(max(score)), []
     for parent, tags in reversed(steps):
         out.append(a.tags[tags[i]])
-        i = int(parent[i])
+        i = parent[i]
     return out[::-1]
 
 
+#: Pairs of contexts and tags up to which plain loops are faster than arrays.
+FEW = 24
+
+
+def _few(a: TagArrays, word: str, known: tuple[list[int], list[float]], before: list[int], last: list[int], score: list[float]) -> tuple[list, ...]:
+    """One step over a known word: (parents, tags, before, last, score), as ``_many`` gives them."""
+    single, flat, size = len(word) == 1, a.flat, a.size
+    best: dict[tuple[int, int], tuple[float, int]] = {}
+    for at, (p, c, total) in enumerate(zip(before, last, score)):
+        row = (p * size + c) * size
+        for k, (tag, lexical) in enumerate(zip(*known)):
+            value, key = total + flat[row + 4 * tag + (3 if single else 0)] + lexical, (c if single else 0, k)
+            if key not in best or value > best[key][0]:
+                best[key] = (value, at)
+    keys = sorted(best)
+    tags = [known[0][k] for _, k in keys]
+    state = (lambda c, t: (c, 4 * t + 3)) if single else (lambda c, t: (4 * t + (0 if len(word) == 2 else 1), 4 * t + 2))
+    pairs = [state(c, t) for (c, _), t in zip(keys, tags)]
+    return [best[k][1] for k in keys], tags, [p for p, _ in pairs], [c for _, c in pairs], [best[k][0] for k in keys]
+
+
+def _many(a: TagArrays, word: str, known: tuple[list[int], list[float]] | None, before: np.ndarray, last: np.ndarray, score: np.ndarray) -> tuple[list, ...]:
+    tags = np.array(known[0]) if known else a.every
+    first = 4 * tags + (3 if len(word) == 1 else 0)
+    each = score[:, None] + a.trans[before[:, None], last[:, None], first[None, :]]
+    if known:
+        each += np.array(known[1])
+    else:
+        each += a.emissions(word[0])[first]
+        p, c = last[:, None], first[None, :]
+        for k, ch in enumerate(word[1:], 1):
+            state = (4 * tags + (2 if k == len(word) - 1 else 1))[None, :]
+            each = each + a.trans[p, c, state] + a.emissions(ch)[state]
+            p, c = c, state
+    if len(word) > 1:
+        parent = each.argmax(axis=0)
+        return parent.tolist(), tags.tolist(), (4 * tags + (0 if len(word) == 2 else 1)).tolist(), (4 * tags + 2).tolist(), each[parent, np.arange(len(tags))].tolist()
+    order = np.argsort(last, kind="stable")
+    starts = np.flatnonzero(np.diff(last[order], prepend=-1))
+    ordered = each[order]
+    best = np.maximum.reduceat(ordered, starts, axis=0)
+    parent = np.stack([order[s + ordered[s:e].argmax(axis=0)] for s, e in zip(starts, np.append(starts[1:], len(order)))])
+    return parent.ravel().tolist(), np.tile(tags, len(starts)).tolist(), np.repeat(last[order][starts], len(tags)).tolist(), np.tile(first, len(starts)).tolist(), best.ravel().tolist()
+
+
 def anchors(model: BmesModel, text: str) -> list[tuple[int, int]]:
     """Spans of dictionary words that mix letters or digits with Han, and of the protected words: leftmost, then longest."""
     if not model.mixed:
         return []
-    heads: dict[str, list[int]] = {}
-    for w in model.mixed:
-        heads.setdefault(w[0], []).append(len(w))
-    if not any(h in text for h in heads):
-        return []
-    out, i = [], 0
-    lengths = {h: sorted(set(x), reverse=True) for h, x in heads.items()}
-    while i < len(text):
-        size = next((k for k in lengths.get(text[i], ()) if text[i : i + k] in model.mixed and i + k <= len(text)), 0)
-        if size:
-            out.append((i, i + size))
-        i += size or 1
+    if "_heads" not in model.__dict__:
+        sizes: dict[str, set[int]] = {}
+        for w in model.mixed:
+            sizes.setdefault(w[0], set()).add(len(w))
+        model.__dict__["_heads"] = re.compile("[" + "".join(map(re.escape, sizes)) + "]"), {h: sorted(x, reverse=True) for h, x in sizes.items()}
+    heads, lengths = model.__dict__["_heads"]
+    out, cursor = [], 0
+    for m in heads.finditer(text):
+        i = m.start()
+        if i >= cursor:
+            cursor = next((i + k for k in lengths[m[0]] if i + k <= len(text) and text[i : i + k] in model.mixed), cursor)
+            if cursor > i:
+                out.append((i, cursor))
     return out
 
 

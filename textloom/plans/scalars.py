@@ -106,6 +106,18 @@ def bmes_decode(s, d):
     return g.select("row_id", (F.col("n") + 1).cast("long").alias("position"), F.expr("substring(sentence, int(end - size + 1), size)").alias("word"))
 
 
+_SPOILT = f"(SELECT row_id, sentence, CASE row_id % 4 WHEN 0 THEN labels WHEN 1 THEN substr(labels, 2) WHEN 2 THEN replace(labels, 'BE', 'BM') ELSE labels || 'S' END AS labels FROM {_LABELLED})"
+
+
+@query("bmes_valid", f"SELECT row_id, regexp_matches(labels, '^(S|BM*E)*\\z') AND length(sentence) = length(labels) AS valid FROM {_SPOILT}")
+def bmes_valid(s, d):
+    """Label strings that can be decoded; three of four are spoilt here: cut, with words that do not end, too long."""
+    g = gold_tokens(s, d).groupBy("row_id").agg(F.array_sort(F.collect_list(F.struct("i", "word"))).alias("w"))
+    g = g.select("row_id", F.array_join(F.transform("w", lambda x: x["word"]), "").alias("sentence"), F.array_join(F.transform("w", lambda x: T.bmes_shape(x["word"])), "").alias("labels"))
+    spoilt = F.expr("CASE row_id % 4 WHEN 0 THEN labels WHEN 1 THEN substr(labels, 2) WHEN 2 THEN replace(labels, 'BE', 'BM') ELSE concat(labels, 'S') END")
+    return g.select("row_id", T.bmes_valid(F.col("sentence"), spoilt).alias("valid"))
+
+
 @query("token_spans", f"SELECT row_id, i AS position, word, (sum(length(word)) OVER w - length(word))::BIGINT AS char_start, (sum(length(word)) OVER w)::BIGINT AS char_end FROM {GOLD} WINDOW w AS (PARTITION BY row_id ORDER BY i)")
 def token_spans(s, d):
     end = F.sum(F.length("word")).over(Window.partitionBy("row_id").orderBy("i")).cast("long")

@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 from textloom.functions import spec
 from textloom.operators.corpus import quality_rejection
 from textloom.plans.common import GOLD, documents, gold_tokens, reviewed, table
-from textloom.plans.lexicons import _DICT, _LINES, _dictionary, _pipe_lines
+from textloom.plans import registry
+from textloom.plans.lexicons import _DICT, _LINES, _dictionary, _pipe_lines, ed_decode
 from textloom.plans.registry import query
 from textloom.sources import files as S
 from textloom.streaming import incremental as I
@@ -46,9 +47,15 @@ def src_pipeseg(s, d):
     return S.parse_pipes(_pipe_lines(s, d), "row_id", "line")
 
 
-@query("snk_dictjson")
+@query("snk_dictjson", "SELECT word, tag, frequency, nullif(entity, 'None') AS entity, nullif(emotion, 'None') AS emotion FROM (" + registry.ORACLES["ed_decode"] + ") WHERE tag IS NOT NULL")
 def snk_dictjson(s, d):
-    return S.dictionary_json(_dictionary(s, d).select("word", "tag", "freq", F.lit("None").alias("entity"), F.lit("None").alias("emotion")))
+    """The dictionary with its entities and emotions written as JSON, a word a line, and read back."""
+    entries = ed_decode(s, d).where("tag IS NOT NULL").select("word", "tag", F.col("frequency").alias("freq"), "entity", "emotion")
+    at = _written(s, "dictjson", lambda p: S.write_text(S.dictionary_json(entries), "line", p))
+    back = S.read_dictionary_lines(s, at)
+    third = F.get("value", 2)
+    emotion = F.coalesce(third.isin(*spec.LEGACY_EMOTIONS), F.lit(False))
+    return back.select("word", F.get("value", 0).alias("tag"), F.get("value", 1).cast("long").alias("frequency"), F.when(~emotion, third).alias("entity"), F.when(emotion, third).alias("emotion"))
 
 
 @query("snk_report", "SELECT source, lang, count(*)::BIGINT AS documents, sum(length(text))::BIGINT AS chars FROM documents GROUP BY ALL")

@@ -235,6 +235,12 @@ def rt_suffix_pairs(s, d):
     return t.where(F.col("nw").isin(*spec.NOUN_SUFFIXES) & F.col("nt").startswith("N") & F.col("word").rlike(_HAN)).groupBy(F.concat("word", "nw").alias("surface")).agg(F.count(F.lit(1)).alias("n"))
 
 
+@query("rt_suffix_policy", f"SELECT surface, n AS support FROM ({registry.ORACLES['rt_suffix_pairs']}) WHERE n >= 2")
+def rt_suffix_policy(s, d):
+    """Words with a noun suffix that are approved: pairs seen at least twice."""
+    return rt_suffix_pairs(s, d).where("n >= 2").select("surface", F.col("n").alias("support"))
+
+
 @query("rt_policy", f"SELECT word AS surface, label, n AS support, total::BIGINT AS total FROM (SELECT *, row_number() OVER (PARTITION BY word ORDER BY n DESC, label) AS r, sum(n) OVER (PARTITION BY word) AS total FROM {_WORD_ENTITY}) WHERE r = 1 AND n >= 2 AND n / total >= 0.8")
 def rt_policy(s, d):
     """Entities that are approved: enough support for the first label, and enough of its share."""
@@ -290,6 +296,13 @@ def ivl_entity_select(s, d):
 
 @query("rt_canonical")
 def rt_canonical(s, d):
-    """The canonical tokens of every annotation record; suffix words are those seen as such a pair."""
+    """The canonical tokens of every annotation record by the approved entities and suffix words."""
     tokens, selected = _rt_selected(s, d)
-    return RT.canonical_tokens(tokens, selected, rt_suffix_pairs(s, d).select("surface")).withColumnRenamed("s", "char_start").withColumnRenamed("t", "char_end")
+    return RT.canonical_tokens(tokens, selected, rt_suffix_policy(s, d).select("surface")).withColumnRenamed("s", "char_start").withColumnRenamed("t", "char_end")
+
+
+@query("tr_canonical_pos")
+def tr_canonical_pos(s, d):
+    """Words by tag over the canonical tokens that may be dictionary words; quantities count as their canonical form."""
+    t = rt_canonical(s, d).select(F.coalesce("canonical", "word").alias("word"), F.col("tag").alias("pos"), "eligible").where("pos IS NOT NULL")
+    return t.groupBy("word", "pos", "eligible").agg(F.count(F.lit(1)).alias("n"))
