@@ -112,18 +112,17 @@ def token_spans(df: DataFrame) -> DataFrame:
 
 
 def comparable(gold: DataFrame, predicted: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Both sides, of the records whose tokens join to the same text."""
-    joined = lambda x: x.groupBy("id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("i", "word"))), lambda w: w["word"]), "").alias("t"))
-    same = joined(gold).join(joined(predicted), ["id", "t"]).select("id")
-    return gold.join(same, "id", "left_semi"), predicted.join(same, "id", "left_semi")
+    """Both sides with their tool, of the records whose tokens join to the same text. ``gold``: (id, i, word, pos, a, b),
+    ``predicted`` with a ``tool`` as well."""
+    text = lambda x, *keys: x.groupBy(*keys).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("i", "word"))), lambda w: w["word"]), "").alias("t"))
+    same = text(predicted, "tool", "id").join(text(gold, "id"), ["id", "t"]).select("tool", "id")
+    return gold.join(same, "id"), predicted.join(same, ["tool", "id"], "left_semi")
 
 
 def segmentation_metrics(gold: DataFrame, predicted: DataFrame) -> DataFrame:
     """One row for each tool of word and boundary precision, recall and F1 and the share of exact records, over the records whose
     tokens join to the same text. ``gold``: (id, i, word, pos, a, b), ``predicted`` with a ``tool`` as well."""
-    text = lambda x, *keys: x.groupBy(*keys).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("i", "word"))), lambda w: w["word"]), "").alias("t"))
-    same = text(predicted, "tool", "id").join(text(gold, "id"), ["id", "t"]).select("tool", "id")
-    g, p = gold.join(same, "id").select("tool", "id", "a", "b"), predicted.join(same, ["tool", "id"], "left_semi").select("tool", "id", "a", "b")
+    g, p = (x.select("tool", "id", "a", "b") for x in comparable(gold, predicted))
     both = g.withColumn("g", F.lit(1)).join(p.withColumn("p", F.lit(1)), ["tool", "id", "a", "b"], "full_outer")
     ends = g.join(p, ["tool", "id", "b"]).groupBy("tool", "id").agg(F.count(F.lit(1)).alias("ends"))
     each = both.groupBy("tool", "id").agg(F.count("g").alias("gold"), F.count("p").alias("predicted"), F.count(F.when(F.col("g").isNotNull() & F.col("p").isNotNull(), 1)).alias("correct")).join(ends, ["tool", "id"], "left")
@@ -145,16 +144,9 @@ def tag_accuracy(gold: DataFrame, predicted: DataFrame) -> DataFrame:
 
 
 def segmentation_counts(gold: DataFrame, predicted: DataFrame) -> DataFrame:
-    """One row of counts for word and boundary precision and recall and exact matches."""
-    g, p = comparable(gold, predicted)
-    both = g.select("id", "a", "b", F.lit(1).alias("g")).join(p.select("id", "a", "b", F.lit(1).alias("p")), ["id", "a", "b"], "full_outer")
-    each = both.groupBy("id").agg(F.count("g").alias("gold_words"), F.count("p").alias("predicted_words"), F.count(F.when(F.col("g").isNotNull() & F.col("p").isNotNull(), 1)).alias("correct"))
-    ends = g.select("id", "b").join(p.select("id", "b"), ["id", "b"]).groupBy("id").agg(F.count(F.lit(1)).alias("ends"))
-    each = each.join(ends, "id", "left")
-    records = gold.agg(F.countDistinct("id").alias("gold_records"))
-    exact = F.count(F.when((F.col("gold_words") == F.col("predicted_words")) & (F.col("gold_words") == F.col("correct")), 1))
-    total = each.agg(
-        F.count(F.lit(1)).alias("covered"), *[F.sum(c).alias(c) for c in ("gold_words", "predicted_words", "correct")],
-        (F.sum("gold_words") - F.count(F.lit(1))).alias("gold_boundaries"), (F.sum("ends") - F.count(F.lit(1))).alias("correct_boundaries"), exact.alias("exact"),
-    )
-    return records.crossJoin(total)  # one row each
+    """One row for each tool of the counts behind ``segmentation_metrics``."""
+    g, p = (x.select("tool", "id", "a", "b") for x in comparable(gold, predicted))
+    both = g.withColumn("g", F.lit(1)).join(p.withColumn("p", F.lit(1)), ["tool", "id", "a", "b"], "full_outer")
+    each = both.groupBy("tool", "id").agg(F.count("g").alias("gold"), F.count("p").alias("predicted"), F.count(F.when(F.col("g").isNotNull() & F.col("p").isNotNull(), 1)).alias("correct"))
+    exact = F.count(F.when((F.col("gold") == F.col("predicted")) & (F.col("gold") == F.col("correct")), 1))
+    return each.groupBy("tool").agg(F.count(F.lit(1)).alias("records"), *[F.sum(c).alias(c) for c in ("gold", "predicted", "correct")], exact.alias("exact"))

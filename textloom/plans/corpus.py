@@ -101,38 +101,6 @@ def seg_text_max(s, d):
 # ---------------------------------------------------------------- evaluation
 _SPANS = """(SELECT id, {who} AS who, i, word, pos, (sum(length(word)) OVER (PARTITION BY id ORDER BY i) - length(word))::BIGINT AS a, (sum(length(word)) OVER (PARTITION BY id ORDER BY i))::BIGINT AS b FROM ({src}))"""
 _GOLD_ONE = "SELECT id, i, k.text AS word, k.pos AS pos FROM (SELECT id, unnest(tokens) AS k, generate_subscripts(tokens, 1) AS i FROM (SELECT id, arg_min(review.tokens, row_id) AS tokens FROM reviewed WHERE review.tokens IS NOT NULL AND split IN ('dev', 'test') GROUP BY id)) WHERE k.text <> ''"
-_PRED = "SELECT id, i, k.text AS word, k.pos AS pos FROM (SELECT id, unnest(tokens) AS k, generate_subscripts(tokens, 1) AS i FROM prediction WHERE tool = 'cutter-a' AND tokens IS NOT NULL) WHERE k.text <> ''"
-_EVAL = f"""WITH g0 AS (SELECT * FROM {_SPANS.format(who="'gold'", src=_GOLD_ONE)}), p0 AS (SELECT * FROM {_SPANS.format(who="'pred'", src=_PRED)}),
-gt AS (SELECT id, string_agg(word, '' ORDER BY i) AS t FROM g0 GROUP BY id), pt AS (SELECT id, string_agg(word, '' ORDER BY i) AS t FROM p0 GROUP BY id),
-same AS (SELECT id FROM gt JOIN pt USING (id) WHERE gt.t = pt.t), g AS (SELECT * FROM g0 SEMI JOIN same USING (id)), p AS (SELECT * FROM p0 SEMI JOIN same USING (id)),
-hit AS (SELECT g.id, g.a, g.b, g.pos AS gpos, p.pos AS ppos, g.word FROM g JOIN p ON g.id = p.id AND g.a = p.a AND g.b = p.b),
-cut AS (SELECT count(*) AS n FROM (SELECT id, b FROM g WHERE a > -1 INTERSECT SELECT id, b FROM p))"""
-
-
-@query(
-    "ev_seg",
-    _EVAL + """ SELECT (SELECT count(*) FROM gt)::BIGINT AS gold_records, (SELECT count(*) FROM same)::BIGINT AS covered, (SELECT count(*) FROM g)::BIGINT AS gold_words, (SELECT count(*) FROM p)::BIGINT AS predicted_words, (SELECT count(*) FROM hit)::BIGINT AS correct,
-(SELECT count(*) FROM g)::BIGINT - (SELECT count(*) FROM same)::BIGINT AS gold_boundaries, (SELECT n FROM cut)::BIGINT - (SELECT count(*) FROM same)::BIGINT AS correct_boundaries,
-(SELECT count(*) FROM (SELECT s.id FROM same s JOIN (SELECT id, count(*) AS n FROM g GROUP BY id) x USING (id) JOIN (SELECT id, count(*) AS n FROM p GROUP BY id) y USING (id) JOIN (SELECT id, count(*) AS n FROM hit GROUP BY id) h USING (id) WHERE x.n = y.n AND x.n = h.n))::BIGINT AS exact""",
-)
-def ev_seg(s, d):
-    return C.segmentation_counts(*_both(s, d))
-
-
-def _both(s, d):
-    r = table(s, d, "reviewed").where("review.tokens IS NOT NULL AND split IN ('dev', 'test')").groupBy("id").agg(F.min_by("review.tokens", "row_id").alias("tokens"))
-    p = table(s, d, "prediction").where("tool = 'cutter-a' AND tokens IS NOT NULL").select("id", "tokens")
-    return C.token_spans(r), C.token_spans(p)
-
-
-@query("ev_pos", _EVAL + " SELECT coalesce(gpos, '') AS gold, coalesce(ppos, '') AS predicted, count(*)::BIGINT AS n FROM hit GROUP BY ALL")
-def ev_pos(s, d):
-    """The confusion table of the tags on agreeing spans."""
-    g, p = C.comparable(*_both(s, d))
-    hit = g.join(p.select("id", "a", "b", F.col("pos").alias("ppos")), ["id", "a", "b"])
-    return hit.groupBy(F.coalesce("pos", F.lit("")).alias("gold"), F.coalesce("ppos", F.lit("")).alias("predicted")).agg(F.count(F.lit(1)).alias("n"))
-
-
 _PRED_ALL = "SELECT tool, id, i, k.text AS word, k.pos AS pos FROM (SELECT tool, id, unnest(tokens) AS k, generate_subscripts(tokens, 1) AS i FROM prediction WHERE tokens IS NOT NULL) WHERE k.text <> ''"
 _EVAL_ALL = f"""WITH g0 AS (SELECT * FROM {_SPANS.format(who="'gold'", src=_GOLD_ONE)}), p0 AS (SELECT tool, id, i, word, pos, (sum(length(word)) OVER w - length(word))::BIGINT AS a, (sum(length(word)) OVER w)::BIGINT AS b FROM ({_PRED_ALL}) WINDOW w AS (PARTITION BY tool, id ORDER BY i)),
 same AS (SELECT tool, id FROM (SELECT tool, id, string_agg(word, '' ORDER BY i) AS t FROM p0 GROUP BY ALL) JOIN (SELECT id, string_agg(word, '' ORDER BY i) AS t FROM g0 GROUP BY ALL) USING (id, t)),
@@ -161,26 +129,42 @@ def _all_tools(s, d):
     return C.token_spans(r), C.token_spans(p).select("id.tool", "id.id", "i", "word", "pos", "a", "b")
 
 
+@query("ev_seg", _EVAL_ALL + " SELECT tool, n::BIGINT AS records, gold::BIGINT AS gold, predicted::BIGINT AS predicted, correct::BIGINT AS correct, exact::BIGINT AS exact FROM t")
+def ev_seg(s, d):
+    return C.segmentation_counts(*_all_tools(s, d))
+
+
+@query("ev_pos", _EVAL_ALL + " SELECT tool, coalesce(g.pos, '') AS gold, coalesce(p.pos, '') AS predicted, count(*)::BIGINT AS n FROM g JOIN p USING (tool, id, a, b) GROUP BY ALL")
+def ev_pos(s, d):
+    """The confusion table of the tags of every tool on agreeing spans."""
+    g, p = C.comparable(*_all_tools(s, d))
+    hit = g.join(p.select("tool", "id", "a", "b", F.col("pos").alias("ppos")), ["tool", "id", "a", "b"])
+    return hit.groupBy("tool", F.coalesce("pos", F.lit("")).alias("gold"), F.coalesce("ppos", F.lit("")).alias("predicted")).agg(F.count(F.lit(1)).alias("n"))
+
+
 @query("ev_vocab", "SELECT DISTINCT k.text AS word FROM (SELECT unnest(review.tokens) AS k FROM reviewed WHERE split = 'train') WHERE k.text <> ''")
 def ev_vocab(s, d):
     return table(s, d, "reviewed").where("split = 'train'").select(F.explode("review.tokens.text").alias("word")).where("word <> ''").distinct()
 
 
-@query("ev_pipe", _EVAL + ", v AS (SELECT DISTINCT k.text AS word FROM (SELECT unnest(review.tokens) AS k FROM reviewed WHERE split = 'train') WHERE k.text <> '') SELECT (SELECT count(*) FROM g ANTI JOIN v USING (word))::BIGINT AS oov_words, (SELECT count(*) FROM hit ANTI JOIN v USING (word))::BIGINT AS oov_correct, (SELECT count(*) FROM gt WHERE id NOT IN (SELECT id FROM pt))::BIGINT AS missing")
+_OOV = f", v AS (SELECT DISTINCT k.text AS word FROM (SELECT unnest(review.tokens) AS k FROM reviewed WHERE split = 'train') WHERE k.text <> ''), o AS (SELECT * FROM g ANTI JOIN v USING (word) WHERE regexp_matches(word, '^[{spec.HAN_PIPE}]+\\z'))"
+
+
+@query("ev_pipe", _EVAL_ALL + _OOV + " SELECT tool, total::BIGINT AS oov_words, coalesce(hit, 0)::BIGINT AS oov_correct, round(coalesce(hit, 0) / total, 6) AS oov_recall, (SELECT count(DISTINCT id) FROM g0)::BIGINT - n::BIGINT AS missing FROM (SELECT tool, count(*) AS total FROM o GROUP BY tool) LEFT JOIN (SELECT o.tool, count(*) AS hit FROM o JOIN p USING (tool, id, a, b) GROUP BY ALL) USING (tool) JOIN n USING (tool)")
 def ev_pipe(s, d):
-    g0, p0 = _both(s, d)
-    g, p = C.comparable(g0, p0)
-    vocabulary = ev_vocab(s, d)
-    oov = g.join(vocabulary, "word", "left_anti").select(F.lit(1).alias("oov"), F.lit(0).alias("hit"), F.lit(0).alias("missing"))
-    hit = g.join(p.select("id", "a", "b"), ["id", "a", "b"]).join(vocabulary, "word", "left_anti").select(F.lit(0), F.lit(1), F.lit(0))
-    missing = g0.select("id").distinct().join(p0.select("id").distinct(), "id", "left_anti").select(F.lit(0), F.lit(0), F.lit(1))
-    return oov.union(hit).union(missing).agg(F.coalesce(F.sum("oov"), F.lit(0)).cast("long").alias("oov_words"), F.coalesce(F.sum("hit"), F.lit(0)).cast("long").alias("oov_correct"), F.coalesce(F.sum("missing"), F.lit(0)).cast("long").alias("missing"))
+    """Han words that the train records do not have: how many each tool finds, and the records it does not cover."""
+    gold, predicted = _all_tools(s, d)
+    g, p = C.comparable(gold, predicted)
+    oov = g.where(F.col("word").rlike(f"^[{spec.HAN_PIPE}]+\\z")).join(ev_vocab(s, d), "word", "left_anti").select("tool", "id", "a", "b")
+    t = oov.join(p.select("tool", "id", "a", "b", F.lit(1).alias("hit")), ["tool", "id", "a", "b"], "left").groupBy("tool").agg(F.count(F.lit(1)).alias("oov_words"), F.count("hit").alias("oov_correct"))
+    covered = g.groupBy("tool").agg(F.countDistinct("id").alias("covered")).crossJoin(gold.agg(F.countDistinct("id").alias("records")))  # one row
+    return t.join(covered, "tool").select("tool", "oov_words", "oov_correct", F.round(F.col("oov_correct") / F.col("oov_words"), 6).alias("oov_recall"), (F.col("records") - F.col("covered")).alias("missing"))
 
 
-@query("ev_regress", _EVAL + " SELECT 'gold_only' AS side, id, a, b, word FROM g ANTI JOIN p USING (id, a, b) UNION ALL SELECT 'predicted_only', id, a, b, word FROM p ANTI JOIN g USING (id, a, b)")
+@query("ev_regress", _EVAL_ALL + " SELECT 'gold_only' AS side, tool, id, a, b, word FROM g ANTI JOIN p USING (tool, id, a, b) UNION ALL SELECT 'predicted_only', tool, id, a, b, word FROM p ANTI JOIN g USING (tool, id, a, b)")
 def ev_regress(s, d):
-    g, p = C.comparable(*_both(s, d))
-    only = lambda x, y, side: x.join(y.select("id", "a", "b"), ["id", "a", "b"], "left_anti").select(F.lit(side).alias("side"), "id", "a", "b", "word")
+    g, p = C.comparable(*_all_tools(s, d))
+    only = lambda x, y, side: x.join(y.select("tool", "id", "a", "b"), ["tool", "id", "a", "b"], "left_anti").select(F.lit(side).alias("side"), "tool", "id", "a", "b", "word")
     return only(g, p, "gold_only").union(only(p, g, "predicted_only"))
 
 
