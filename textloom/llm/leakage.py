@@ -367,11 +367,13 @@ def _item_seeds(min_share: float, max_changed: float):
 
 
 def _document_seeds(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    every = list(range(len(MASKS) + 1))
     for pdf in batches:
-        for k, t in zip(pdf["key"], pdf["text"]):
-            points, first = bare_tokens(t)
-            for _, h, _, _ in Seeds.of(points, first, None, list(range(len(MASKS) + 1))):
-                yield pd.DataFrame({"key": k, "h": h.view(np.int64)})
+        size = pdf["text"].str.len().cumsum() // BLOCK_CHARS
+        for _, block in pdf.groupby(size, sort=False):
+            found = [np.concatenate([h for _, h, _, _ in Seeds.of(*bare_tokens(t), None, every)]) for t in block["text"]]
+            keys = block["key"].repeat([len(h) for h in found]).reset_index(drop=True)
+            yield pd.DataFrame({"key": keys, "h": np.concatenate(found).view(np.int64)})
 
 
 def _verify(min_share: float, max_changed: float):
