@@ -150,3 +150,9 @@ def segmentation_counts(gold: DataFrame, predicted: DataFrame) -> DataFrame:
     each = both.groupBy("tool", "id").agg(F.count("g").alias("gold"), F.count("p").alias("predicted"), F.count(F.when(F.col("g").isNotNull() & F.col("p").isNotNull(), 1)).alias("correct"))
     exact = F.count(F.when((F.col("gold") == F.col("predicted")) & (F.col("gold") == F.col("correct")), 1))
     return each.groupBy("tool").agg(F.count(F.lit(1)).alias("records"), *[F.sum(c).alias(c) for c in ("gold", "predicted", "correct")], exact.alias("exact"))
+
+
+def median_speed(runs: DataFrame, sentences: int) -> DataFrame:
+    """(tool, runs, median_seconds, sentences_per_second) of runs (tool, seconds) over as many sentences each."""
+    t = runs.groupBy("tool").agg(F.count(F.lit(1)).alias("runs"), F.percentile("seconds", 0.5).alias("m"))
+    return t.select("tool", "runs", F.round("m", 6).alias("median_seconds"), F.round(sentences / F.col("m"), 4).alias("sentences_per_second"))

@@ -48,14 +48,15 @@ def install_lexicons(entries: DataFrame) -> DataFrame:
     return e.where("r = 1").select("word", "lexicon", F.col("candidates").cast("long").alias("candidates"), (6.0 + F.col("priority") * 0.5).cast("double").alias("bias"))
 
 
-def polarity(entries: DataFrame, taxonomy: DataFrame) -> DataFrame:
-    """(word, polarity) of entries (word, emotions, context_dependent): positive and negative labels give mixed, one
+def polarity(entries: DataFrame, taxonomy: DataFrame, override: str | None = None) -> DataFrame:
+    """(word, polarity) of entries (word, emotions, context_dependent): the greatest value of the column ``override`` if there is one, else positive and negative labels give mixed, one
     kind gives itself, a contextual label or a context-dependent entry contextual, nothing neutral."""
-    e = entries.select("word", F.coalesce("context_dependent", F.lit(False)).alias("ctx"), F.explode_outer("emotions").alias("id"))
+    given = F.col(override) if override else F.lit(None).cast("string")
+    e = entries.select("word", given.alias("given"), F.coalesce("context_dependent", F.lit(False)).alias("ctx"), F.explode_outer("emotions").alias("id"))
     j = e.join(taxonomy.select("id", F.col("default_polarity").alias("p")), "id", "left")
     has = lambda p: F.coalesce(F.bool_or(F.col("p") == p), F.lit(False))
-    a = j.groupBy("word").agg(has("positive").alias("pos"), has("negative").alias("neg"), (has("contextual") | F.bool_or("ctx")).alias("ctx"))
-    return a.select("word", F.when(F.col("pos") & F.col("neg"), "mixed").when(F.col("ctx"), "contextual").when(F.col("pos"), "positive").when(F.col("neg"), "negative").otherwise("neutral").alias("polarity"))
+    a = j.groupBy("word").agg(F.max("given").alias("given"), has("positive").alias("pos"), has("negative").alias("neg"), (has("contextual") | F.bool_or("ctx")).alias("ctx"))
+    return a.select("word", F.when(F.col("given").isNotNull(), F.col("given")).when(F.col("pos") & F.col("neg"), "mixed").when(F.col("ctx"), "contextual").when(F.col("pos"), "positive").when(F.col("neg"), "negative").otherwise("neutral").alias("polarity"))
 
 
 def affect_errors(entries: DataFrame, taxonomy: DataFrame) -> DataFrame:

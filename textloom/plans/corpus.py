@@ -174,6 +174,12 @@ def ev_timing(s, d):
     return p
 
 
+@query("ev_speed", "SELECT event_type AS tool, count(*)::BIGINT AS runs, round(median(value), 6) AS median_seconds, round(1400 / median(value), 4) AS sentences_per_second FROM events WHERE value > 0 GROUP BY event_type")
+def ev_speed(s, d):
+    """Speed by the median of repeated runs of 1,400 sentences; the events' values stand for seconds, their types for tools."""
+    return C.median_speed(table(s, d, "events").where("value > 0").select(F.col("event_type").alias("tool"), F.col("value").alias("seconds")), 1400)
+
+
 @query("ev_corpus_stats", f"SELECT round(avg(length(word)), 6) AS mean_length, round(avg((length(word) = 1)::INT), 6) AS single_share, count(*)::BIGINT AS words FROM {GOLD} WHERE regexp_matches(word, '^[{spec.HAN_TRAIN}]+\\z')")
 def ev_corpus_stats(s, d):
     w = gold_tokens(s, d).where(F.col("word").rlike(f"^[{spec.HAN_TRAIN}]+\\z"))

@@ -10,6 +10,7 @@ from textloom.functions.text import count_occurrences, norm_text
 from textloom.operators import lexicon as L
 from textloom.operators.similarity import global_running
 from textloom.plans.common import GOLD, gold_tokens, q, reviewed, table
+from textloom.plans import registry
 from textloom.plans.registry import query
 
 _NORM = f"translate({{}}, '{spec.NORM_FROM}', '{spec.NORM_TO}')"
@@ -93,6 +94,13 @@ def affect_polarity(s, d):
     return L.polarity(table(s, d, "emotion_lexicon"), table(s, d, "emotion_taxonomy"))
 
 
+@query("affect_override", "SELECT p.word, coalesce(o.given, p.polarity) AS polarity FROM (" + registry.ORACLES["affect_polarity"] + ") p JOIN (SELECT word, max(CASE WHEN entry_id % 5 = 0 THEN 'neutral' WHEN entry_id % 7 = 0 THEN 'mixed' END) AS given FROM emotion_lexicon GROUP BY word) o ON o.word IS NOT DISTINCT FROM p.word")
+def affect_override(s, d):
+    """Polarities with some set by hand (here by entry id): those go before what the labels say."""
+    e = table(s, d, "emotion_lexicon").withColumn("given", F.expr("CASE WHEN entry_id % 5 = 0 THEN 'neutral' WHEN entry_id % 7 = 0 THEN 'mixed' END"))
+    return L.polarity(e, table(s, d, "emotion_taxonomy"), "given")
+
+
 @query("affect_merge", f"SELECT word, arg_max(emotions, rank * 100000 + entry_id) AS emotions FROM (SELECT {_NORM.format('word')} AS word, emotions, entry_id, CASE source WHEN 'crowd-v2' THEN 3 WHEN 'hand-v1' THEN 2 ELSE 1 END AS rank FROM emotion_lexicon WHERE emotions IS NOT NULL) GROUP BY word")
 def affect_merge(s, d):
     """Entries overlaid by priority of their source, later ones winning ties."""

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from textloom.functions import spec
 from textloom.functions import text as T
 from textloom.plans.common import GOLD, SILVER, documents, gold_tokens, q, reviewed, silver_tokens, table
+from textloom.plans import registry
 from textloom.plans.registry import query
 
 NORM_SQL = f"translate(text, {q(spec.NORM_FROM)}, {q(spec.NORM_TO)})"
@@ -185,6 +186,31 @@ def map_tag_eval(s, d):
     return c.groupBy("raw").agg(F.min_by(F.struct("pos", "n"), F.struct((-F.col("n")).alias("m"), "pos")).alias("b")).select("raw", F.col("b.pos").alias("target"), "b.n")
 
 
+_PUNCT_ONLY = r"^[\p{P}\p{S}]+\z"
+
+
+@query("map_tag_apply", f"SELECT tool, target, count(*)::BIGINT AS n FROM (SELECT tool, CASE WHEN regexp_matches(word, '{_PUNCT_ONLY}') THEN 'w' ELSE coalesce(m.target, raw) END AS target FROM (SELECT tool, k.text AS word, k.pos AS raw FROM (SELECT tool, unnest(tokens) AS k FROM prediction)) LEFT JOIN ({registry.ORACLES['map_tag_eval']}) m USING (raw)) GROUP BY ALL")
+def map_tag_apply(s, d):
+    """Predicted tags in the tags of the reviewed records: punctuation by its characters, others by the majority, the rest as they are."""
+    p = table(s, d, "prediction").select("tool", F.explode("tokens").alias("k")).select("tool", F.col("k.text").alias("word"), F.col("k.pos").alias("raw"))
+    m = p.join(map_tag_eval(s, d).select("raw", "target"), "raw", "left")
+    target = F.when(F.col("word").rlike(_PUNCT_ONLY), "w").otherwise(F.coalesce("target", "raw"))
+    return m.groupBy("tool", target.alias("target")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("tr_qty", f"SELECT label, {_qty_sql('text', 'label')} AS canonical, count(*)::BIGINT AS n FROM (SELECT e.text AS text, e.label AS label FROM (SELECT unnest(entities) AS e FROM annotation) WHERE e.label IN ({_QTY}) AND regexp_matches(e.text, {q(spec.QTY_SURFACE)})) GROUP BY ALL")
+def tr_qty(s, d):
+    """Patterns of quantities: canonical forms by label with their occurrences."""
+    e = table(s, d, "annotation").select(F.explode("entities").alias("e")).select("e.text", "e.label").where(F.col("label").isin(*spec.QUANTITY_ENTITIES) & F.col("text").rlike(spec.QTY_SURFACE))
+    return e.groupBy("label", T.canon_qty(F.col("text"), F.col("label")).alias("canonical")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("dedupe_key_ascii", "SELECT doc_id, CASE WHEN regexp_matches(text, '^[\\x00-\\x7F]*\\z') THEN lower(regexp_replace(text, '[\\x09-\\x0d\\x1c-\\x20]+', '', 'g')) END AS k FROM documents")
+def dedupe_key_ascii(s, d):
+    """The key of duplicates of every document of ASCII characters; others, whose key SQL cannot make, have none here."""
+    return documents(s, d).select("doc_id", F.when(F.col("text").rlike(r"^[\x00-\x7F]*\z"), T.dedupe_key(F.col("text"))).alias("k"))
+
+
 @query("contains_fold", "SELECT entry_id, contains(lower(word), 'o') AS latin, contains(word, '心') AS han FROM emotion_lexicon")
 def contains_fold(s, d):
     return table(s, d, "emotion_lexicon").select("entry_id", T.contains_fold(F.col("word"), "O").alias("latin"), T.contains_fold(F.col("word"), "心").alias("han"))
