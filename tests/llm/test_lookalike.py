@@ -1,3 +1,5 @@
+from pyspark.sql import functions as F
+
 import pytest
 
 from textloom.llm.lookalike import canonical, resolve_token, same_looking_classes, same_looking_pairs
@@ -57,3 +59,6 @@ def test_classes_say_what_pairs_say(spark):
     assert got == [(1, 1, 1), (2, 1, 2), (3, 1, 1), (4, 1, 4)]
     pairs = {(a, b) for a, c, f in got for b, e, g in got if a < b and c == e and f != g}
     assert pairs == {tuple(r) for r in same_looking_pairs(df, "k", "t").collect()}
+    twice = df.union(df).withColumn("class_key", F.lit("x")).withColumn("c", F.lit(1))
+    assert sorted(map(tuple, same_looking_classes(twice, "k", "t").collect())) == got
+    assert same_looking_classes(df.where("k > 4"), "k", "t").count() == 0 and same_looking_pairs(df.where("false"), "k", "t").count() == 0

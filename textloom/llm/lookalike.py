@@ -176,7 +176,8 @@ def _digests(df: DataFrame, key: str, text: str) -> DataFrame:
 
 def same_looking_classes(df: DataFrame, key: str, text: str) -> DataFrame:
     """Rows (key, class_key, form_key): the rows whose text looks like a different string, with the least key of all rows
-    that look like it and the least key of those that are the same string. Unlike pairs, in proportion to the rows."""
+    that look like it and the least key of those that are the same string. Unlike pairs, in proportion to the rows. Null texts
+    and keys are left out, repeated rows come out once, a table without such rows gives none."""
     kept = _digests(df, key, text)
     forms = kept.groupBy("c", "r").agg(F.min("k").alias("form_key"))
     classes = forms.groupBy("c").agg(F.min("form_key").alias("class_key"))
