@@ -188,11 +188,22 @@ def ivl_join_entity(s, d):
 
 @query("entity_validate", f"SELECT e.source, e.source_index, e.s::BIGINT AS char_start, e.label, CASE WHEN s < 0 OR t > length(text) OR t <= s THEN 'invalid-offset' WHEN substr(text, s + 1, t - s) <> surface THEN 'surface-mismatch' WHEN NOT starts OR NOT ends THEN 'partial-token-boundary' ELSE 'valid' END AS reason FROM (SELECT e.*, EXISTS (SELECT 1 FROM {_TOK} k WHERE k.source = e.source AND k.source_index = e.source_index AND k.text = e.text AND k.a = e.s) AS starts, EXISTS (SELECT 1 FROM {_TOK} k WHERE k.source = e.source AND k.source_index = e.source_index AND k.text = e.text AND k.b = e.t) AS ends FROM {_ENT} e) e")
 def entity_validate(s, d):
-    keys, tokens = ["source", "source_index", "text"], _ann_tokens(s, d)
-    e = _ann_entities(s, d)
-    e = e.join(tokens.select(*keys, F.col("a").alias("s"), F.lit(True).alias("starts")).distinct(), [*keys, "s"], "left").join(tokens.select(*keys, F.col("b").alias("t"), F.lit(True).alias("ends")).distinct(), [*keys, "t"], "left")
-    reason = F.when((F.col("s") < 0) | (F.col("t") > F.length("text")) | (F.col("t") <= F.col("s")), "invalid-offset").when(F.expr("substring(text, int(s + 1), int(t - s))") != F.col("surface"), "surface-mismatch").when(F.col("starts").isNull() | F.col("ends").isNull(), "partial-token-boundary").otherwise("valid")
-    return e.select("source", "source_index", F.col("s").cast("long").alias("char_start"), "label", reason.alias("reason"))
+    """Every entity of every record with its fault. Only lengths of tokens, offsets of entities and digests are shuffled, once: texts and
+    surfaces are compared where they lie, and the ends of tokens are running sums inside a record. Records of one key and text
+    count together, position by position."""
+    checked = F.expr("""transform(coalesce(entities, array()), e -> struct(bigint(e.start) AS s, bigint(e.`end`) AS t, e.label AS label, CASE WHEN e.start < 0 OR e.`end` > length(text) OR e.`end` <= e.start THEN 'invalid-offset'
+        WHEN substring(text, int(e.start + 1), int(e.`end` - e.start)) <> e.text THEN 'surface-mismatch' END AS fault))""")
+    r = table(s, d, "annotation").where("text IS NOT NULL AND tokens IS NOT NULL")
+    r = r.select("source", "source_index", F.unhex(F.sha2("text", 256)).alias("text"), F.struct(F.unhex(F.sha2(F.to_json(F.struct("tokens", "entities")), 256)).alias("digest"), F.transform("tokens", lambda k: F.length(k["text"])).alias("sizes"), checked.alias("e")).alias("r"))
+    g = r.groupBy("source", "source_index", "text").agg(F.collect_set("r").alias("r"))
+    total = F.expr("aggregate(r, cast(array() AS array<bigint>), (a, x) -> zip_with(a, x.sizes, (m, n) -> coalesce(m, 0L) + coalesce(n, 0)))")
+    running = F.expr("aggregate(n, named_struct('x', cast(array() AS array<bigint>), 'at', 0L), (a, m) -> named_struct('x', concat(a.x, array(a.at + m)), 'at', a.at + m), a -> a.x)")
+    g = g.select("source", "source_index", "r", total.alias("n")).select("source", "source_index", "r", running.alias("ends"))
+    starts = F.flatten(F.transform("r", lambda x: F.zip_with(F.col("ends"), x["sizes"], lambda b, n: b - n)))
+    e = g.select("source", "source_index", "ends", starts.alias("starts"), F.explode(F.flatten(F.transform("r", lambda x: x["e"]))).alias("e"))
+    at_tokens = F.col("source").isNotNull() & F.col("source_index").isNotNull() & F.array_contains("starts", F.col("e.s")) & F.array_contains("ends", F.col("e.t"))
+    reason = F.coalesce("e.fault", F.when(at_tokens, "valid").otherwise("partial-token-boundary"))
+    return e.select("source", "source_index", F.col("e.s").alias("char_start"), F.col("e.label").alias("label"), reason.alias("reason"))
 
 
 # ---------------------------------------------------------------- dictionary editor and frequency batches
