@@ -44,3 +44,24 @@ def test_entity_validate_odd_records(spark, tmp_path):
 
     want = duckdb.connect().execute(f"WITH annotation AS (SELECT * FROM '{tmp_path}/annotation.parquet/*.parquet') " + entry.oracle_sql()["entity_validate"]).fetchall()
     assert got == sorted(want, key=str) and len(got) == 11
+
+
+def test_suffix_pairs_keep_tokens_in_records(spark, tmp_path):
+    """Deliveries of one key count where they agree on a word; tokens are not exploded before they are grouped."""
+    rows = [
+        ("a", 1, "工程師教師", [("工程", "Na"), ("師", "Na"), ("教", "VC"), ("師", "Nb")], None),
+        ("a", 1, "工程師教師", [("工程", "Na"), ("師", "Na"), ("教", "VC"), ("師", "Nb")], None),
+        ("b", 1, "工程師", [("工程", "Na"), ("師", None), ("x", "N"), ("師", "Na")], None),
+        ("b", 1, "工程師", [("工程", "Na"), ("師", "Na"), ("程", "N"), ("師", "Na"), ("員", "Na")], None),  # they differ at x: what stands around it is a pair
+        (None, None, None, [(None, "Na"), ("", "Na"), ("公司", "Na"), ("", "Na"), ("員", "Na"), ("者", "VC"), ("家", None)], None),
+        ("c", 1, "", [], None),
+        ("d", 1, "師", None, None),
+    ]
+    d = _table(spark, tmp_path, rows)
+    df = entry.queries()["rt_suffix_pairs"](spark, d)
+    plan = _plan(df)
+    assert "Window" not in plan and plan.count("Exchange") == 2
+    import duckdb
+
+    want = duckdb.connect().execute(f"WITH annotation AS (SELECT * FROM '{d}/annotation.parquet/*.parquet') " + entry.oracle_sql()["rt_suffix_pairs"]).fetchall()
+    assert sorted(map(tuple, df.collect())) == sorted(want) and len(want) >= 3

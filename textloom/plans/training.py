@@ -229,10 +229,19 @@ _SPANT = f"(SELECT source, source_index, rid, i, word, tag, (sum(length(word)) O
 
 @query("rt_suffix_pairs", f"SELECT word || nw AS surface, count(*)::BIGINT AS n FROM (SELECT word, lead(word) OVER (PARTITION BY source, source_index ORDER BY i) AS nw, lead(tag) OVER (PARTITION BY source, source_index ORDER BY i) AS nt FROM (SELECT source, source_index, i, any_value(word) AS word, any_value(tag) AS tag FROM {SILVER} GROUP BY ALL HAVING count(DISTINCT word) = 1)) WHERE nw IN ('師','員','家','者','手') AND starts_with(nt, 'N') AND regexp_matches(word, '{_HAN}') GROUP BY ALL")
 def rt_suffix_pairs(s, d):
-    t = silver_tokens(s, d).groupBy("source", "source_index", "i").agg(F.first("word").alias("word"), F.first("tag").alias("tag"), F.countDistinct("word").alias("k")).where("k = 1")
-    w = Window.partitionBy("source", "source_index").orderBy("i")
-    t = t.withColumn("nw", F.lead("word").over(w)).withColumn("nt", F.lead("tag").over(w))
-    return t.where(F.col("nw").isin(*spec.NOUN_SUFFIXES) & F.col("nt").startswith("N") & F.col("word").rlike(_HAN)).groupBy(F.concat("word", "nw").alias("surface")).agg(F.count(F.lit(1)).alias("n"))
+    """Tokens with the noun suffix behind them. The records of one key come together as arrays, a position counts where they agree on
+    its word; tokens are never rows."""
+    r = table(s, d, "annotation").where("tokens IS NOT NULL").select("source", "source_index", F.struct(F.col("tokens.text").alias("w"), F.col("tokens.ckip_pos").alias("g")).alias("r"))
+    r = r.groupBy("source", "source_index").agg(F.array_sort(F.collect_set("r")).alias("r"))
+    one = "filter(transform(r[0].w, (w, i) -> struct(w AS w, r[0].g[i] AS g)), x -> x.w <> '')"
+    at = "filter(transform(r, o -> struct(get(o.w, i) AS w, get(o.g, i) AS g)), x -> x.w <> '')"
+    words = f"transform(sequence(0, array_max(transform(r, o -> size(o.w)))), i -> {at})"
+    several = f"transform(filter({words}, o -> size(array_distinct(o.w)) = 1), o -> struct(o[0].w AS w, get(filter(o.g, g -> g IS NOT NULL), 0) AS g))"
+    kept = r.select(F.expr(f"CASE WHEN size(r) = 1 THEN {one} ELSE {several} END").alias("k"))
+    suffixes = ", ".join(q(x) for x in spec.NOUN_SUFFIXES)
+    pairs = F.expr(f"filter(transform(k, (x, i) -> CASE WHEN i > 0 AND x.w IN ({suffixes}) AND startswith(x.g, 'N') THEN struct(k[i - 1].w AS w, x.w AS nw) END), x -> x IS NOT NULL)")
+    p = kept.select(F.explode(pairs).alias("p")).where(F.col("p.w").rlike(_HAN))
+    return p.groupBy(F.concat("p.w", "p.nw").alias("surface")).agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("rt_suffix_policy", f"SELECT surface, n AS support FROM ({registry.ORACLES['rt_suffix_pairs']}) WHERE n >= 2")
