@@ -65,3 +65,21 @@ def test_suffix_pairs_keep_tokens_in_records(spark, tmp_path):
 
     want = duckdb.connect().execute(f"WITH annotation AS (SELECT * FROM '{d}/annotation.parquet/*.parquet') " + entry.oracle_sql()["rt_suffix_pairs"]).fetchall()
     assert sorted(map(tuple, df.collect())) == sorted(want) and len(want) >= 3
+
+
+def _canonical_rows():
+    company = [("長榮", "Nb"), ("公司", "Nc"), ("工程", "Na"), ("師", "Na"), ("", "x"), ("三", "Neu"), ("隻", "Nf")]
+    text = "".join(w for w, _ in company)
+    org = [(0, 4, "ORG", "長榮公司")]
+    return [("a", 1, text, company, [*org, (7, 9, "CARDINAL", "三隻")]), ("a", 1, text, company, org), ("b", 2, text, company, [*org, (1, 3, "ORG", "榮公"), (4, 6, "ORG", "錯字")])]
+
+
+def test_canonical_keeps_records_whole(spark, tmp_path):
+    """Tokens are rows only at the end; a record delivered twice with other entities counts once, with the entities of both."""
+    d = _table(spark, tmp_path, _canonical_rows())
+    df = entry.queries()["rt_canonical"](spark, d)
+    got = {}
+    for r in df.orderBy("rid", "position").collect():
+        got.setdefault(r["rid"], []).append((r["word"], r["tag"], r["char_start"], r["char_end"], r["reason"]))
+    start = [("長榮公司", "Nc", 0, 4, "named-entity"), ("工程師", "Na", 4, 7, "noun-suffix")]
+    assert sorted(got.values()) == sorted([[*start, ("三隻", "Neu", 7, 9, "quantity")], [*start, ("三", "Neu", 7, 8, "original"), ("隻", "Nf", 8, 9, "original")]])

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from textloom.functions import spec
@@ -39,26 +39,38 @@ def canonical_tokens(tokens: DataFrame, selected: DataFrame, suffix_words: DataF
     two are one of ``suffix_words`` (surface) and neither is a span; in a chain of such pairs every other one merges, from the
     left.
     """
-    inside = tokens.join(selected.select("rid", "first", "last", "label", "surface", "reason", F.col("s").alias("span")), "rid", "left").where("i BETWEEN first AND last")
-    spans = inside.groupBy("rid", F.col("first").alias("i"), "label", "surface", "reason", "span").agg(F.max_by("tag", F.when(F.col("tag").isNotNull(), F.col("i"))).alias("last_tag"), F.max("t").alias("t"))
+    k = tokens.groupBy("rid").agg(F.array_sort(F.collect_list(F.struct("i", "word", "tag"))).alias("k"))
+    return canonical_records(k.select("rid", F.col("k.word").alias("w"), F.col("k.tag").alias("g")), selected, suffix_words)
+
+
+def token_ends(words):
+    """0 and the ends of the words in the text that they make."""
+    return F.aggregate(words, F.array(F.lit(0)), lambda a, w: F.array_append(a, F.length(w) + F.element_at(a, -1)))
+
+
+def canonical_records(records: DataFrame, selected: DataFrame, suffix_words: DataFrame) -> DataFrame:
+    """``canonical_tokens`` of records (rid, w, g: the words, none empty, and tags of their tokens, which make the text). A record moves once,
+    as arrays; spans and the few pairs with a suffix come to it. Records of one rid are taken once."""
+    suffixes = ", ".join(f"'{x}'" for x in spec.NOUN_SUFFIXES)
+    pairs = F.expr(f"filter(transform(w, (x, n) -> CASE WHEN n > 0 AND x IN ({suffixes}) AND startswith(g[n], 'N') THEN struct(n AS n, concat(w[n - 1], x) AS pair) END), x -> x IS NOT NULL)")
+    p = records.select("rid", F.explode(pairs).alias("p")).select("rid", "p.n", "p.pair").join(suffix_words.select(F.col("surface").alias("pair")).distinct(), "pair")
+    p = p.groupBy("rid").agg(F.array_sort(F.collect_set("n")).alias("may"))
+    taken = selected.groupBy("rid").agg(F.collect_list(F.struct("s", "t", "label", "surface", "reason")).alias("spans"))
+    t = records.groupBy("rid").agg(F.first(F.struct("w", "g")).alias("r")).join(taken, "rid", "left").join(p, "rid", "left")
+    t = t.select("rid", "r.w", "r.g", "spans", "may", token_ends(F.col("r.w")).alias("e"))
+    # In a chain of pairs of which neither is a span, the odd ones merge, the even ones have lost their partner.
+    free = "filter(may, n -> NOT exists(coalesce(spans, array()), c -> c.s < e[n + 1] AND e[n - 1] < c.t))"
+    t = t.select("rid", "w", "g", "spans", "e", F.expr(f"aggregate({free}, cast(array() AS array<int>), (a, n) -> CASE WHEN array_contains(a, n - 1) THEN a ELSE array_append(a, n) END)").alias("merged"))
+    t = t.select("rid", F.expr("""filter(transform(w, (x, n) -> struct(x AS word, g[n] AS tag, e[n] AS s, e[n + 1] AS t, get(filter(spans, c -> c.s <= e[n] AND e[n] < c.t), 0) AS c,
+        CASE WHEN array_contains(merged, n + 1) THEN n + 1 END AS m, coalesce(array_contains(merged, n), false) AS gone)), o -> NOT o.gone AND (o.c IS NULL OR o.c.s = o.s))""").alias("z"), "w", "g", "e")
+    z = F.expr("""transform(z, o -> struct(o.word AS word, o.tag AS tag, o.s AS s, o.t AS t, o.c AS c, CASE WHEN o.m IS NOT NULL THEN struct(w[o.m] AS word, g[o.m] AS tag, e[o.m + 1] AS t) END AS next,
+        CASE WHEN o.c IS NOT NULL THEN get(reverse(filter(g, (y, n) -> y IS NOT NULL AND o.c.s <= e[n] AND e[n] < o.c.t)), 0) END AS last_tag))""")
+    t = t.select("rid", F.posexplode(z).alias("position", "z")).select("rid", F.col("position").cast("long").alias("position"), "z.*")
+    span, joins, quantity = F.col("c").isNotNull(), F.col("next").isNotNull(), F.coalesce(F.col("c.reason") == "quantity", F.lit(False))
     by_label = F.create_map(*[F.lit(x) for kv in spec.QUANTITY_TAG.items() for x in kv])
-    quantity = F.col("reason") == "quantity"
-    spans = spans.select(
-        "rid", "i", F.col("surface").alias("word"), F.when(quantity, by_label[F.col("label")]).when(F.col("label") == "PERSON", "Nb").otherwise(F.coalesce("last_tag", F.lit("Nb"))).alias("tag"), F.col("span").alias("s"), "t", "reason",
-        F.when(quantity, canon_qty(F.col("surface"), F.col("label"))).alias("canonical"), (~quantity).alias("eligible"),
-    )
-    rest = tokens.join(inside.select("rid", "i"), ["rid", "i"], "left_anti").select("rid", "i", "word", "tag", "s", "t", F.lit("original").alias("reason"), F.lit(None).cast("string").alias("canonical"), F.lit(True).alias("eligible"))
-    w = Window.partitionBy("rid").orderBy("i")
-    t = spans.unionByName(rest).withColumn("before", F.lag(F.struct("word", "reason", "t")).over(w))
-    t = t.withColumn("pair", F.when((F.col("reason") == "original") & (F.col("before.reason") == "original") & (F.col("before.t") == F.col("s")) & F.col("word").isin(*spec.NOUN_SUFFIXES) & F.col("tag").startswith("N"), F.concat("before.word", "word")))
-    t = t.join(suffix_words.select(F.col("surface").alias("pair"), F.lit(True).alias("known")).distinct(), "pair", "left").withColumn("may", F.coalesce("known", F.lit(False)))
-    # Chains of tokens that may merge with the one before: the odd ones do, the even ones have lost their partner.
-    t = t.withColumn("chain", F.sum((~F.col("may")).cast("int")).over(w))
-    t = t.withColumn("nth", F.sum(F.col("may").cast("int")).over(Window.partitionBy("rid", "chain").orderBy("i"))).withColumn("merges", F.col("may") & (F.col("nth") % 2 == 1))
-    t = t.withColumn("next", F.lead(F.struct("merges", "word", "tag", "t")).over(w)).where("NOT merges")
-    joins = F.coalesce(F.col("next.merges"), F.lit(False))
-    t = t.select(
-        "rid", "i", F.when(joins, F.concat("word", "next.word")).otherwise(F.col("word")).alias("word"), F.when(joins, F.col("next.tag")).otherwise(F.col("tag")).alias("tag"), "s", F.when(joins, F.col("next.t")).otherwise(F.col("t")).alias("t"),
-        F.when(joins, "noun-suffix").otherwise(F.col("reason")).alias("reason"), "canonical", "eligible",
+    tag_ = F.when(quantity, by_label[F.col("c.label")]).when(span, F.when(F.col("c.label") == "PERSON", "Nb").otherwise(F.coalesce("last_tag", F.lit("Nb")))).when(joins, F.col("next.tag")).otherwise(F.col("tag"))
+    return t.select(
+        "rid", F.when(span, F.col("c.surface")).when(joins, F.concat("word", "next.word")).otherwise(F.col("word")).alias("word"), tag_.alias("tag"), F.when(span, F.col("c.s")).otherwise(F.col("s")).cast("long").alias("s"),
+        F.when(span, F.col("c.t")).when(joins, F.col("next.t")).otherwise(F.col("t")).cast("long").alias("t"), F.when(span, F.col("c.reason")).when(joins, "noun-suffix").otherwise("original").alias("reason"),
+        F.when(quantity, canon_qty(F.col("c.surface"), F.col("c.label"))).alias("canonical"), (~quantity).alias("eligible"), "position",
     )
-    return t.withColumn("position", (F.row_number().over(w) - 1).cast("long")).drop("i")

@@ -275,26 +275,22 @@ def rt_load_evidence(s, d):
     return _word_pos(s, d).where(F.substring("word", -1, 1).isin(*spec.NOUN_SUFFIXES)).groupBy("word").agg(F.sum("n").alias("n"))
 
 
-def _rt_tokens(s, d):
-    """Annotation records once each, as aligned tokens: rid, i, word, tag, s, t."""
-    a = table(s, d, "annotation").where("text IS NOT NULL AND tokens IS NOT NULL").select("source", "source_index", "text", "tokens", "entities").distinct()
-    a = a.withColumn("rid", F.sha2(F.to_json(F.struct("source", "source_index", "text", "tokens")), 256))
-    t = a.select("rid", F.posexplode("tokens").alias("i", "k")).select("rid", F.col("i").cast("long").alias("i"), F.col("k.text").alias("word"), F.col("k.ckip_pos").alias("tag")).where("word <> ''")
-    end = F.sum(F.length("word")).over(Window.partitionBy("rid").orderBy("i")).cast("long")
-    return a, t.withColumn("t", end).withColumn("s", F.col("t") - F.length("word"))
-
-
-def _rt_spans(s, d):
-    """Entities whose text is that of the record and whose ends are ends of tokens, with their first and last token."""
-    a, tokens = _rt_tokens(s, d)
-    e = a.select("rid", "text", F.explode("entities").alias("e")).select("rid", "text", F.col("e.start").cast("long").alias("s"), F.col("e.end").cast("long").alias("t"), F.col("e.label").alias("label"), F.col("e.text").alias("surface"))
-    e = e.where(F.expr("substring(text, int(s + 1), int(t - s))") == F.col("surface")).drop("text")
-    return tokens, e.join(tokens.select("rid", "s", F.col("i").alias("first")), ["rid", "s"]).join(tokens.select("rid", "t", F.col("i").alias("last")), ["rid", "t"])
+def _rt_records(s, d):
+    """Annotation records as (rid, text, entities, w, g), w and g being the words of their tokens and the tags; one that was delivered twice is there twice."""
+    a = table(s, d, "annotation").where("text IS NOT NULL AND tokens IS NOT NULL")
+    k = F.filter("tokens", lambda k: k["text"] != "")
+    return a.select(F.sha2(F.to_json(F.struct("source", "source_index", "text", "tokens")), 256).alias("rid"), "text", "entities", k["text"].alias("w"), k["ckip_pos"].alias("g"))
 
 
 def _rt_selected(s, d):
-    tokens, spans = _rt_spans(s, d)
-    return tokens, RT.selected_spans(RT.span_candidates(spans, rt_policy(s, d), lambda c: c.rlike(spec.QTY_SURFACE)))
+    """The records, and of the entities whose text is that of the record and whose ends are ends of tokens those that become one token."""
+    records = _rt_records(s, d)
+    may = F.col("e.label").isin(*spec.NAMED_ENTITIES, *spec.QUANTITY_ENTITIES) & (F.col("e.end") > F.col("e.start")) & (F.expr("substring(text, int(e.start + 1), int(e.`end` - e.start))") == F.col("e.text"))
+    e = records.select("rid", "text", "entities", RT.token_ends(F.col("w")).alias("ends"))  # before the entities become rows
+    e = e.select("rid", "text", "ends", F.explode("entities").alias("e")).where(may)
+    e = e.select("rid", F.col("e.start").cast("long").alias("s"), F.col("e.end").cast("long").alias("t"), (F.expr("array_position(ends, e.start)") - 1).alias("first"), (F.expr("array_position(ends, e.`end`)") - 2).alias("last"), F.col("e.label").alias("label"), F.col("e.text").alias("surface"))
+    spans = e.where("first >= 0 AND last >= 0").where((F.col("last") > F.col("first")) | F.col("label").isin(*spec.QUANTITY_ENTITIES))
+    return records, RT.selected_spans(RT.span_candidates(spans, rt_policy(s, d), lambda c: c.rlike(spec.QTY_SURFACE)))
 
 
 @query("ivl_entity_select")
@@ -306,8 +302,8 @@ def ivl_entity_select(s, d):
 @query("rt_canonical")
 def rt_canonical(s, d):
     """The canonical tokens of every annotation record by the approved entities and suffix words."""
-    tokens, selected = _rt_selected(s, d)
-    return RT.canonical_tokens(tokens, selected, rt_suffix_policy(s, d).select("surface")).withColumnRenamed("s", "char_start").withColumnRenamed("t", "char_end")
+    records, selected = _rt_selected(s, d)
+    return RT.canonical_records(records.select("rid", "w", "g"), selected, rt_suffix_policy(s, d).select("surface")).withColumnRenamed("s", "char_start").withColumnRenamed("t", "char_end")
 
 
 @query("tr_canonical_pos")
