@@ -83,3 +83,9 @@ def test_canonical_keeps_records_whole(spark, tmp_path):
         got.setdefault(r["rid"], []).append((r["word"], r["tag"], r["char_start"], r["char_end"], r["reason"]))
     start = [("長榮公司", "Nc", 0, 4, "named-entity"), ("工程師", "Na", 4, 7, "noun-suffix")]
     assert sorted(got.values()) == sorted([[*start, ("三隻", "Neu", 7, 9, "quantity")], [*start, ("三", "Neu", 7, 8, "original"), ("隻", "Nf", 8, 9, "original")]])
+
+
+def test_canonical_pos_counts_records_once(spark, tmp_path):
+    d = _table(spark, tmp_path, _canonical_rows())
+    got = {(r["word"], r["pos"]): (r["eligible"], r["n"]) for r in entry.queries()["tr_canonical_pos"](spark, d).collect()}
+    assert got[("長榮公司", "Nc")] == (True, 2) and got[("工程師", "Na")] == (True, 2) and len(got) == 5
